@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding
+from tidemark.llm import quality, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -14,8 +14,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.train(docs, toxicity.train_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, weights, threshold=0.3)
+    return scored.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op10_toxicity": op10_toxicity}
 
 
 OP1_SQL = """

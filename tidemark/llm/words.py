@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -60,21 +61,38 @@ def _piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends (bytes) of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text, A-Z lower-cased."""
-    if len(raw) <= PIECE:
-        return _piece(raw)
-    parts, at = [], 0
+def pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offsets and parts of a text of about PIECE bytes each; no word is cut."""
+    at = 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         while end < len(raw) and not _SPACE[raw[end]]:
             end += 1
-        h, s, e = _piece(raw[at:end])
-        parts.append((h, s + at, e + at))
+        yield at, raw[at:end]
         at = end
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (bytes) of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text, A-Z lower-cased."""
+    if len(raw) <= PIECE:
+        return _piece(raw)
+    parts = [(h, s + at, e + at) for at, x in pieces(raw) for h, s, e in [_piece(x)]]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def stem_hashes(raw: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, hashes of the first so many bytes of the words that are longer."""
+    out = []
+    for _, x in pieces(raw):
+        a = _LOWER[np.frombuffer(x, np.uint8)]
+        _, starts, ends = _piece(x)
+        sums = prefix_hash(a)
+        for size in sizes:
+            at = starts[ends - starts > size]
+            out.append(mix((sums[at + size] - sums[at]) * powers(len(a))[1][at] + U(size << 8)))
+    return out
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of runs of n words (empty if there are fewer)."""
     if len(h) < n:
