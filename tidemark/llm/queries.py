@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, quality, secrets, sharding, toxicity
+from tidemark.llm import chat, media, mixing, quality, secrets, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.neighbours(table(spark, sf_dir, "conversations"))
+
+
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_table(table(spark, sf_dir, "documents")))
 
@@ -26,6 +30,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = toxicity.train(docs, toxicity.train_labels(table(spark, sf_dir, "labels")))
@@ -34,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op6_webp": op6_webp, "op7_secrets": op7_secrets, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op5_chat": op5_chat, "op6_webp": op6_webp, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op10_toxicity": op10_toxicity}
 
 
 OP1_SQL = """
