@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, media, mixing, quality, secrets, sharding, toxicity
+from tidemark.llm import chat, media, minhash, mixing, quality, secrets, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = toxicity.train(docs, toxicity.train_labels(table(spark, sf_dir, "labels")))
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op5_chat": op5_chat, "op6_webp": op6_webp, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op5_chat": op5_chat, "op6_webp": op6_webp, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
 
 
 OP1_SQL = """
@@ -67,5 +71,22 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTIT
 """
 
 
+#: Word shingles, all pairs that share one, and the components of the links by repeated minima.
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT sym.b, r FROM reach JOIN sym ON sym.a = d WHERE r < sym.b)
+SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept FROM n JOIN reach ON d = n.doc_id GROUP BY n.doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL}
+    return {"op1_sharding": OP1_SQL, "op9_minhash": OP9_SQL}
