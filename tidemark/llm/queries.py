@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, media, minhash, mixing, quality, secrets, sharding, toxicity
+from tidemark.llm import chat, decontamination, media, minhash, mixing, quality, repeats, secrets, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.drop_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.neighbours(table(spark, sf_dir, "conversations"))
 
@@ -46,7 +54,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op5_chat": op5_chat, "op6_webp": op6_webp, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_decontamination": op2_decontamination,
+        "op3_quality": op3_quality,
+        "op4_repeats": op4_repeats,
+        "op5_chat": op5_chat,
+        "op6_webp": op6_webp,
+        "op7_secrets": op7_secrets,
+        "op8_mixing": op8_mixing,
+        "op9_minhash": op9_minhash,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 OP1_SQL = """
