@@ -1,0 +1 @@
+"""Operators with state: bars of a stream, re-delivered items, ask limits."""
