@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -52,6 +52,14 @@ def route(low: Column, topics: Mapping[str, Iterable[str]] = config.TOPICS) -> t
     return _first_best(topic_scores(low, topics), next(iter(topics)))
 
 
+def with_topic(df: DataFrame, low: Column, topics: Mapping[str, Iterable[str]] = config.TOPICS) -> DataFrame:
+    """df with topic and relevance_score as `route` gives them; scores are computed once, in a projection of their own."""
+    scored = df.withColumn("__low", low).withColumn("__scores", F.array(*topic_scores(F.col("__low"), topics).values()))
+    named = scored.withColumn("relevance_score", F.array_max("__scores"))
+    place = F.array_position("__scores", F.col("relevance_score"))
+    return named.withColumn("topic", F.element_at(F.array(*map(F.lit, topics)), place.cast("int"))).drop("__low", "__scores")
+
+
 def relevance(low: Column, ticker: Column, wanted: Iterable[str], source: Column, age_hours: Column, words: Iterable[str] = config.DEFAULT_KEYWORDS) -> Column:
     """0.4 for a wanted ticker, 0.1 a keyword up to 0.4, 0.1 for a known source, 0.1 under six hours; 1 at most."""
     wanted = list(wanted)

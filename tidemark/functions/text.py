@@ -8,13 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _total(flags: Iterable[Column]) -> Column:
-    out = F.lit(0)
-    for f in flags:
-        out = out + f.cast("int")
-    return out
-
-
 def both(title: Column, summary: Column) -> Column:
     """Title and summary, lower-cased, as keywords are looked for."""
     return F.lower(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))
@@ -22,7 +15,7 @@ def both(title: Column, summary: Column) -> Column:
 
 def keyword_count(low: Column, words: Iterable[str]) -> Column:
     """How many of the words occur as substrings of a lower-cased text."""
-    return _total(low.contains(w.lower()) for w in words)
+    return F.size(F.filter(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(low, w)))
 
 
 def has_any(low: Column, words: Iterable[str]) -> Column:

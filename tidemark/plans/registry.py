@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import dates, finance, ids, text
 from tidemark.inputs import ARTICLES, DAILY, FILINGS, TICKS, VECTORS, articles, filings, table, ticks, vectors
-from tidemark.operators import chunks, graph, market, search, tables
+from tidemark.operators import chunks, graph, market, search, stories, tables
 from tidemark.operators import vectors as vec
+from tidemark.plans import jobs
 from tidemark.streaming import limits
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,8 +197,7 @@ _TOPIC_SQL = {k: f"(CASE WHEN {_sum_sql(v)} = 0 THEN 25 ELSE least(100, 50 + 10
 
 @query(f"SELECT id, {_argmax_sql(_TOPIC_SQL, 'FX')} AS topic, greatest({', '.join(_TOPIC_SQL.values())})::INT AS relevance_score FROM lows", ARTICLES, LOW)
 def q19_topic_router(spark, sf):
-    topic, score = finance.route(_low())
-    return articles(spark, sf).select("id", topic.alias("topic"), score.alias("relevance_score"))
+    return finance.with_topic(articles(spark, sf), _low()).select("id", "topic", "relevance_score")
 
 
 _SENT = f"""coalesce(({_sum_sql(config.POSITIVE)} - {_sum_sql(config.NEGATIVE)})::DOUBLE / nullif({_sum_sql(config.POSITIVE)} + {_sum_sql(config.NEGATIVE)}, 0) * CASE WHEN {_any_sql(config.HIGH_IMPACT)} THEN 1.5 ELSE 1.0 END, 0)"""
@@ -537,3 +537,117 @@ def q60_ticker_extract(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.tickers_in(F.col("text"), ["the", "to", "la", "de", "a"]).alias("tickers"))
 
 
+
+
+# Stories, briefs, lists and jobs
+
+
+@query("SELECT c_custkey AS id, count(o_orderkey) AS articles, max(o_orderdate)::DATE::VARCHAR AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def q61_stories_with_links(spark, sf):
+    orders = table(spark, sf, "orders")
+    links = orders.select(F.col("o_custkey").alias("story_id"), F.col("o_orderkey").alias("article_id"))
+    dated = orders.select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("published_at"))
+    return stories.with_links(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), links, dated).withColumn("latest", F.col("latest").cast("string"))
+
+
+@query("SELECT o_custkey AS story_id FROM orders GROUP BY 1 HAVING count(*) >= 4 AND count(DISTINCT strftime(o_orderdate, '%Y-%m')) >= 3")
+def q62_month_gate(spark, sf):
+    return stories.spread_enough(table(spark, sf, "orders").select(F.col("o_custkey").alias("story_id"), "o_orderdate"), "o_orderdate", 4, 3)
+
+
+@query("SELECT user_id AS id FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(DISTINCT isoyear(ts) * 100 + week(ts)) <= 1")
+def q63_one_week_stories(spark, sf):
+    links = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("story_id"), "ts")
+    return stories.within_one_week(links.select(F.col("story_id").alias("id")).distinct(), links, "ts")
+
+
+@query("SELECT o_orderkey FROM (SELECT *, strftime(o_orderdate, '%Y-%m') AS month FROM orders QUALIFY row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_totalprice DESC, o_orderkey) = 1) ORDER BY month LIMIT 24")
+def q64_best_per_month(spark, sf):
+    return stories.best_per_month(table(spark, sf, "orders"), "o_orderdate", F.col("o_totalprice"), "o_orderkey", 24).select("o_orderkey")
+
+
+@query("SELECT id FROM lows WHERE relevance >= 50 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, id) <= 20", ARTICLES, LOW.replace("lows AS", "lows0 AS"), f"lows AS (SELECT *, {_argmax_sql(_TOPIC_SQL, 'FX')} AS topic, greatest({', '.join(_TOPIC_SQL.values())}) AS relevance FROM lows0)")
+def q65_raw_items_by_topic(spark, sf):
+    routed = finance.with_topic(articles(spark, sf), _low()).where("relevance_score >= 50")
+    return tables.top_per(routed, ["topic"], [F.col("relevance_score").desc(), F.col("id")], 20).select("id")
+
+
+@query("SELECT n_nationkey AS ord, n_name AS symbol, coalesce(max(c_acctbal), 0) AS price FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 40 = 0 GROUP BY 1, 2")
+def q66_requested_prices(spark, sf):
+    nation = table(spark, sf, "nation")
+    named = table(spark, sf, "customer").where("c_custkey % 40 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    prices = named.groupBy(F.col("n_name").alias("symbol")).agg(F.max("c_acctbal").alias("price"))
+    return stories.requested(nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("symbol")), prices).select("ord", "symbol", "price")
+
+
+@query("SELECT p_partkey::VARCHAR AS ticker, p_name AS name FROM part WHERE starts_with(p_partkey::VARCHAR, '11') OR contains(lower(p_name), '11') ORDER BY ticker LIMIT 5")
+def q67_typeahead(spark, sf):
+    return stories.typeahead(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("ticker"), F.col("p_name").alias("name")), " 11 ")
+
+
+@query("""SELECT id, value FROM (SELECT i.event_id AS id, p.value, row_number() OVER (PARTITION BY i.event_id ORDER BY abs(epoch_us(p.ts) - epoch_us(i.ts)), p.ts, p.event_id DESC) AS n
+  FROM events i JOIN events p ON p.user_id = i.user_id AND p.event_type = 'purchase' WHERE i.event_type = 'view') WHERE n = 1""")
+def q68_nearest_point(spark, sf):
+    e = table(spark, sf, "events")
+    points = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    items = e.where("event_type = 'view'").select(F.col("event_id").alias("id"), "user_id", "ts")
+    return stories.nearest(items, points, "user_id", "ts", "value").where("value IS NOT NULL").select("id", "value")
+
+
+@query("SELECT id FROM articles LEFT JOIN (VALUES ('src1', 1), ('src2', 2)) p(s, priority) ON s = source QUALIFY row_number() OVER (PARTITION BY language, md5(summary) ORDER BY coalesce(priority, 999), ord) = 1", ARTICLES)
+def q69_cross_source(spark, sf):
+    priority = spark.createDataFrame([("src1", 1), ("src2", 2)], "source string, priority int")
+    return stories.cross_source(articles(spark, sf).withColumn("m", F.md5("summary")), priority, ["language", "m"]).select("id")
+
+
+@query("SELECT topic, count(*) AS items, ('0x' || substr(md5('brief_2024-02-01_' || topic), 1, 14))::BIGINT AS id FROM (SELECT * FROM lows WHERE relevance >= 50 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, id) <= 20) GROUP BY 1", ARTICLES, LOW.replace("lows AS", "lows0 AS"), f"lows AS (SELECT *, {_argmax_sql(_TOPIC_SQL, 'FX')} AS topic, greatest({', '.join(_TOPIC_SQL.values())}) AS relevance FROM lows0)")
+def q70_macro_digest(spark, sf):
+    return jobs.macro_digest(articles(spark, sf), F.lit("2024-02-01").cast("date")).select("id", "topic", "items")
+
+
+@query("SELECT ticker, round(stddev_samp(r) * sqrt(252), 4) AS volatility FROM (SELECT ticker, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY day), 0) - 1 AS r FROM daily) GROUP BY 1", TICKS, DAILY)
+def q71_yearly_volatility(spark, sf):
+    return market.volatility(market.bars(ticks(spark, sf), "1 day")).select("ticker", F.round("volatility", 4).alias("volatility"))
+
+
+@query("SELECT id, level FROM (SELECT id, CASE WHEN contains(low, 'gold') THEN 'high' WHEN contains(low, 'rate') THEN 'medium' ELSE 'low' END AS level, published_at, ord FROM lows) ORDER BY CASE level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, published_at DESC, ord LIMIT 100", ARTICLES, LOW)
+def q72_sort_by_impact(spark, sf):
+    level = finance.impact_of_news(_low(), ("gold",), ("rate",))
+    rows = articles(spark, sf).withColumn("level", level)
+    return rows.orderBy(finance.impact_rank(F.col("level")), F.col("published_at").desc(), "ord").limit(100).select("id", "level")
+
+
+def _story_inputs(spark, sf):
+    from tidemark.inputs import vectors as vector_rows
+
+    v = vector_rows(spark, sf).select("id", "v")
+    return articles(spark, sf).join(v, "id"), filings(spark, sf).withColumn("filed_date", F.date_add("filed_date", 365 * 20))
+
+
+@query()
+def q73_overnight_stories(spark, sf):
+    rows, filed = _story_inputs(spark, sf)
+    return jobs.overnight_stories(rows, filed, F.lit("2024-02-01").cast("date"), T_ASSIGN, T_GRAPH)[0].withColumn("as_of", F.col("as_of").cast("string")).withColumn("filing_filed_date", F.col("filing_filed_date").cast("string"))
+
+
+@query()
+def q74_story_links(spark, sf):
+    rows, filed = _story_inputs(spark, sf)
+    return jobs.overnight_stories(rows, filed, F.lit("2024-02-01").cast("date"), T_ASSIGN, T_GRAPH)[1]
+
+
+@query()
+def q75_answers(spark, sf):
+    rows = vec.with_unit(articles(spark, sf).join(vectors(spark, sf).select("id", "v"), "id"))
+    return jobs.answers(rows.where("id % 50 = 0").withColumn("text", F.col("title")), rows)
+
+
+@query("SELECT ticker, sum((CASE WHEN form_type = '10-K' AND id % 5 = 0 THEN 0.2 WHEN form_type = '10-K' THEN -0.1 ELSE 0 END)::DOUBLE) AS s FROM filings WHERE id < 40 GROUP BY 1".replace("sum(", "round(greatest(least(sum(").replace("::DOUBLE) AS s", "::DOUBLE), 1), -1), 4) AS signal"), FILINGS)
+def q76_filing_signal(spark, sf):
+    f = filings(spark, sf).where("id < 40").select("ticker", F.when(F.col("form_type") == "10-K", "high").otherwise("low").alias("impact"), F.when(F.col("id") % 5 == 0, "an Acquisition").alias("description"))
+    return market.filing_signal(f).select("ticker", F.round("signal", 4).alias("signal"))
+
+
+@query("SELECT DISTINCT upper(trim(c_mktsegment)) AS symbol FROM customer")
+def q77_watchlist(spark, sf):
+    return stories.symbols(table(spark, sf, "customer").select(F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("symbol")))
