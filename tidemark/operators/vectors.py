@@ -62,9 +62,10 @@ def best_above(rows: DataFrame, queries: DataFrame, threshold: float) -> DataFra
     return top_per(scored.select("query_id", "id", "sim"), ["query_id"], [F.col("sim").desc(), F.col("id")], 1)
 
 
-def assign(rows: DataFrame, anchors: DataFrame, t_assign: float = config.T_ASSIGN) -> DataFrame:
-    """id, anchor_id, sim: the most similar anchor from t_assign up, else null; of equal ones the first."""
-    best = against(rows, anchors, F.lit(True)).groupBy("id").agg(F.max(F.struct("sim", (-F.col("query_id")).alias("neg"))).alias("b"))
+def assign(rows: DataFrame, anchors: DataFrame, t_assign: float = config.T_ASSIGN, block: str | None = None) -> DataFrame:
+    """id, anchor_id, sim: the most similar anchor (of the block, where one is given) from t_assign up, else null; of equal ones the first."""
+    on = F.col(block) == F.col(f"query_{block}") if block else F.lit(True)
+    best = against(rows, anchors, on).groupBy("id").agg(F.max(F.struct("sim", (-F.col("query_id")).alias("neg"))).alias("b"))
     out = rows.select("id").join(best, "id", "left")
     near = F.col("b.sim") >= t_assign
     return out.select("id", F.when(near, -F.col("b.neg")).alias("anchor_id"), F.when(near, F.col("b.sim")).alias("sim"))
@@ -81,10 +82,12 @@ def similar_pairs(rows: DataFrame, threshold: float, block: str | None = None) -
 def clusters(rows: DataFrame, t_assign: float = config.T_ASSIGN, t_graph: float = config.T_GRAPH, block: str | None = None) -> DataFrame:
     """id and cluster of rows (id, u, anchor): those near an anchor join it; the others form components among themselves.
 
-    cluster_type is 'seeded' (cluster: the anchor's id; anchors are members) or 'discovered' (the smallest id).
+    With a block column, anchors and components stay within a block; without one, anchors are a stated set that goes to
+    all tasks. cluster_type is 'seeded' (cluster: the anchor's id; anchors are members) or 'discovered' (the smallest id).
     """
     anchors, others = rows.where("anchor"), rows.where("NOT anchor")
-    given = assign(others, F.broadcast(as_queries(anchors)), t_assign).where("anchor_id IS NOT NULL")
+    seeds = as_queries(anchors, block) if block else F.broadcast(as_queries(anchors))
+    given = assign(others, seeds, t_assign, block).where("anchor_id IS NOT NULL")
     rest = others.join(given.select("id"), "id", "left_anti")
     found = components(rest.select("id"), similar_pairs(rest, t_graph, block))
     seeded = given.select("id", F.col("anchor_id").alias("cluster")).unionByName(anchors.select("id", F.col("id").alias("cluster")))
