@@ -35,7 +35,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 1), (3, 4)])
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 1), (3, 4), (4, 0)])
 def test_matches_brute_force(spark, seed, hot):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, raw string, start int")
@@ -49,10 +49,11 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     a, b = (bytes(rng.choice(b"abcdefgh") for _ in range(900)) for _ in range(2))
     raw = a + b + a
     runs = list(repeats.minimizer_runs(raw, 40, 8))
-    assert sum(n for _, n, _ in runs) == len(raw) - 39 and runs[0][0] == 0
+    assert sum(n for _, n, _, _ in runs) == len(raw) - 39 and runs[0][0] == 0
     keys = {}
-    for start, n, mini in runs:
+    for start, n, place, mini in runs:
         for i in range(start, start + n):
+            assert 0 <= start + place - i <= 32
             assert keys.setdefault(raw[i : i + 40], mini) == mini
 
 

@@ -25,13 +25,14 @@ U = np.uint64
 LENGTH, GRAM = 400, 64
 #: Bytes of text whose segments are computed at once.
 PIECE = 1 << 20
-#: An index takes whole minimizers up to about so many bytes. A minimizer with more distinct segments than HOT goes by
-#: the hashes of its strings instead, which Spark can spread over tasks.
-INDEX_BYTES, HOT = 1 << 20, 1000
+#: An index takes whole minimizers up to about so many bytes. Segments of a minimizer with more distinct ones than HOT
+#: are cut into CLASSES parts each by where the minimizer lies in the string, again and again, and routed by the bytes
+#: that all strings of a part have in common. Parts of FEW strings go by the hashes of their strings at last.
+INDEX_BYTES, HOT, CLASSES, FEW = 1 << 20, 1000, 4, 6
 
 
-def minimizer_runs(raw: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
-    """(start, number of strings, hash of the minimizer) of the runs of strings of one minimizer position."""
+def minimizer_runs(raw: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, number of strings, place and hash of the minimizer) of the runs of strings of one minimizer position."""
     last = len(raw) - length + 1
     for at in range(0, max(0, last), PIECE):
         part = np.frombuffer(raw, np.uint8, min(len(raw), at + PIECE + length - 1) - at, at)
@@ -48,7 +49,7 @@ def minimizer_runs(raw: bytes, length: int, gram: int) -> Iterator[tuple[int, in
         where = (np.minimum(ahead[: n - w + 1], behind[w - 1 : n]) & U(0x1FFFFF)).astype(np.int64)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1))
         counts = np.diff(np.append(starts, len(where)))
-        yield from zip((starts + at).tolist(), counts.tolist(), h[where[starts]].view(np.int64).tolist(), strict=True)
+        yield from zip((starts + at).tolist(), counts.tolist(), (where[starts] - starts).tolist(), h[where[starts]].view(np.int64).tolist(), strict=True)
 
 
 class RunLengthIndex:
@@ -134,8 +135,23 @@ def _ranges(starts: np.ndarray) -> list[dict]:
     return [{"at": int(a), "n": int(b - a + 1)} for a, b in zip(starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))], strict=True)]
 
 
+def _pair(view: bytes | memoryview) -> tuple[int, int]:
+    """128 bits of hash as two numbers."""
+    c = xxhash.xxh3_128_digest(view)
+    return int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True)
+
+
+_KINDS = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "array<struct<at:int,n:int>>": pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], names)
+
+
 def segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Segments (digest, start, n, mini, c1, c2) of the texts (raw binary): n strings from start on, one minimizer."""
+    """Segments (digest, start, n, place, mini, c1, c2) of the texts (raw binary): n strings from start on, one minimizer."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,14 +160,11 @@ def segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 raw = value.as_py()
                 if len(raw) >= length:
                     digest, view = hashlib.md5(raw).digest(), memoryview(raw)
-                    for start, n, mini in minimizer_runs(raw, length, gram):
-                        c = xxhash.xxh3_128_digest(view[start : start + n + length - 1])
-                        rows.append((digest, start, n, mini, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "start", "n", "mini", "c1", "c2"])
+                    for start, n, place, mini in minimizer_runs(raw, length, gram):
+                        rows.append((digest, start, n, place, mini, *_pair(view[start : start + n + length - 1])))
+            yield _batch(rows, "digest binary, start int, n int, place int, mini long, c1 long, c2 long")
 
-    return texts.select("raw").mapInArrow(scan, "digest binary, start int, n int, mini long, c1 long, c2 long")
+    return texts.select("raw").mapInArrow(scan, "digest binary, start int, n int, place int, mini long, c1 long, c2 long")
 
 
 def indexed(pieces: DataFrame, length: int) -> DataFrame:
@@ -164,9 +177,7 @@ def indexed(pieces: DataFrame, length: int) -> DataFrame:
             found = [_ranges(x) for x in RunLengthIndex([raw for *_, raw in held]).repeated(length)]
             rows = [(a, b, r) for (a, b, _), r in zip(held, found, strict=True) if r]
             held.clear()
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], kind)], ["c1", "c2", "spans"])
+            return _batch(rows, "c1 long, c2 long, spans array<struct<at:int,n:int>>")
 
         for batch in batches:
             for mini, c1, c2, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -200,22 +211,67 @@ def counted(pieces: DataFrame, length: int) -> DataFrame:
     return hits.select("c1", "c2", F.transform("ats", lambda x: F.struct(x.alias("at"), F.lit(1).alias("n"))).alias("spans"))
 
 
+def parted(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """Parts of pieces: strings whose minimizer lies `width` places from each other at most, in fixed ranges of places.
+
+    p1, p2 (the piece), off (first string in it), mini (hash of old key, range and common bytes), c1, c2, n, place, raw.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for mini, c1, c2, total, place, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i = 0
+                while i < n:
+                    low = (place - i) // width * width  # of this range: string i - k has the minimizer k places further on
+                    count = min(n - i, place - i - low + 1)
+                    common = raw[place - low : place - low - width + 1 + length]
+                    part = raw[i : i + count + length - 1]
+                    rows.append((c1, c2, i, _pair(b"%d:%d:" % (mini, low) + common)[0], *_pair(part), total, count, place - i, part))
+                    i += count
+            yield _batch(rows, "p1 long, p2 long, off int, mini long, c1 long, c2 long, total long, n int, place int, raw binary")
+
+    slim = pieces.select("mini", "c1", "c2", "total", "place", "n", "raw")
+    return slim.mapInArrow(split, "p1 long, p2 long, off int, mini long, c1 long, c2 long, total long, n int, place int, raw binary")
+
+
+def _whole(contents: DataFrame) -> DataFrame:
+    """Pieces that occur more than once repeat in all their strings."""
+    return contents.where("total > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("spans"))
+
+
+def repeated(pieces: DataFrame, length: int, hot: int, width: int) -> DataFrame:
+    """Repeated strings (c1, c2, spans) of pieces (mini, c1, c2, total, n, place, kinds, raw); total counts equal pieces."""
+    found = indexed(pieces.where(F.col("kinds") <= hot), length)
+    rest = pieces.where(F.col("kinds") > hot)
+    if rest.isEmpty():
+        return found
+    if width <= FEW:
+        return found.unionByName(counted(rest, length))
+    width = -(-width // CLASSES)
+    parts = stored(parted(rest, length, width), "parts")
+    contents = parts.groupBy("mini", "c1", "c2").agg(F.sum("total").alias("total"), F.first("n").alias("n"), F.first("place").alias("place"), F.first("raw").alias("raw"))
+    contents = stored(contents.withColumn("kinds", F.count("*").over(Window.partitionBy("mini"))).where("kinds > 1 OR total > 1"), "contents")
+    inner = _whole(contents).unionByName(repeated(contents.where("kinds > 1"), length, hot, width))
+    back = parts.select("p1", "p2", "off", "c1", "c2").join(inner, ["c1", "c2"])
+    moved = F.transform("spans", lambda s: F.struct((s["at"] + F.col("off")).alias("at"), s["n"].alias("n")))
+    return found.unionByName(back.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), moved.alias("spans")))
+
+
 def removed_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """digest and spans (start, end; sorted, apart) of the bytes of each distinct text that lie in a repeated string.
 
     texts: digest, raw; one row for each document, so that copies count as occurrences.
     """
     cut = stored(segments(texts, length, gram), "segments")
-    by_mini = Window.partitionBy("mini")
-    contents = cut.repartition("mini").groupBy("mini", "c1", "c2").agg(F.count("*").alias("total"), F.min(F.struct("digest", "start")).alias("rep"), F.first("n").alias("n"))
-    contents = contents.withColumn("kinds", F.count("*").over(by_mini)).where("kinds > 1 OR total > 1")
-    contents = stored(contents.select("mini", "c1", "c2", "total", "n", "kinds", "rep.digest", "rep.start"), "contents")
+    contents = cut.groupBy("mini", "c1", "c2").agg(F.count("*").alias("total"), F.min(F.struct("digest", "start")).alias("rep"), F.first("n").alias("n"), F.first("place").alias("place"))
+    contents = contents.withColumn("kinds", F.count("*").over(Window.partitionBy("mini"))).where("kinds > 1 OR total > 1")
+    contents = stored(contents.select("mini", "c1", "c2", "total", "n", "place", "kinds", "rep.digest", "rep.start"), "contents")
     several = contents.where("kinds > 1")
     wanted = texts.join(several.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
     piece = F.expr(f"substring(raw, start + 1, n + {length - 1})")
-    pieces = stored(several.join(wanted, "digest").select("mini", "c1", "c2", "total", "kinds", piece.alias("raw")), "pieces")
-    whole = contents.where("total > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("spans"))
-    found = whole.unionByName(indexed(pieces.where(F.col("kinds") <= hot), length)).unionByName(counted(pieces.where(F.col("kinds") > hot), length))
+    pieces = stored(several.join(wanted, "digest").select("mini", "c1", "c2", "total", "n", "place", "kinds", piece.alias("raw")), "pieces")
+    found = _whole(contents).unionByName(repeated(pieces, length, hot, length - gram + 1))
     marks = cut.join(found, ["c1", "c2"]).select("digest", F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), (F.col("start") + s["at"] + s["n"] + (length - 1)).alias("end"))).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
