@@ -74,11 +74,11 @@ def nearest(items: DataFrame, points: DataFrame, by: str, at: str, key: str) ->
     p = points.select(F.col(by).alias("__by"), F.col(at).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(at).alias("t"), F.col(key).alias("v")).alias("__p"))
     i = items.select(F.col(by).alias("__by"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*items.columns).alias("__i"))
     both = p.unionByName(i, allowMissingColumns=True)
-    w = Window.partitionBy("__by").orderBy("__t", "__side")
-    both = both.withColumn("a", F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("b", F.first("__p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("__side = 1")
+    seen = F.last("__p", ignorenulls=True)
+    onward, back = (Window.partitionBy("__by").orderBy(t, "__side").rowsBetween(Window.unboundedPreceding, 0) for t in (F.col("__t"), F.col("__t").desc()))
+    both = both.withColumn("a", seen.over(onward)).withColumn("b", seen.over(back)).where("__side = 1")
     gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.t").cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp")))
-    pick = F.when(F.col("b").isNull() | (gap("a") <= gap("b")), F.col("a")).otherwise(F.col("b"))
+    pick = F.when(F.col("__t").isNull(), F.lit(None)).when(F.col("b").isNull() | (gap("a") <= gap("b")), F.col("a")).otherwise(F.col("b"))
     return both.withColumn("__n", pick).select("__i.*", F.col("__n.v").alias(key))
 
 

@@ -60,9 +60,10 @@ def has_between(left: DataFrame, right: DataFrame, by: str, low: str, high: str,
     later = right.select(by, F.col(at).alias("__at")).where(F.col("__at").isNotNull()).distinct()
     lefts = left.select(F.col(by).alias("__by"), F.col(low).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"))
     both = lefts.unionByName(later.select(F.col(by).alias("__by"), F.col("__at").alias("__t"), F.lit(0).alias("__side")), allowMissingColumns=True)
-    w = Window.partitionBy("__by").orderBy("__t", "__side").rowsBetween(1, Window.unboundedFollowing)
-    following = F.min(F.when(F.col("__side") == 0, F.col("__t"))).over(w)
-    return both.withColumn("__next", following).where("__side = 1").where(F.col("__next") <= F.col(f"__l.{high}")).select("__l.*")
+    # backwards in time, so that the frame only grows: of equal times the left row comes first and doesn't see the right one
+    w = Window.partitionBy("__by").orderBy(F.col("__t").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    following = F.last(F.when(F.col("__side") == 0, F.col("__t")), ignorenulls=True).over(w)
+    return both.withColumn("__next", following).where("__side = 1 AND __t IS NOT NULL").where(F.col("__next") <= F.col(f"__l.{high}")).select("__l.*")
 
 
 def without(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
