@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,8 @@ from tidemark.llm.words import shingle_set
 K = 32
 #: Of the K smallest hashes of a union, sets of similarity 0.8 share fewer than so many with probability 3e-10.
 SHARED = 10
-#: Rounds in which every list of documents is compared with one of its own before the rest is compared directly.
-ROUNDS = 2
+#: Classes of a component that are compared at once.
+BLOCK = 256
 _TOP = np.uint64(1 << 63)
 
 
@@ -39,24 +40,50 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary, n long, sketch array<long>")
 
 
-def shared_lists(classes: DataFrame, similarity: float) -> DataFrame:
-    """Entries (v, digest, n) of the inverted lists that can bring linked classes together.
+def listed(each: DataFrame, need: Column) -> DataFrame:
+    """Entries (v, digest, n, s) of the inverted lists that can bring linked classes together, from all (v, digest, n).
 
-    Linked classes share at least c retained values, c = min(ceil(similarity * n), SHARED). So, with the values of a
-    class in one order for all, rare ones first, it is enough to list those before the last c - 1: the first value that
-    two linked classes share is listed for both. Values of one class only need no list, and a class with fewer than c
-    other values has no link.
+    s: how many values of the class any other class has.
+
+    need: how many values a class surely shares with any class that it is linked to. With the values of a class in one
+    order for all, rare ones first, it is enough to list those before the last need - 1: the first value that two linked
+    classes share is listed for both. Values of one class only need no list, and a class with fewer than `need` other
+    values has no link.
     """
-    each = classes.select("digest", "n", F.explode("sketch").alias("v"))
     often = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     mine = each.join(often, "v").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    need = F.least(F.ceil(F.col("n") * similarity), F.lit(SHARED)).cast("int")
-    listed = mine.where(F.size("vs") >= need).select("digest", "n", F.explode(F.slice("vs", F.lit(1), F.size("vs") - need + 1)).alias("x"))
-    return listed.select(F.col("x.v").alias("v"), "digest", "n")
+    mine = mine.withColumn("need", need.cast("int")).withColumn("s", F.size("vs").cast("long")).where(F.col("s") >= F.col("need"))
+    return mine.select("digest", "n", "s", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x")).select(F.col("x.v").alias("v"), "digest", "n", "s")
+
+
+def sketch_lists(classes: DataFrame, similarity: float) -> DataFrame:
+    """Lists of retained values: linked classes share at least min(ceil(similarity * n), SHARED) of them."""
+    return listed(classes.select("digest", "n", F.explode("sketch").alias("v")), F.least(F.ceil(F.col("n") * similarity), F.lit(SHARED)))
+
+
+def whole_lists(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Lists of all shingles of some classes (digest, text), of which linked ones share ceil(similarity * n).
+
+    A passage that many texts hold is common, so it is listed only for texts that are little else.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(*batch.columns, strict=True):
+                s = shingle_set(text.as_py().encode(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([digest.as_py()] * len(s), pa.binary()), pa.array(np.full(len(s), len(s)))], ["v", "digest", "n"])
 
+    return listed(texts.select("digest", "text").mapInArrow(scan, "v long, digest binary, n long"), F.ceil(F.col("n") * similarity - 1e-9))
 
-def _near_size(a: Column, b: Column, similarity: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * similarity
+
+def _can_link(a: str, b: str, similarity: float, whole: bool) -> Column:
+    """Whether the sizes of two sets allow the similarity; a and b are prefixes of their columns n and s.
+
+    Where s counts all shingles that other classes have (whole), two sets share at most the smaller s.
+    """
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    fits = F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-9
+    return fits & (F.least(F.col(f"{a}s"), F.col(f"{b}s")) * (1 + similarity) >= (na + nb) * similarity - 1e-9) if whole else fits
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
@@ -122,24 +149,72 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(mixed, "v")
 
 
-def _to_pivot(lists: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Each class of a list with one class of the list: the one of the smallest hash, another in each round."""
-    order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "comp", "n")
-    pivots = lists.groupBy("v").agg(F.min(order).alias("p"))
-    near = lists.join(pivots, "v").where((F.col("comp") != F.col("p.comp")) & _near_size(F.col("n"), F.col("p.n"), similarity))
-    return near.select(F.col("p.digest").alias("a"), F.col("digest").alias("b")).distinct()
+def _to_pivot(lists: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """Each class of a list with one class of the list: the one that others have most of, so a copy with few edits."""
+    order = F.struct((-F.col("s") / F.col("n")).alias("own"), F.xxhash64("digest").alias("h"), "digest", "comp", "n", "s")
+    pivots = lists.groupBy("v").agg(F.min(order).alias("p")).select("v", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "comp", "n", "s")))
+    near = lists.join(pivots, "v").where((F.col("comp") != F.col("p_comp")) & _can_link("", "p_", similarity, whole))
+    return near.select(F.col("p_digest").alias("a"), F.col("digest").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a list that lie in different components; members of its largest one are not paired among themselves."""
+def _with_main(lists: DataFrame) -> DataFrame:
+    """Entries with the largest component of their list (main), and whether they are in it."""
     sizes = lists.groupBy("v", "comp").count().groupBy("v").agg(F.max(F.struct("count", "comp")).alias("top")).select("v", F.col("top.comp").alias("main"))
-    marked = lists.join(sizes, "v").withColumn("in_main", F.col("comp") == F.col("main")).drop("main")
-    few = marked.where("NOT in_main").select("v", *(F.col(c).alias(f"x_{c}") for c in ("digest", "comp", "n")))
-    pairs = few.join(marked, "v").where((F.col("x_comp") != F.col("comp")) & (F.col("in_main") | (F.col("x_digest") < F.col("digest"))) & _near_size(F.col("x_n"), F.col("n"), similarity))
-    return pairs.select(F.least("x_digest", "digest").alias("a"), F.greatest("x_digest", "digest").alias("b")).distinct()
+    return lists.join(sizes, "v").withColumn("in_main", F.col("comp") == F.col("main"))
+
+
+def _outside(marked: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components outside the largest one of a list, each pair from the first value it shares."""
+    few = marked.where("NOT in_main")
+    values = few.groupBy("digest").agg(F.collect_set("v").alias("vs"))
+    few = few.join(values, "digest").select("v", "digest", "comp", "n", "s", "vs")
+    left = few.select("v", *(F.col(c).alias(f"x_{c}") for c in ("digest", "comp", "n", "s", "vs")))
+    once = F.col("v") == F.array_min(F.array_intersect("x_vs", "vs"))
+    pairs = left.join(few, "v").where((F.col("x_digest") < F.col("digest")) & (F.col("x_comp") != F.col("comp")) & _can_link("x_", "", similarity, True) & once)
+    return pairs.select(F.col("x_digest").alias("a"), F.col("digest").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (comp, digest) with `name`, a block of about BLOCK rows of the component, and n_`name`, how many there are."""
+    sizes = rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{name}"))
+    return rows.join(sizes, "comp").withColumn(name, F.pmod(F.xxhash64("digest"), F.col(f"n_{name}")).cast("int"))
+
+
+def joined(marked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """A link (a, b) of each class outside the largest component of its lists that has one to a member of it.
+
+    Classes and members meet in blocks, so no pair is a row; members are compared with a class all at once.
+    """
+    outside = _blocks(marked.where("NOT in_main").select(F.col("main").alias("comp"), "digest").distinct(), "i")
+    inside = _blocks(marked.where("in_main").select("comp", "digest").distinct(), "j")
+    outside, inside = (
+        stored(x.join(y.select("comp", f"n_{k}").distinct(), "comp").select("comp", "digest", own, F.explode(F.sequence(F.lit(0), F.col(f"n_{k}") - 1)).alias(k)).join(texts, "digest").select("comp", "i", "j", "digest", "text"), "blocks")
+        for x, y, own, k in ((outside, inside, "i", "j"), (inside, outside, "j", "i"))
+    )
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(x) and len(y):
+            sets = [shingle_set(t.encode(), words) for t in y["text"]]
+            sizes = np.array([len(s) for s in sets])
+            everything, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(everything)
+            everything, owner = everything[order], owner[order]
+            for digest, text in zip(x["digest"], x["text"], strict=True):
+                mine = shingle_set(text.encode(), words)
+                lo, hi = np.searchsorted(everything, mine), np.searchsorted(everything, mine, side="right")
+                hits = np.concatenate([owner[p:q] for p, q in zip(lo, hi, strict=True) if q > p] or [owner[:0]])
+                inter = np.bincount(hits, minlength=len(sets))
+                linked = np.flatnonzero(100 * inter >= percent * (len(mine) + sizes - inter))
+                if len(linked):
+                    found.append((digest, y["digest"].iloc[int(linked[0])]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    keys = ("comp", "i", "j")
+    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInPandas(compare, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Two documents are linked if their sets of distinct word shingles have 100 * intersection >= percent * union; a text
@@ -153,17 +228,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     similarity = percent / 100
     rows = stored(sketches(docs, words, k), "sketches")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = stored(shared_lists(classes, similarity), "lists")
+    lists = stored(sketch_lists(classes, similarity), "lists")
     wanted = lists.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
     texts = sketches_with_text(docs, words).join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["digest", "doc_id"])
     texts = stored(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
     links, labels = None, None
-    for turn in range(rounds + 1):
-        lists = stored(_labelled(lists, labels), "lists")
-        pairs = _to_pivot(lists, turn, similarity) if turn < rounds else _across(lists, similarity)
+    for turn in range(3):
+        if turn == 1:
+            left = _labelled(lists, labels).select("digest").distinct()
+            lists = stored(whole_lists(texts.join(left, "digest", "left_semi"), similarity, words), "lists")
+        open_lists = stored(_labelled(lists, labels), "open")
+        marked = stored(_with_main(open_lists), "marked") if turn == 2 else None
+        pairs = _outside(marked, similarity) if turn == 2 else _to_pivot(open_lists, similarity, whole=turn == 1)
         found = verified(stored(estimated(pairs, classes, similarity, k), "candidates"), texts, words, percent)
-        links = found if links is None else links.unionByName(found)
-        links = stored(links, "links")
+        if turn == 2:
+            found = found.unionByName(joined(marked, texts, words, percent))
+        links = stored(found if links is None else links.unionByName(found), "links")
         labels = components(links)
     named = labels.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
     first = named.groupBy("label").agg(F.min("rep").alias("component"))

@@ -5,6 +5,7 @@ Pixels are uint32 ARGB arrays of shape (height, width).
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -54,7 +55,7 @@ class Code:
         if (1 << 15) != int((1 << (15 - each)).sum()):
             raise ValueError("a prefix code is not complete")
         self.bits = int(each.max())
-        self.symbols, self.lengths = np.empty(1 << self.bits, np.int64), np.empty(1 << self.bits, np.int64)
+        self.symbols, self.lengths = np.empty(1 << self.bits, np.uint32), np.empty(1 << self.bits, np.int32)
         for symbol, n, code in zip(used.tolist(), each.tolist(), reversed_codes(lengths)[used].tolist(), strict=True):
             self.symbols[code :: 1 << n] = symbol
             self.lengths[code :: 1 << n] = n
@@ -67,6 +68,12 @@ class Code:
         return int(self.symbols[at])
 
 
+@functools.lru_cache(maxsize=64)
+def _known_code(lengths: bytes) -> Code:
+    """Codes that most streams have, such as that of the code lengths, are built once."""
+    return Code(np.frombuffer(lengths, np.int64))
+
+
 def reversed_codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of the given lengths, bit-reversed as the stream holds them."""
     out, code, before = np.zeros(len(lengths), np.int64), 0, 0
@@ -86,11 +93,11 @@ def _read_code(bits: Bits, size: int) -> Code:
         lengths[bits.read(8 if wide else 1)] = 1
         if count == 2:
             lengths[bits.read(8)] = 1
-        return Code(lengths)
+        return _known_code(lengths.tobytes())
     meta = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         meta[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(meta)
+    code = _known_code(meta.tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last = 0, 8
     while at < size and left:
@@ -183,12 +190,12 @@ def _read_plain(bits: Bits, codes: list[Code], out: np.ndarray, width: int) -> N
     wide = np.zeros(len(raw) + 8, np.uint32)
     wide[: len(raw)] = raw
     wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    ahead = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.int64).ravel()
+    ahead = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.int32).ravel()
     n_bits = 8 * len(raw)
-    here = np.arange(n_bits)
+    here = np.arange(n_bits, dtype=np.int32 if n_bits < 1 << 30 else np.int64)
 
     def at_bit(code: Code, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        look = ahead[np.minimum(at, len(ahead) - 1)] & ((1 << code.bits) - 1)
+        look = (ahead[:n_bits] if at is here else ahead[np.minimum(at, len(ahead) - 1)]) & ((1 << code.bits) - 1)
         return code.symbols[look], at + code.lengths[look]
 
     symbol, after = at_bit(green, here)
@@ -200,7 +207,7 @@ def _read_plain(bits: Bits, codes: list[Code], out: np.ndarray, width: int) -> N
             channel = int(code.symbols[0])
         channels.append(channel)
     after = np.minimum(np.where(symbol < LITERALS, after, here), n_bits)
-    after = np.append(after, n_bits)  # the end and all that isn't a literal lead to themselves
+    after = np.append(after, after.dtype.type(n_bits))  # the end and all that isn't a literal lead to themselves
     leap = after
     for _ in range(3):
         leap = leap[leap]
@@ -225,7 +232,7 @@ def _read_plain(bits: Bits, codes: list[Code], out: np.ndarray, width: int) -> N
                 break
             marks.append(r)
             q = r
-        steps = np.empty((len(marks), 8), np.int64)
+        steps = np.empty((len(marks), 8), after.dtype)
         steps[:, 0] = marks
         for i in range(1, 8):
             steps[:, i] = after[steps[:, i - 1]]
