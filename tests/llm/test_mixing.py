@@ -1,4 +1,6 @@
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -39,3 +41,26 @@ def test_mixed_keeps_rows_and_columns(spark):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_exact_weights_hold_over_hundreds_of_periods():
+    counts = {"hot": 10_000_000, **{f"s{i}": 1_000_000 for i in range(19)}}
+    names = sorted(counts)
+    weights = [mixing.root_weights(counts)[s] for s in names]
+    exact, had, seen = [Fraction(w) / sum(map(Fraction, weights)) for w in weights], [0] * 20, []
+    mixer = mixing.Mixer([10**6] * 20, weights)
+    for t, row in enumerate(islice(mixer.run(), 300_000), 1):
+        had[row[1]] += 1
+        if t % 997 == 0 or t > 299_000:
+            assert all(abs(n - t * w) < 1 for n, w in zip(had, exact, strict=True))
+        seen.append(row)
+    state = next(islice(mixing.starts(mixing.Mixer([10**6] * 20, weights), 100_000), 2, 3))
+    assert list(islice(mixing.Mixer([10**6] * 20, weights, None, *state).run(), 1000)) == seen[200_000:201_000]
+
+
+def test_steps_give_the_same_slots_as_one_run(spark):
+    blocks, weights = [700, 40, 0, 333, 5], [0.61, 0.29, 1.0, 0.1, 0]
+    want = list(mixing.Mixer(blocks, weights).run())
+    got = mixing.placed_blocks(spark, blocks, weights, step=50).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == sum(blocks)
+    assert [r[5] for r in want] == list(range(len(want))) and [r[1] for r in want[-5:]] == [4] * 5

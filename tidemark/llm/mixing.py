@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from fractions import Fraction
+from itertools import islice
+from math import lcm
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import gapless_rank, spread, spread_key
 
-#: Slots of a period: target weights are whole multiples of one part in so many.
-PERIOD = 1000
 #: Documents of a block.
 BLOCK = 16
-#: Up to so many template rows are sent to all tasks; beyond, Spark joins them by shuffle.
+#: Slots that one task places; the driver keeps the state at the first of each.
+STEP = 4096
+#: Up to so many placed blocks are sent to all tasks; beyond, Spark joins them by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -35,53 +40,107 @@ def units(weights: dict, period: int) -> dict:
     return out
 
 
-def schedule(parts: dict, period: int) -> list[tuple[object, int, int, int]]:
-    """One period, a slot after another: (source, its j-th block, release, deadline).
+def whole(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportion of weights."""
+    exact = [Fraction(w) for w in weights]
+    if any(w < 0 for w in exact):
+        raise ValueError("a negative weight")
+    scale = lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
+
+
+@dataclass
+class Mixer:
+    """Places blocks of sources 0, 1, ..., a slot after another; copies of its state go on just the same.
 
-    Block j of a source with n slots is released at floor(j * period / n) and due at ceil((j + 1) * period / n); each
-    slot goes to the released block that is due first (ties: by name). At any slot each source has had its share of the
-    slots to within less than one block.
+    Block j of a source with share w is released at floor(j / w) and due at ceil((j + 1) / w), counted from the start of
+    the phase, in whole numbers; each slot goes to the released block that is due first (ties: by number). So at any slot
+    of a phase each source has had its exact share of the slots to within less than one block. A phase lasts until a
+    source that is due has no block left; the others go on at their weights among themselves. So all blocks get a slot,
+    and slots have no gaps. Sources of weight 0 come last. With a period, weights are rounded to whole slots of it.
     """
-    released = [[] for _ in range(period)]
-    for source, n in parts.items():
-        for j in range(n):
-            released[j * period // n].append((-(-(j + 1) * period // n), str(source), j, source))
-    out, due = [], []
-    for t in range(period):
-        for job in released[t]:
-            heapq.heappush(due, job[:3] + (job,))
-        deadline, _, j, job = heapq.heappop(due)
-        if t >= deadline:
-            raise AssertionError("a deadline passed")
-        out.append((job[3], j, j * period // parts[job[3]], deadline))
-    return out
+
+    blocks: list[int]
+    weights: list
+    period: int | None = None
+    phase: int = 0
+    #: Next slot, first slot of the phase, and blocks placed by now and before the phase.
+    slot: int = 0
+    first: int = 0
+    done: list[int] = field(default_factory=list)
+    before: list[int] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.done = list(self.done) or [0] * len(self.blocks)
+        self.before = list(self.before) or list(self.done)
+
+    def shares(self) -> dict[int, int]:
+        """Whole weights of the sources that have blocks in this phase."""
+        live = [s for s, n in enumerate(self.blocks) if self.before[s] < n]
+        live = [s for s in live if self.weights[s] > 0] or live
+        weights = {s: self.weights[s] or 1 for s in live}
+        if self.period:
+            return units(weights, max(self.period, 4 * len(live)))
+        return dict(zip(live, whole(list(weights.values())), strict=True))
+
+    def run(self) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(phase, source, block, release, deadline, slot) of all slots from here on."""
+        left = sum(self.blocks) - sum(self.done)
+        while left:
+            parts = self.shares()
+            total = sum(parts.values())
+            waiting = [((self.done[s] - self.before[s]) * total // a, s) for s, a in parts.items()]
+            heapq.heapify(waiting)
+            due = []
+            while True:
+                while waiting and waiting[0][0] <= self.slot - self.first:
+                    release, s = heapq.heappop(waiting)
+                    heapq.heappush(due, (-(-(self.done[s] - self.before[s] + 1) * total // parts[s]), s, release))
+                deadline, s, release = heapq.heappop(due)
+                if self.slot - self.first >= deadline:
+                    raise AssertionError("a deadline passed")
+                if self.done[s] == self.blocks[s]:
+                    break
+                block, at = self.done[s], self.slot
+                self.done[s], self.slot, left = block + 1, at + 1, left - 1
+                heapq.heappush(waiting, ((block + 1 - self.before[s]) * total // parts[s], s))
+                yield self.phase, s, block, self.first + release, self.first + deadline, at
+                if not left:
+                    return
+            self.phase, self.first, self.before = self.phase + 1, self.slot, list(self.done)
 
 
-def plan(blocks: dict, weights: dict, period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """Phases (phase, source, first block, end block, first slot) and template rows (phase, source, j, n, offset, release, deadline).
+def schedule(parts: dict, period: int) -> list[tuple[object, int, int, int]]:
+    """The first `period` slots of sources of these weights: (source, its j-th block, release, deadline)."""
+    names = sorted(parts, key=str)
+    run = Mixer([period] * len(names), [parts[s] for s in names]).run()
+    return [(names[s], j, release, deadline) for _, s, j, release, deadline, _ in islice(run, period)]
 
-    A phase lasts until a source that is due has no block left; the others go on at their weights among themselves. So
-    all blocks get a slot, and slots have no gaps. There are as many phases as sources at most.
+
+def starts(mixer: Mixer, step: int) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
+    """phase, slot, first, done and before of the mixer at every step-th slot."""
+    run, left = mixer.run(), sum(mixer.blocks)
+    while mixer.slot < left:
+        yield mixer.phase, mixer.slot, mixer.first, list(mixer.done), list(mixer.before)
+        next(islice(run, step - 1, step), None)
+
+
+def placed_blocks(spark: SparkSession, blocks: list[int], weights: list, period: int | None = None, step: int = STEP) -> DataFrame:
+    """mix_phase, __s (number of the source), mix_block, mix_release, mix_deadline, mix_slot of all blocks.
+
+    The driver goes through the slots and keeps one state every `step` slots; tasks go through them again from there.
     """
-    left, done = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
-    phases, templates, slot, k = [], [], 0, 0
-    while left:
-        size = max(period, 4 * len(left))
-        parts = units({s: weights[s] for s in left}, size)
-        template = schedule(parts, size)
-        whole = min(left[s] // parts[s] for s in left)
-        taken = {s: whole * parts[s] for s in left}
-        end = next((t for t, (s, j, _, _) in enumerate(template) if taken[s] + j >= left[s]), size)
-        for s, _, _, _ in template[:end]:
-            taken[s] += 1
-        phases += [(k, s, done[s], done[s] + taken[s], slot) for s in left if taken[s]]
-        templates += [(k, s, j, parts[s], t, release, deadline) for t, (s, j, release, deadline) in enumerate(template)]
-        slot += whole * size + end
-        for s, n in taken.items():
-            done[s] += n
-            left[s] -= n
-        left, k = {s: n for s, n in left.items() if n}, k + 1
-    return phases, templates
+    step = max(step, 4 * len(blocks))
+    rows = list(starts(Mixer(blocks, weights, period), step))
+    states = spark.createDataFrame(rows, "phase int, slot long, first long, done array<long>, before array<long>").repartition(max(1, len(rows)), "slot")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                run = Mixer(blocks, weights, period, int(r.phase), int(r.slot), int(r.first), [int(x) for x in r.done], [int(x) for x in r.before]).run()
+                yield pd.DataFrame(list(islice(run, step)), columns=["mix_phase", "__s", "mix_block", "mix_release", "mix_deadline", "mix_slot"])
+
+    return states.mapInPandas(place, "mix_phase int, __s int, mix_block long, mix_release long, mix_deadline long, mix_slot long")
 
 
 def root_weights(counts: dict) -> dict:
@@ -89,41 +148,33 @@ def root_weights(counts: dict) -> dict:
     return {s: n**0.5 for s, n in counts.items()}
 
 
-def scheduled(docs: DataFrame, weights: dict | Callable[[dict], dict] = root_weights, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict | Callable[[dict], dict] = root_weights, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """docs with mix_phase, mix_block, mix_release, mix_deadline, mix_slot and mix_place (place in the block).
 
     docs has doc_id, source and text. Rows of a source are ranked by a hash of id and text and cut into blocks; all rows
     get a place. A null source is a source. weights: target weight by source (as 'source' or None), or a function of the
-    rows by source; sources without a weight raise KeyError. Only one row per source comes to the driver. An empty table
-    stays empty; columns of these names are replaced.
+    rows by source; sources without a weight raise KeyError. They hold exactly, or with a period rounded to whole slots
+    of it. Only one row per source comes to the driver. An empty table stays empty; columns of these names are replaced.
     """
     keyed = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     counts = {r["__source"]: r["count"] for r in keyed.groupBy("__source").count().collect()}
     by_name = {s[1:] if s else None: n for s, n in counts.items()}
     target = weights(by_name) if callable(weights) else weights
-    phases, templates = plan({s: -(-n // block) for s, n in counts.items()}, {s: target[s[1:] if s else None] for s in counts}, period)
-    spark = docs.sparkSession
-    phases = spark.createDataFrame(phases, "__p int, __s string, __from long, __to long, __slot long")
-    small = len(templates) <= BROADCAST_ROWS
-    templates = spark.createDataFrame(templates, "__tp int, __ts string, __j int, __n int, __offset long, __release long, __deadline long")
-    if small:
-        phases, templates = F.broadcast(phases), F.broadcast(templates)
+    spark, names = docs.sparkSession, sorted(counts)
+    blocks = [-(-counts[s] // block) for s in names]
+    placed = placed_blocks(spark, blocks, [target[s[1:] if s else None] for s in names], period)
+    numbers = spark.createDataFrame(list(enumerate(names)), "__s int, __name string")
+    if sum(blocks) <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     keyed = keyed.withColumn("__range", spread(F.col("doc_id"), crc))
     ranked = gapless_rank(keyed, "__source", "__range", [spread_key(F.col("doc_id"), crc), F.col("doc_id"), crc], "__at")
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("__at") / block)).withColumn("mix_place", (F.col("__at") % block).cast("int"))
-    placed = ranked.join(phases, (F.col("__source") == F.col("__s")) & (F.col("mix_block") >= F.col("__from")) & (F.col("mix_block") < F.col("__to")))
-    placed = placed.withColumn("__b", F.col("mix_block") - F.col("__from"))
-    # templates of one source and phase all have the same n, so the block's place in its period is known from the phase
-    n = templates.groupBy("__tp", "__ts").agg(F.first("__n").alias("__units")).withColumnsRenamed({"__tp": "__up", "__ts": "__us"})
-    size = templates.groupBy("__tp").agg((F.max("__offset") + 1).alias("__size")).withColumnRenamed("__tp", "__zp")
-    placed = placed.join(F.broadcast(n), (F.col("__p") == F.col("__up")) & (F.col("__s") == F.col("__us"))).join(F.broadcast(size), F.col("__p") == F.col("__zp"))
-    placed = placed.join(templates, (F.col("__p") == F.col("__tp")) & (F.col("__s") == F.col("__ts")) & ((F.col("__b") % F.col("__units")) == F.col("__j")))
-    start = F.col("__slot") + F.floor(F.col("__b") / F.col("__units")) * F.col("__size")
-    placed = placed.withColumn("mix_phase", F.col("__p"))
-    for name, offset in (("mix_slot", "__offset"), ("mix_release", "__release"), ("mix_deadline", "__deadline")):
-        placed = placed.withColumn(name, (start + F.col(offset)).cast("long"))
-    return placed.select(*(f"`{c}`" for c in docs.columns if not c.startswith("mix_")), "mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+    kept = [f"`{c}`" for c in docs.columns if not c.startswith("mix_")]
+    ranked = ranked.join(F.broadcast(numbers), F.col("__source") == F.col("__name"))
+    ranked = ranked.select(*kept, "__s", F.floor(F.col("__at") / block).alias("mix_block"), (F.col("__at") % block).cast("int").alias("mix_place"))
+    placed = placed.withColumnsRenamed({"__s": "__ps", "mix_block": "__pb"})
+    joined = ranked.join(placed, (F.col("__s") == F.col("__ps")) & (F.col("mix_block") == F.col("__pb")))
+    return joined.select(*kept, "mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
