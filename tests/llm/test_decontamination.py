@@ -63,3 +63,24 @@ def test_a_passage_that_most_of_the_corpus_has(spark):
     item = " ".join(f"q{j}" for j in range(30))
     docs = spark.createDataFrame([(i, f"a{i} b{i} {item} c{i}") for i in range(300)] + [(1000, "long " * 50000 + item)], "doc_id long, text string")
     assert dc.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 301
+
+
+def test_items_of_a_template_and_short_items(spark):
+    frame = [f"f{j}" for j in range(21)]
+    of = lambda slot: " ".join([*frame[:10], slot, *frame[11:]])
+    short = {100: "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9", 101: "b0 b1 b2 b3 b4", 102: "c0 c1 c2 c3", 103: "d0 d1 d2"}
+    bench = spark.createDataFrame([(k, of(f"slot{k}")) for k in range(30)] + list(short.items()), "item_id long, text string")
+    texts = {0: of("another"), 1: "a0 a1 a2 a3 x y a6 a7 a8 a9", 2: "b0 b1 z b3 b4", 3: "c0 c1 new c2 c3", 4: "d0 d1 d2", 5: " ".join(frame[:6]), 6: "d0 d1 x", 7: "f0 " * 3000}
+    docs = spark.createDataFrame([(d, f"some words {t} at last") for d, t in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()}
+    assert got == {(0, k) for k in range(30)} | {(1, 100), (2, 101), (3, 102), (4, 103)}
+    assert sorted(r.doc_id for r in dc.drop_leaks(docs, bench).collect()) == [5, 6, 7]
+
+
+def test_places_joined_in_parts_give_the_same_windows(monkeypatch):
+    items = [(k, " ".join(f"w{j % (k + 3)}" for j in range(20))) for k in range(6)]
+    text = " ".join(f"w{(j * j) % 7}" for j in range(3000)) + " " + items[4][1]
+    matcher = dc.Matcher(items, 0.8)
+    whole = matcher.hits(dc.tokens(text)[0])
+    monkeypatch.setattr(dc, "PLACES", 7)
+    assert matcher.hits(dc.tokens(text)[0]) == whole and whole

@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds find places, Smith-Waterman alignment of words scores them."""
+"""Benchmark decontamination: n-gram seeds find places, Smith-Waterman alignment of words scores them."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,10 @@ from tidemark.llm.words import mix, word_hashes
 U = np.uint64
 #: Words of a seed; one more word may stand between them, in the item or in the document.
 SEED = 5
-#: Seeds of more items than this are common; they only count for items that have no rarer ones.
-RARE = 8
+#: Items of up to so many words have seeds of one word less: two edits side by side may leave runs of four words.
+SHORT = 10
+#: Places of seeds that are joined into windows at once.
+PLACES = 1 << 20
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 BLOCK_BYTES = 32 << 20
 #: Share of the words of item and passage that must be aligned and equal.
@@ -77,50 +78,56 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
     return best, equal, i, end_i, j, end_j
 
 
+def _overlaps_joined(windows: np.ndarray) -> np.ndarray:
+    """Sorted windows (first row: starts, second: ends), those that overlap or touch joined."""
+    first, last = windows[:, np.argsort(windows[0], kind="stable")]
+    if not len(first):
+        return windows
+    last = np.maximum.accumulate(last)
+    new = np.flatnonzero(first[1:] > last[:-1]) + 1
+    return np.stack([first[np.concatenate(([0], new))], last[np.concatenate((new - 1, [len(last) - 1]))]])
+
+
 class Matcher:
     """Searches texts for the items (id, text) of one block of a benchmark."""
 
-    def __init__(self, items: list[tuple[object, str]], similarity: float, size: int = SEED, rare: int = RARE):
+    def __init__(self, items: list[tuple[object, str]], similarity: float, size: int = SEED):
         self.ids = [i for i, _ in items]
         self.words = [tokens(t or "")[0] for _, t in items]
-        self.similarity, self.size = similarity, size
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < size})
+        self.similarity = similarity
+        sizes = [size if len(w) > SHORT else min(size - 1, len(w)) for w in self.words]
+        self.sizes = sorted({n for n in sizes if n})
         rows = []
-        for k, w in enumerate(self.words):
-            h, at = seeds(w, size) if len(w) >= size else (_joined(list(w[:, None])) if len(w) else w, np.zeros(min(1, len(w)), np.int64))
+        for k, (w, n) in enumerate(zip(self.words, sizes, strict=True)):
+            h, at = seeds(w, n) if n else (w, np.zeros(0, np.int64))
             rows.append((h, np.full(len(h), k), at))
         h, item, at = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
-        shared = Counter(np.unique(np.stack([h.view(np.int64), item]), axis=1)[0].tolist()) if len(h) else Counter()
-        often = np.array([shared[x] for x in h.view(np.int64).tolist()], np.int64)
-        has_rare = set(item[often <= rare].tolist())
-        use = (often <= rare) | ~np.isin(item, list(has_rare))
-        order = np.argsort(h[use], kind="stable")
-        self.seed, self.item, self.at = h[use][order].astype(np.uint64), item[use][order], at[use][order]
+        order = np.argsort(h, kind="stable")
+        self.seed, self.item, self.at = h[order].astype(np.uint64), item[order], at[order]
+        self.length = np.array([len(w) for w in self.words], np.int64)
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
         self.bloom[self.seed >> U(64 - _BLOOM_BITS)] = True
 
     def hits(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word of the window, last) around the seeds of a text, windows of an item that overlap joined."""
-        found = [seeds(h, self.size)] + [(_joined([h[i : len(h) - n + 1 + i] for i in range(n)]), np.arange(len(h) - n + 1)) for n in self.short if len(h) >= n]
-        marks = []
-        for values, at in found:
+        step = len(h) + 1  # windows of item k lie from k * step on, so all are joined in one pass
+        windows = np.zeros((2, 0), np.int64)
+        for size in self.sizes:
+            values, at = seeds(h, size)
             near = self.bloom[values >> U(64 - _BLOOM_BITS)]
             values, at = values[near], at[near]
             lo, hi = np.searchsorted(self.seed, values), np.searchsorted(self.seed, values, side="right")
-            for v in np.flatnonzero(hi > lo):
-                for s in range(lo[v], hi[v]):
-                    k = int(self.item[s])
-                    n = len(self.words[k])
-                    start = int(at[v] - self.at[s])
-                    slack = n // 4 + 2
-                    marks.append((k, max(0, start - slack), min(len(h), start + n + slack)))
-        out = []
-        for k, a, b in sorted(set(marks)):
-            if out and out[-1][0] == k and a <= out[-1][2]:
-                out[-1] = (k, out[-1][1], max(b, out[-1][2]))
-            else:
-                out.append((k, a, b))
-        return out
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, PLACES):
+                place = np.arange(first, min(first + PLACES, int(ends[-1])))
+                v = np.searchsorted(ends, place, side="right")
+                s = lo[v] + place - (ends[v] - n[v])
+                k = self.item[s]
+                start, slack = at[v] - self.at[s], self.length[k] // 4 + 2
+                marks = k * step + np.stack([np.maximum(0, start - slack), np.minimum(len(h), start + self.length[k] + slack)])
+                windows = _overlaps_joined(np.concatenate([windows, marks], axis=1))
+        return [(int(a) // step, int(a) % step, int(b) % step) for a, b in windows.T]
 
     def search(self, text: str) -> list[dict]:
         """The best passage for each item that is similar enough."""
@@ -132,6 +139,8 @@ class Matcher:
             n = len(self.words[k])
             for at in range(a, b, 8 * n + 64):  # long joined windows in pieces that overlap by more than one item
                 part = h[at : min(b, at + 10 * n + 64)]
+                if np.isin(self.words[k], part).sum() < self.similarity * n - 1e-9:
+                    continue  # too few words of the item stand here
                 score, equal, _, _, j, end = align(self.words[k], part)
                 similarity = equal / max(n, end - j)
                 if similarity >= self.similarity and (k not in best or similarity > best[k]["similarity"]):
