@@ -71,3 +71,16 @@ def test_components_of_long_paths(spark):
 
 def test_the_bound_of_shared_values():
     assert minhash.miss_probability() < 1e-9
+
+
+def test_keep_one_tells_rows_apart_by_text(spark):
+    base = [f"v{i}" for i in range(60)]
+    near = " ".join(["other", *base[1:]])
+    rows = [(None, " ".join(base), "p"), (None, near, "q"), (None, "a text of its own without an id", "r"), (None, "", "s"), (None, None, "t"), (None, " ", "u"), (None, None, "t")]
+    rows += [(7, "one clean text under this id here", "v"), (7, "quite another one with the same number", "w"), (8, "ONE clean text under this id here", "x")]
+    docs = spark.createDataFrame([(i, t, x, {x: 1}) for i, t, x in rows], "doc_id long, text string, tag string, of map<string,int>")
+    got = minhash.keep_one(docs)
+    tags = sorted(r.tag for r in got.collect())
+    assert got.columns == docs.columns and tags in ([*"prstuvw"], [*"qrstuvw"])
+    found = {r.component_id for r in minhash.near_duplicates(docs).where("n_shingles = 56").collect()}
+    assert found == {None}

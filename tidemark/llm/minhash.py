@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tidemark.llm.common import stored
 from tidemark.llm.words import shingle_set
@@ -214,23 +215,16 @@ def joined(marked: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
-
-    Two documents are linked if their sets of distinct word shingles have 100 * intersection >= percent * union; a text
-    with fewer words is one shingle, and a null or empty text has none and no link. Documents of equal sets are one
-    class from the start. Classes that share listed sketch values are candidates; all of a list are first compared with
-    one of them, round by round, and lists that have become one component are done; what is left is compared across
-    components. Sketches of unions filter the candidates and full sets confirm them. Rows with a null id count in their
-    component but don't name it: kept is true for them only if no row of it has an id. Rows that repeat a doc_id are
-    kept alike.
-    """
+def grouped(docs: DataFrame, words: int, percent: int, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, digest, n, sketch), classes of equal sets (digest, rep, n, sketch; rep: smallest id), and the
+    component (node, label) of the linked classes."""
     similarity = percent / 100
     rows = stored(sketches(docs, words, k), "sketches")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = stored(sketch_lists(classes, similarity), "lists")
     wanted = lists.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
-    texts = sketches_with_text(docs, words).join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["digest", "doc_id"])
+    wanted = wanted.select(F.col("digest").alias("w_digest"), "rep").hint("shuffle_hash")
+    texts = sketches_with_text(docs, words).join(wanted, (F.col("digest") == F.col("w_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = stored(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
     links, labels = None, None
     for turn in range(3):
@@ -245,6 +239,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
             found = found.unionByName(joined(marked, texts, words, percent))
         links = stored(found if links is None else links.unionByName(found), "links")
         labels = components(links)
+    return rows, classes, labels
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    Two documents are linked if their sets of distinct word shingles have 100 * intersection >= percent * union; a text
+    with fewer words is one shingle, and a null or empty text has none and no link. Documents of equal sets are one
+    class from the start. Classes that share listed sketch values are candidates; all of a list are first compared with
+    one of them, round by round, and lists that have become one component are done; what is left is compared across
+    components. Sketches of unions filter the candidates and full sets confirm them. Rows with a null id count in their
+    component but don't name it: kept is true for them only if no row of it has an id. Rows that repeat a doc_id are
+    kept alike.
+    """
+    rows, classes, labels = grouped(docs, words, percent, k)
     named = labels.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
     first = named.groupBy("label").agg(F.min("rep").alias("component"))
     reach = named.join(first, "label").select(F.col("node").alias("digest"), "component")
@@ -266,10 +275,26 @@ def sketches_with_text(docs: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with their own columns, one document of each component (the smallest id; repeats of its row once)."""
-    found = near_duplicates(docs, words, percent).where("kept").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
-    held = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    return held.join(found, held["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").select("__row.*").dropDuplicates(["doc_id"])
+    """docs with their own columns, one document of each component: that of the smallest id, null ones last.
+
+    Rows are told apart by id and shingle set, so different texts under one id or without an id are different
+    documents. Rows without a word have no component; they all stay, and only repeats of a whole row count once.
+    """
+    _, classes, labels = grouped(docs, words, percent)
+    known = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    first = known.groupBy(F.coalesce("label", "digest").alias("comp")).agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("f"))
+    chosen = first.select(F.col("f.rep").alias("__id"), F.col("f.digest").alias("__chosen"))
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_128_digest(shingle_set(t.encode(), words)) for t in texts], dtype=object)
+
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    held = docs.where(worded).select(F.col("doc_id").alias("__doc"), digest("text").alias("__digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    one = held.join(chosen, (F.col("__digest") == F.col("__chosen")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__digest"])
+    whole = [F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema]
+    empty = docs.where(~worded).select(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(whole))).alias("__key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    return one.select("__row.*").unionByName(empty.dropDuplicates(["__key"]).select("__row.*"))
 
 
 def miss_probability(k: int = K, shared: int = SHARED, similarity: float = 0.8) -> float:
