@@ -73,6 +73,22 @@ def test_similar_titles_match_difflib(spark):
     assert got == {(a, b) for b in range(60) for a in range(b) if difflib.SequenceMatcher(None, norm[b], norm[a]).ratio() >= 0.8}
 
 
+def test_first_titles_are_kept_across_beginnings_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "TITLE_BLOCK", 40)
+    rng = random.Random(3)
+    words = ["rate", "fed", "the", "markets", "gold", "rises", "after", "vote", "on", "banks", "energy", "report"]
+    titles = ["The Fed holds its rate after the vote", "Fed holds its rate after the vote", "  the fed holds its rate after the vote", "", "", None, None]
+    for _ in range(40):
+        base = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 20)))
+        titles += [base, "The " + base, base[:3] + "x" + base[4:], base[: len(base) // 2].upper()]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "ord long, title string")
+    kept = []
+    for i, t in enumerate(titles):
+        if t is None or not any(titles[k] is not None and difflib.SequenceMatcher(None, t.strip().lower(), titles[k].strip().lower()).ratio() >= 0.85 for k in kept):
+            kept.append(i)
+    assert sorted(r.ord for r in search.keep_first_titles(rows, 0.85).collect()) == kept and 1 not in kept and 2 not in kept
+
+
 def test_chunks_cover_the_text():
     text = " ".join(f"word{i}" for i in range(3000))
     spans = list(chunks.chunk_spans(text))
