@@ -62,3 +62,9 @@ def fiscal_period(filed: Column, form: Column) -> Column:
 def iso_week(day: Column) -> Column:
     """ISO year and week as one number."""
     return F.extract(F.lit("YEAROFWEEK"), day) * 100 + F.weekofyear(day)
+
+
+def window_start(until: Column, days: int) -> Column:
+    """So many days before a time; from a Monday, Sunday or Saturday the weekend counts on top, so that days with trade remain."""
+    extra = F.when(F.weekday(until) == 0, 2).when(F.weekday(until) == 6, 2).when(F.weekday(until) == 5, 1).otherwise(0)
+    return F.date_sub(F.to_date(until), F.lit(days) + extra).cast("timestamp_ntz")

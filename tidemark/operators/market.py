@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import finance
@@ -103,3 +103,6 @@ def sources_merged(articles: DataFrame, priority: DataFrame, per_source: int) ->
     return known.orderBy("priority", F.col("published_at").desc(), "id")
 
 
+def bars_between(ticks: DataFrame, width: str, since: Column, until: Column) -> DataFrame:
+    """Bars of some width over a closed time range; the range reaches the scan."""
+    return bars(ticks.where((F.col("ts") >= since) & (F.col("ts") <= until)), width)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import iso_week
-from tidemark.operators.tables import top_per
+from tidemark.functions import finance
+from tidemark.functions.dates import fiscal_period, iso_week, latest_evidence
+from tidemark.operators.tables import latest_per, top_per
 
 
 def with_links(stories: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
@@ -91,3 +92,68 @@ def cross_source(rows: DataFrame, priority: DataFrame, group: list[str]) -> Data
 def unembedded(rows: DataFrame, vector: str, key: str, most: int) -> DataFrame:
     """The next rows that have no vector yet."""
     return rows.where(F.col(vector).isNull()).orderBy(key).limit(most)
+
+
+def clean_tickers(tickers: Column) -> Column:
+    """Trimmed, upper case, without blanks; each once, in the order in which they come."""
+    return F.array_distinct(F.filter(F.transform(tickers, lambda t: F.upper(F.trim(t))), lambda t: t != ""))
+
+
+def neighbours(rows: DataFrame, ticker: str, related: str) -> DataFrame:
+    """ticker, related: each ticker that stands beside another one, once."""
+    pairs = rows.select(F.col(ticker).alias("ticker"), F.explode(clean_tickers(F.col(related))).alias("related"))
+    return pairs.where("ticker <> related").distinct()
+
+
+def latest_briefs(briefs: DataFrame) -> DataFrame:
+    """The last revision of each day's brief of an asset and topic."""
+    return latest_per(briefs, ["as_of_date", "asset", "topic"], "revision")
+
+
+def briefs_between(briefs: DataFrame, topic: str | None, since: Column, until: Column) -> DataFrame:
+    """The briefs of a topic (or all) in a closed range of days, newest first."""
+    asked = briefs.where(F.col("as_of_date").between(since, until))
+    asked = asked if topic is None else asked.where(F.col("topic") == topic)
+    return latest_briefs(asked).orderBy(F.col("as_of_date").desc(), "topic")
+
+
+def daily_summary(briefs: DataFrame, day: Column, answer: Callable[..., Column] | None = None) -> DataFrame:
+    """as_of_date, title, summary of one day from its briefs' titles, by topic; no row for a day without briefs."""
+    titles = briefs.where(F.col("as_of_date") == day).groupBy("as_of_date").agg(F.sort_array(F.collect_list(F.struct("topic", "title"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["title"]), "; ")
+    return titles.select("as_of_date", F.concat(F.lit("Summary of "), F.col("as_of_date").cast("string")).alias("title"), (answer(text) if answer else text).alias("summary"))
+
+
+def anchor_seeds(articles: DataFrame, day: Column, tickers: list[str], collector: str = "gemini") -> DataFrame:
+    """The articles of one collector, day and some tickers, with trimmed titles."""
+    found = articles.where((F.to_date("published_at") == day) & F.col("ticker").isin(tickers) & (F.col("collector") == collector))
+    return found.withColumn("title", F.trim("title"))
+
+
+def with_articles(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """The articles of stories with their role, newest first in each story."""
+    return links.join(articles.withColumnRenamed("id", "article_id"), "article_id").withColumnRenamed("article_id", "id").orderBy("story_id", F.col("published_at").desc(), "id")
+
+
+def filing_chunk(links: DataFrame, filings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The first filing of each story with its first chunk and the filing's title."""
+    one = links.groupBy("story_id").agg(F.min("filing_id").alias("filing_id"))
+    chunk = chunks.groupBy("filing_id").agg(F.min("chunk_index").alias("chunk_index"))
+    filed = filings.select(F.col("id").alias("filing_id"), "form_type", "filed_date")
+    title = finance.filing_title(F.col("form_type"), F.col("filed_date"), F.year("filed_date"), fiscal_period(F.col("filed_date"), F.col("form_type")))
+    return one.join(filed, "filing_id").join(chunk, "filing_id").withColumn("title", title)
+
+
+def overnight(stories: DataFrame, since: Column, until: Column, tickers: list[str] | None = None, labels: tuple[str, ...] = ("OVERNIGHT", "MIXED", "UNKNOWN")) -> DataFrame:
+    """Stories of some session labels whose latest evidence lies in a closed range (event_time), newest first."""
+    found = stories.where(F.col("session_label").isin(*labels))
+    found = found.where(F.col("ticker").isin(tickers)) if tickers else found
+    timed = found.withColumn("event_time", latest_evidence(F.col("evidence")))
+    return timed.where(F.col("event_time").between(since, until)).orderBy(F.col("event_time").desc(), "id")
+
+
+def large_moves(stories: DataFrame, least: float) -> DataFrame:
+    """Overnight stories with an expected move of at least so many per cent, and the move with its sign."""
+    sign = F.when(F.col("direction_bias") == "UP", 1.0).when(F.col("direction_bias") == "DOWN", -1.0).otherwise(0.0)
+    found = stories.where((F.col("session_label") == "OVERNIGHT") & (F.col("expected_abs_move_pct") >= least))
+    return found.withColumn("move", sign * F.col("expected_abs_move_pct"))

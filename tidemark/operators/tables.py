@@ -108,3 +108,41 @@ def missing_days(df: DataFrame, group: str, day: Column, days: Column) -> DataFr
     had = df.select(F.col(group), day.alias("day")).distinct()
     grid = had.select(group).distinct().select(group, F.explode(days).alias("day"))
     return grid.join(had, [group, "day"], "left_anti")
+
+
+def looked_up(df: DataFrame, key: str, values: list) -> DataFrame:
+    """Rows of some keys; a list of keys becomes a filter that the scan gets."""
+    return df.where(F.col(key).isin(values))
+
+
+def of_symbols(df: DataFrame, column: str, symbols: list[str]) -> DataFrame:
+    """Rows of some symbols, in either case; blanks around a symbol don't count."""
+    return df.where(F.upper(F.trim(column)).isin([s.strip().upper() for s in symbols]))
+
+
+def within(df: DataFrame, at: str, since: Column, until: Column) -> DataFrame:
+    """Rows of a closed time range; rows without a time drop out."""
+    return df.where(F.col(at).between(since, until))
+
+
+def first_of_id(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key, by a map-side minimum; rows without a key drop out."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    top = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, *rest)).alias("__top"))
+    return top.select(*(F.col(key) if c == key else F.col(f"__top.{c}").alias(c) for c in df.columns))
+
+
+def unseen_added(df: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """df and the rows of `new` whose key it doesn't have."""
+    return df.unionByName(new.join(df.select(*keys).distinct(), keys, "left_anti").select(*df.columns))
+
+
+def months_complete(df: DataFrame, group: str, day: Column, months: list[Column]) -> DataFrame:
+    """Whether a group has rows on each sample day of a month: the 1st, 3rd, 7th, 15th, 22nd, the middle and the last day."""
+    had = df.select(group, day.alias("day")).distinct()
+    size = F.dayofmonth(F.last_day("m"))
+    days = F.array(F.lit(1), F.floor(size / 2), size, F.lit(3), F.lit(7), F.lit(15), F.lit(22))
+    grid = had.select(group).distinct().select(group, F.explode(F.array(*months)).alias("m")).select(group, "m", F.explode(days).alias("n"))
+    grid = grid.select(group, "m", F.date_add("m", (F.col("n") - 1).cast("int")).alias("day"))
+    seen = grid.join(had.withColumn("seen", F.lit(True)), [group, "day"], "left")
+    return seen.groupBy(group, F.date_format("m", "yyyy-MM").alias("month")).agg(F.bool_and(F.coalesce("seen", F.lit(False))).alias("complete"))

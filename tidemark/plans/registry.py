@@ -13,32 +13,28 @@ from tidemark.inputs import ARTICLES, DAILY, FILINGS, TICKS, VECTORS, articles,
 from tidemark.operators import chunks, graph, market, search, stories, tables
 from tidemark.operators import vectors as vec
 from tidemark.plans import jobs
+from tidemark.plans.base import QUERIES, SQL, query
 from tidemark.streaming import limits
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 #: Thresholds for the supplied vectors, whose largest cosine is about 0.5.
 T_ASSIGN, T_GRAPH = 0.30, 0.35
 #: Words that occur in the supplied prose, beside the default lists.
 FIXTURE_WORDS = ("rate", "gold", "ig", "fed", "the", "tion")
 
 
-def query(sql: str = "", *ctes: str):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = f"WITH RECURSIVE {', '.join(ctes)} {sql}" if ctes else sql
-        return f
-
-    return keep
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    import_all()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    import_all()
+    return dict(SQL)
+
+
+def import_all() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from tidemark.plans import reads  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
