@@ -68,3 +68,9 @@ def window_start(until: Column, days: int) -> Column:
     """So many days before a time; from a Monday, Sunday or Saturday the weekend counts on top, so that days with trade remain."""
     extra = F.when(F.weekday(until) == 0, 2).when(F.weekday(until) == 6, 2).when(F.weekday(until) == 5, 1).otherwise(0)
     return F.date_sub(F.to_date(until), F.lit(days) + extra).cast("timestamp_ntz")
+
+
+def from_market_time(raw: Column) -> Column:
+    """New York wall time as text (yyyy-MM-dd HH:mm:ss) in UTC, without zone; what can't be read is null."""
+    wall = F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(MARKET_TZ), F.lit("UTC"), wall)

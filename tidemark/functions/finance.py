@@ -113,3 +113,10 @@ def filing_title(form: Column, filed: Column, year: Column, period: Column) -> C
     y = F.coalesce(year.cast("string"), F.year(filed).cast("string"))
     tail = F.when(period.isNotNull() & y.isNotNull() & (period != "FY"), F.concat_ws(" ", period, y)).otherwise(y)
     return F.concat_ws(" · ", F.coalesce(form, F.lit("Filing")), tail)
+
+
+def primary_topic(topics: Column) -> Column:
+    """(topic, score) of the largest relevance_score of an array of topics, the first of equal ones; null without a number."""
+    scored = F.transform(topics, lambda t, i: F.struct(t["relevance_score"].try_cast("double").alias("score"), (-i).alias("place"), t["topic"].alias("topic")))
+    best = F.array_max(F.filter(scored, lambda t: t["score"].isNotNull()))
+    return F.struct(best["topic"].alias("topic"), best["score"].alias("score"))

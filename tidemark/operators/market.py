@@ -106,3 +106,23 @@ def sources_merged(articles: DataFrame, priority: DataFrame, per_source: int) ->
 def bars_between(ticks: DataFrame, width: str, since: Column, until: Column) -> DataFrame:
     """Bars of some width over a closed time range; the range reaches the scan."""
     return bars(ticks.where((F.col("ts") >= since) & (F.col("ts") <= until)), width)
+
+
+def snapshots(days: DataFrame, trades: DataFrame, market_open: Column) -> DataFrame:
+    """symbol, price, daily_close, previous_close, change, change_percent, extended_change, extended_change_percent.
+
+    days: daily bars; trades: ticker, trade (its last price, null: the close). The change of the day is 0 without a close
+    before; changes after hours are null while the market is open.
+    """
+    top = F.sort_array(F.collect_list(F.struct("start", "close")), asc=False)
+    w = Window.partitionBy("ticker").orderBy(F.col("start").desc())
+    two = days.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("ticker").agg(top.alias("d"))
+    rows = two.select(F.col("ticker"), F.try_element_at("d", F.lit(1))["close"].alias("close"), F.try_element_at("d", F.lit(2))["close"].alias("previous")).join(trades, "ticker", "left")
+    price = F.coalesce("trade", "close")
+    moved = F.when(F.col("previous") > 0, F.col("close") - F.col("previous")).otherwise(0.0)
+    after = F.when(~market_open & (F.col("close") > 0), price - F.col("close"))
+    return rows.select(
+        F.col("ticker").alias("symbol"), F.round(price, 2).alias("price"), F.round("close", 2).alias("daily_close"), F.round("previous", 2).alias("previous_close"),
+        F.round(moved, 2).alias("change"), F.round(F.coalesce(moved / F.nullif(F.col("previous"), F.lit(0.0)) * 100, F.lit(0.0)), 2).alias("change_percent"),
+        F.round(after, 2).alias("extended_change"), F.round(after / F.col("close") * 100, 2).alias("extended_change_percent"),
+    )

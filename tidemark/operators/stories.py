@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import finance
 from tidemark.functions.dates import fiscal_period, iso_week, latest_evidence
+from tidemark.functions.ids import bigint_id, joined_key
 from tidemark.operators.tables import latest_per, top_per
 
 
@@ -157,3 +158,64 @@ def large_moves(stories: DataFrame, least: float) -> DataFrame:
     sign = F.when(F.col("direction_bias") == "UP", 1.0).when(F.col("direction_bias") == "DOWN", -1.0).otherwise(0.0)
     found = stories.where((F.col("session_label") == "OVERNIGHT") & (F.col("expected_abs_move_pct") >= least))
     return found.withColumn("move", sign * F.col("expected_abs_move_pct"))
+
+
+def article_key(url: Column, published_at: Column, title: Column) -> Column:
+    """What tells articles of a ticker apart: the URL, else time and title."""
+    named = F.concat_ws("|", F.date_format(published_at, "yyyy-MM-dd HH:mm:ss"), F.coalesce(title, F.lit("")))
+    return F.coalesce(F.nullif(F.trim(url), F.lit("")), named)
+
+
+def with_fiscal_year(filings: DataFrame) -> DataFrame:
+    """Filings whose year and period are filled where they are missing."""
+    out = filings.withColumn("fiscal_year", F.coalesce("fiscal_year", F.year("filed_date")))
+    period = fiscal_period(F.col("filed_date"), F.col("form_type"))
+    return out.withColumn("period", F.coalesce("period", period) if "period" in filings.columns else period)
+
+
+def with_doc_type(chunks: DataFrame, filings: DataFrame, default: str = "10-K") -> DataFrame:
+    """Chunks (filing_id) with the form of their filing; without a filing the default."""
+    forms = filings.select(F.col("id").alias("filing_id"), F.col("form_type").alias("doc_type"))
+    return chunks.join(forms, "filing_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit(default)))
+
+
+def impact_reports(briefs: DataFrame, portfolios: DataFrame, answer: Callable[..., Column] | None = None) -> DataFrame:
+    """One report per day and portfolio: id, as_of_date, portfolio_id, topics, briefs, report_markdown, revision."""
+    days = briefs.groupBy("as_of_date").agg(F.count("*").alias("briefs"), F.sort_array(F.collect_list(F.struct("topic", "title"))).alias("t"), F.max("revision").alias("revision"))
+    each = days.join(F.broadcast(portfolios), F.lit(True))  # portfolios are a stated set
+    text = F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["title"])), "\n")
+    key = F.concat_ws("_", F.lit("impact"), F.col("as_of_date").cast("string"), "portfolio_id")
+    return each.select(bigint_id(key).alias("id"), "as_of_date", "portfolio_id", F.transform("t", lambda x: x["topic"]).alias("topics"), "briefs", (answer(text) if answer else text).alias("report_markdown"), "revision")
+
+
+def story_id(day: Column, ticker: Column, seed: Column) -> Column:
+    """The same day, ticker and seed give the same number."""
+    return bigint_id(joined_key(day, ticker, seed))
+
+
+def valid_roles(links: DataFrame, roles: tuple[str, ...] = ("PRIMARY", "SUPPORTING", "ANCHOR")) -> DataFrame:
+    """Links of known roles; others are left out."""
+    return links.where(F.col("role").isin(*roles))
+
+
+def new_ids(rows: DataFrame, new: Column) -> DataFrame:
+    """id, new_id of the rows, those that have theirs already included."""
+    return rows.select("id", new.alias("new_id"))
+
+
+def remapped(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
+    """Rows whose reference follows to the new ids; references to unknown ids stay."""
+    to = moved.select(F.col("id").alias(column), "new_id")
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("new_id", column)).drop("new_id")
+
+
+def changed_symbols(listed: DataFrame, add: list[str] = (), remove: list[str] = ()) -> DataFrame:
+    """A watchlist after symbols were added and removed; both in either case."""
+    gone = [s.strip().upper() for s in remove]
+    new = listed.sparkSession.createDataFrame([(s,) for s in add], "symbol string")
+    return symbols(listed.select("symbol").unionByName(new)).where(~F.col("symbol").isin(gone))
+
+
+def of_missing_days(rows: DataFrame, day: str, since: Column, until: Column, loaded: DataFrame) -> DataFrame:
+    """Rows of the days of a closed range that aren't loaded yet."""
+    return rows.where(F.col(day).between(since, until)).join(loaded.select(day).distinct(), day, "left_anti")

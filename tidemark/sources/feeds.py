@@ -167,3 +167,9 @@ def buckets(first: Column, last: Column, days: int = 15) -> Column:
 def registered(sources: DataFrame, kinds: tuple[str, ...] = ("news", "multi")) -> DataFrame:
     """Enabled sources of some kinds, by priority, from a table (source_id, enabled, priority, source_type)."""
     return sources.where(F.col("enabled") & F.col("source_type").isin(*kinds)).orderBy("priority", "source_id")
+
+
+def recent_filers(lines: DataFrame, tickers: DataFrame, since: Column, until: Column, forms: list[str] | None = None) -> DataFrame:
+    """Tickers (cik, ticker) with a filing in a closed range of days in form index lines, each once."""
+    found = filing_index(lines, forms).where(F.col("filed_date").between(since, until))
+    return found.select("cik").distinct().join(tickers, "cik").select("ticker").distinct()
