@@ -19,3 +19,8 @@ def joined_key(*parts: Column) -> Column:
 def short_id(prefix: str, *parts: Column) -> Column:
     """prefix and twelve hex digits of the MD5 of the parts."""
     return F.concat(F.lit(prefix), F.substring(F.md5(F.concat(*(F.coalesce(p, F.lit("")) for p in parts))), 1, 12))
+
+
+def members_key(member: Column) -> Column:
+    """A key of a group from its members in any order (an aggregate that Spark merges): smallest, count, combined hashes."""
+    return joined_key(F.min(member), F.count(member), F.bit_xor(bigint_id(member.cast("string"))))

@@ -17,7 +17,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("T"), F.col("doc_id") % 10).alias("ticker"),
         F.expr("timestampadd(HOUR, CAST(doc_id % 720 AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("published_at"),
         F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
-        F.substring("text", 1, 500).alias("summary"),
+        F.col("text").alias("summary"),
         "source",
         F.col("lang").alias("language"),
         F.when(F.col("doc_id") % 25 == 0, "gemini").otherwise("feed").alias("collector"),
@@ -26,7 +26,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARTICLES = """articles AS (SELECT doc_id AS id, 'T' || (doc_id % 10) AS ticker, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) AS published_at,
-  substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 1, 500) AS summary, source, lang AS language,
+  substr(split_part(text, chr(10), 1), 1, 120) AS title, text AS summary, source, lang AS language,
   CASE WHEN doc_id % 25 = 0 THEN 'gemini' ELSE 'feed' END AS collector, doc_id AS ord FROM documents)"""
 
 

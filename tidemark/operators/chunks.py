@@ -176,3 +176,30 @@ def packed(rows: DataFrame, group: str, order: str, text: str, limit: int = 6000
     ordered = sized.repartition(group).sortWithinPartitions(group, order)
     kinds = dict(rows.dtypes)
     return ordered.mapInPandas(take, f"{group} {kinds[group]}, {order} {kinds[order]}, {text} {kinds[text]}")
+
+
+def _bullets(raw: str | None) -> list[str]:
+    """Lines of the leaves of a JSON object, in its order; what holds nothing gives none."""
+
+    def lines(label: str, value: object) -> Iterator[str]:
+        if isinstance(value, dict):
+            flat = "; ".join(f"{k}: {x}" for k, v in value.items() for x in lines("", v))
+            yield from [f"{label}: {flat}" if label else flat] if flat else []
+        elif isinstance(value, list):
+            for x in value:
+                yield from lines(label, x)
+        elif value is not None and str(value).strip():
+            clean = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", str(value))
+            clean = " ".join(re.sub(r"\.\.\.|…|\[\]|\(\)", "", clean).split())
+            yield from [f"{label}: {clean}" if label else clean] if clean else []
+
+    try:
+        found = json.loads(raw or "")
+    except ValueError:
+        return []
+    return [x for k, v in found.items() for x in lines(k.replace("_", " "), v)] if isinstance(found, dict) else []
+
+
+def bullets(body: Column) -> Column:
+    """Bullet lines of a brief's nested JSON; what can't be parsed has none."""
+    return F.pandas_udf(lambda s: pd.Series([_bullets(b) for b in s], dtype=object), "array<string>")(body)

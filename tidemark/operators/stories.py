@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import finance
 from tidemark.functions.dates import fiscal_period, iso_week, latest_evidence
 from tidemark.functions.ids import bigint_id, joined_key
-from tidemark.operators.tables import latest_per, top_per
+from tidemark.operators.tables import carried, latest_per, top_per
 
 
 def with_links(stories: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
@@ -71,14 +71,13 @@ def typeahead(stocks: DataFrame, typed: str, most: int = 5) -> DataFrame:
 def nearest(items: DataFrame, points: DataFrame, by: str, at: str, key: str) -> DataFrame:
     """Each item with the point of its group that is nearest in time (ties: the earlier): its value, or null.
 
-    The last point before and the first after come from one sort of both sides; no pairs are built.
+    The last point before and the first after are carried on from sorted days of both sides; no pairs are built.
     """
     p = points.select(F.col(by).alias("__by"), F.col(at).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(at).alias("t"), F.col(key).alias("v")).alias("__p"))
     i = items.select(F.col(by).alias("__by"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*items.columns).alias("__i"))
-    both = p.unionByName(i, allowMissingColumns=True)
-    seen = F.last("__p", ignorenulls=True)
-    onward, back = (Window.partitionBy("__by").orderBy(t, "__side").rowsBetween(Window.unboundedPreceding, 0) for t in (F.col("__t"), F.col("__t").desc()))
-    both = both.withColumn("a", seen.over(onward)).withColumn("b", seen.over(back)).where("__side = 1")
+    both = carried(p.unionByName(i, allowMissingColumns=True), "__by", "__t", ["__side"], "__p").withColumnRenamed("__found", "a")
+    both = both.withColumn("__turned", -F.col("__side"))  # backwards too, a point of the same time comes before the item
+    both = carried(both, "__by", "__t", ["__turned"], "__p", back=True).withColumnRenamed("__found", "b").where("__side = 1")
     gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.t").cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp")))
     pick = F.when(F.col("__t").isNull(), F.lit(None)).when(F.col("b").isNull() | (gap("a") <= gap("b")), F.col("a")).otherwise(F.col("b"))
     return both.withColumn("__n", pick).select("__i.*", F.col("__n.v").alias(key))
@@ -219,3 +218,22 @@ def changed_symbols(listed: DataFrame, add: list[str] = (), remove: list[str] =
 def of_missing_days(rows: DataFrame, day: str, since: Column, until: Column, loaded: DataFrame) -> DataFrame:
     """Rows of the days of a closed range that aren't loaded yet."""
     return rows.where(F.col(day).between(since, until)).join(loaded.select(day).distinct(), day, "left_anti")
+
+
+def duplicate_ids(articles: DataFrame) -> DataFrame:
+    """id of the articles that repeat one of a smaller id: ticker, title (case and blanks around don't count) and day."""
+    keyed = articles.select("id", "ticker", F.lower(F.trim("title")).alias("t"), F.to_date("published_at").alias("day"))
+    kept = keyed.groupBy("ticker", "t", "day").agg(F.min("id").alias("kept"))
+    both = keyed.alias("x").join(kept.alias("k"), F.col("x.ticker").eqNullSafe(F.col("k.ticker")) & F.col("x.t").eqNullSafe(F.col("k.t")) & F.col("x.day").eqNullSafe(F.col("k.day")))
+    return both.where("id <> kept").select("id")
+
+
+def tickers_of(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, ticker: known tickers (ticker) that stand in parentheses or as words of their own, in either case, each once."""
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.upper(w)))).alias("ticker"))
+    return words.join(known, "ticker", "left_semi").select("doc_id", "ticker")
+
+
+def related_of_answer(answer: Column, known: Column, own: Column) -> Column:
+    """Tickers of a model's answer that are known, without the own one, each once."""
+    return F.array_except(F.array_intersect(clean_tickers(answer), known), F.array(own))

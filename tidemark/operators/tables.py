@@ -20,9 +20,10 @@ def latest_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return top.select(*keys, *(F.col(f"__top.{c}").alias(c) for c in df.columns if c not in keys))
 
 
-def top_per(df: DataFrame, keys: list[str], order: list[Column], n: Column | int, rank: str | None = None) -> DataFrame:
-    """The first n rows of each group; n may depend on the group."""
-    out = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n)
+def top_per(df: DataFrame, keys: list[str], order: list[Column], n: Column | int, rank: str | None = None, most: int | None = None) -> DataFrame:
+    """The first n rows of each group; n may depend on the group, then `most` bounds it, so that tasks can cut before the shuffle."""
+    out = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    out = (out if most is None else out.where(F.col("__n") <= most)).where(F.col("__n") <= n)
     return out.withColumnRenamed("__n", rank) if rank else out.drop("__n")
 
 
@@ -33,21 +34,38 @@ def capped(df: DataFrame, keys: list[str], score: str, n: int, key: str = "id")
 
 def primary_and_cross(df: DataFrame, group: str, primary: str, score: str, k_primary: int, k_other: int, key: str) -> DataFrame:
     """The best rows of one group, and fewer of each other group."""
-    return top_per(df, [group], [F.col(score).desc(), F.col(key)], F.when(F.col(group) == primary, k_primary).otherwise(k_other), rank="rank")
+    return top_per(df, [group], [F.col(score).desc(), F.col(key)], F.when(F.col(group) == primary, k_primary).otherwise(k_other), rank="rank", most=max(k_primary, k_other))
+
+
+def carried(both: DataFrame, by: str, at: str, order: list[str], value: str, back: bool = False) -> DataFrame:
+    """both with __found: the last `value` (not null) of the group `by` up to each row, in (at, *order); backwards in time on demand.
+
+    Rows are sorted within a group and day only; the last value of each day (map-side) is carried on over the days of the
+    group and joined back. So one large group is spread over its days.
+    """
+    day = F.coalesce(F.unix_date(F.to_date(at)), F.lit(-(1 << 30)))
+    rows = both.withColumn("__day", day)
+    way = [F.col(at).desc() if back else F.col(at).asc_nulls_first(), *(F.col(c).desc() if back else F.col(c) for c in order)]
+    within = Window.partitionBy(by, "__day").orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.struct(at, *order, value)
+    ends = rows.groupBy(by, "__day").agg((F.min if back else F.max)(F.when(F.col(value).isNotNull(), edge)).alias("__e"))
+    days = Window.partitionBy(by).orderBy(F.col("__day").desc() if back else F.col("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col(by).alias("__b"), F.col("__day").alias("__d"), F.last(F.col(f"__e.{value}"), ignorenulls=True).over(days).alias("__carry"))
+    seen = rows.withColumn("__in", F.last(value, ignorenulls=True).over(within))
+    joined = seen.join(before, F.col(by).eqNullSafe(F.col("__b")) & (F.col("__day") == F.col("__d")), "left")
+    return joined.withColumn("__found", F.coalesce("__in", "__carry")).drop("__in", "__carry", "__b", "__d", "__day")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, right_key: str, prefix: str) -> DataFrame:
     """Each left row with the latest right row of its group up to its time (ties: largest right key), or nulls.
 
-    Both sides are sorted together once within each group and the last right row is carried on, so no pair of rows is
+    Both sides are sorted together within each group and day and the last right row is carried on, so no pair of rows is
     built. All left rows stay, also those without a group or time.
     """
     value = F.struct(F.col(right_at).alias("at"), F.col(right_key).alias("key"), *(F.col(c) for c in right.columns if c not in (by, right_at, right_key)))
     rights = right.where(F.col(by).isNotNull() & F.col(right_at).isNotNull()).select(F.col(by).alias("__by"), F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.col(right_key).alias("__key"), value.alias("__r"))
     lefts = left.select(F.col(by).alias("__by"), F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"))
-    both = rights.unionByName(lefts, allowMissingColumns=True)
-    w = Window.partitionBy("__by").orderBy(F.col("__at").asc_nulls_first(), "__side", "__key").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__found", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    found = carried(rights.unionByName(lefts, allowMissingColumns=True), "__by", "__at", ["__side", "__key"], "__r").where("__side = 1")
     extra = [c for c in right.columns if c not in (by, right_at, right_key)]
     return found.select("__l.*", F.col("__found.at").alias(f"{prefix}{right_at}"), F.col("__found.key").alias(f"{prefix}{right_key}"), *(F.col(f"__found.{c}").alias(f"{prefix}{c}") for c in extra))
 
@@ -55,15 +73,13 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: st
 def has_between(left: DataFrame, right: DataFrame, by: str, low: str, high: str, at: str) -> DataFrame:
     """Left rows for which the right table has a row of the group with low < at <= high.
 
-    The earliest right row after `low` decides, so it is found as of the low end and compared once.
+    The earliest right row after `low` decides, so it is found backwards in time from the low end and compared once.
     """
-    later = right.select(by, F.col(at).alias("__at")).where(F.col("__at").isNotNull()).distinct()
+    later = right.select(F.col(by).alias("__by"), F.col(at).alias("__t"), F.lit(0).alias("__side"), F.col(at).alias("__next")).where(F.col("__t").isNotNull()).distinct()
     lefts = left.select(F.col(by).alias("__by"), F.col(low).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"))
-    both = lefts.unionByName(later.select(F.col(by).alias("__by"), F.col("__at").alias("__t"), F.lit(0).alias("__side")), allowMissingColumns=True)
-    # backwards in time, so that the frame only grows: of equal times the left row comes first and doesn't see the right one
-    w = Window.partitionBy("__by").orderBy(F.col("__t").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    following = F.last(F.when(F.col("__side") == 0, F.col("__t")), ignorenulls=True).over(w)
-    return both.withColumn("__next", following).where("__side = 1 AND __t IS NOT NULL").where(F.col("__next") <= F.col(f"__l.{high}")).select("__l.*")
+    # backwards, of equal times the left row comes first and doesn't see the right one
+    both = carried(lefts.unionByName(later, allowMissingColumns=True), "__by", "__t", ["__side"], "__next", back=True)
+    return both.where("__side = 1 AND __t IS NOT NULL AND __by IS NOT NULL").where(F.col("__found") <= F.col(f"__l.{high}")).select("__l.*")
 
 
 def without(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -99,8 +115,9 @@ def fused(rankings: Mapping[str, DataFrame], key: str, k: int = 60) -> DataFrame
 def span_months(df: DataFrame, month: Column, score: Column, per_month: int, n: int, key: str) -> DataFrame:
     """The n best rows, at most per_month of each month; rows without a month are not held back."""
     marked = df.withColumn("__m", month).withColumn("__s", score)
-    ranked = marked.withColumn("__n", F.row_number().over(Window.partitionBy("__m").orderBy(F.col("__s").desc(), key)))
-    return ranked.where((F.col("__n") <= per_month) | F.col("__m").isNull()).orderBy(F.col("__s").desc(), key).limit(n).drop("__m", "__s", "__n")
+    best = [F.col("__s").desc(), F.col(key)]
+    dated = top_per(marked.where(F.col("__m").isNotNull()), ["__m"], best, per_month)
+    return dated.unionByName(marked.where(F.col("__m").isNull()).orderBy(*best).limit(n)).orderBy(*best).limit(n).drop("__m", "__s")
 
 
 def missing_days(df: DataFrame, group: str, day: Column, days: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tidemark import config
 from tidemark.operators.graph import components, first_wins
 from tidemark.operators.tables import capped, top_per
 
+#: Rows of a part of a block; two parts are compared in one task.
+PART = 1024
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -72,11 +77,29 @@ def assign(rows: DataFrame, anchors: DataFrame, t_assign: float = config.T_ASSIG
 
 
 def similar_pairs(rows: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    """Pairs (a, b, sim), a < b, from a threshold up, within a block column where one is given."""
-    left = rows.select(F.col("id").alias("a"), F.col("u").alias("ua"), *([F.col(block).alias("block")] if block else []))
-    right = rows.select(F.col("id").alias("b"), F.col("u").alias("ub"), *([F.col(block).alias("block")] if block else []))
-    pairs = left.join(right, "block").where("a < b") if block else left.join(right, F.col("a") < F.col("b"))
-    return pairs.withColumn("sim", F.round(dot(F.col("ua"), F.col("ub")), 5)).where(F.col("sim") >= threshold).select("a", "b", "sim")
+    """Pairs (a, b, sim), a < b, of rows (id, u) from a threshold up, within a block column where one is given.
+
+    Rows of a block are dealt to parts of about PART rows; two parts meet in one task as matrices, so a large block is
+    spread over tasks and none of its pairs is a row before the threshold.
+    """
+    side = rows.select("id", "u", (F.col(block).cast("string") if block else F.lit("")).alias("block")).where("block IS NOT NULL AND u IS NOT NULL")
+    sizes = side.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("n"))
+    own = side.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "u")
+
+    def compare(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        x, y = (both[both["own"] == k] for k in key[1:])
+        found = []
+        if len(x) and len(y):
+            ids, others = x["id"].to_numpy(), y["id"].to_numpy()
+            sims = np.round(np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T, 5)
+            for p, q in zip(*np.nonzero(sims >= threshold), strict=True):
+                if ids[p] < others[q] or (key[1] != key[2] and ids[p] != others[q]):
+                    found.append((min(ids[p], others[q]), max(ids[p], others[q]), sims[p, q]))
+        return pd.DataFrame(found, columns=["a", "b", "sim"])
+
+    kind = dict(rows.dtypes)["id"]
+    return met.groupBy("block", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
 
 
 def clusters(rows: DataFrame, t_assign: float = config.T_ASSIGN, t_graph: float = config.T_GRAPH, block: str | None = None) -> DataFrame:

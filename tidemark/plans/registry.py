@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def import_all() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from tidemark.plans import reads, sourcing, writes  # noqa: F401
+    from tidemark.plans import briefs, reads, sourcing, writes  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,11 +241,9 @@ def q23_exact_dedupe(spark, sf):
     return table(spark, sf, "documents").groupBy(F.md5(F.lower(F.trim("text"))).alias("digest")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
 
 
-@query("SELECT id FROM articles QUALIFY row_number() OVER (PARTITION BY language, lower(trim(title)) ORDER BY id) > 1", ARTICLES)
+@query("SELECT id FROM articles QUALIFY row_number() OVER (PARTITION BY ticker, lower(trim(title)), published_at::DATE ORDER BY id) > 1", ARTICLES)
 def q24_dup_by_title(spark, sf):
-    rows = articles(spark, sf).select("id", "language", F.lower(F.trim("title")).alias("t"))
-    kept = rows.groupBy("language", "t").agg(F.min("id").alias("kept"))
-    return rows.join(kept, ["language", "t"]).where("id <> kept").select("id")
+    return stories.duplicate_ids(articles(spark, sf))
 
 
 @query()
@@ -255,8 +253,8 @@ def q25_greedy_title_dedupe(spark, sf):
 
 @query()
 def q26_greedy_cosine_dedupe(spark, sf):
-    rows = vec.with_unit(vectors(spark, sf))
-    return vec.keep_first_similar(rows, T_GRAPH).select("id")
+    rows = vec.with_unit(vectors(spark, sf)).withColumn("day", F.to_date("published_at"))
+    return vec.keep_first_similar(rows, T_GRAPH, "day").select("id")
 
 
 COSINE = """unitv AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec),
@@ -287,26 +285,26 @@ def q29_best_above_threshold(spark, sf):
 
 
 ASSIGNED = """unitv AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec),
-  best AS (SELECT r.id, a.id AS anchor_id, round(list_dot_product(a.u, r.u), 5) AS sim FROM unitv r JOIN unitv a ON a.anchor AND NOT r.anchor QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY round(list_dot_product(a.u, r.u), 5) DESC, a.id) = 1)"""
+  best AS (SELECT r.id, a.id AS anchor_id, round(list_dot_product(a.u, r.u), 5) AS sim FROM unitv r JOIN unitv a ON a.anchor AND NOT r.anchor AND a.ticker = r.ticker QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY round(list_dot_product(a.u, r.u), 5) DESC, a.id) = 1)"""
 
 
-@query(f"SELECT id, CASE WHEN sim >= {T_ASSIGN} THEN anchor_id END AS anchor_id, CASE WHEN sim >= {T_ASSIGN} THEN sim END AS sim FROM best", VECTORS, ASSIGNED)
+@query(f"SELECT v.id, CASE WHEN sim >= {T_ASSIGN} THEN anchor_id END AS anchor_id, CASE WHEN sim >= {T_ASSIGN} THEN sim END AS sim FROM unitv v LEFT JOIN best USING (id) WHERE NOT v.anchor", VECTORS, ASSIGNED)
 def q30_anchor_assign(spark, sf):
     rows = vec.with_unit(vectors(spark, sf))
-    return vec.assign(rows.where("NOT anchor"), F.broadcast(vec.as_queries(rows.where("anchor"))), T_ASSIGN)
+    return vec.assign(rows.where("NOT anchor"), vec.as_queries(rows.where("anchor"), "ticker"), T_ASSIGN, "ticker")
 
 
-CLUSTERS = f"""rest AS (SELECT id, u FROM unitv WHERE NOT anchor AND id NOT IN (SELECT id FROM best WHERE sim >= {T_ASSIGN})),
-  edges AS (SELECT a.id AS a, b.id AS b FROM rest a JOIN rest b ON a.id <> b.id WHERE round(list_dot_product(a.u, b.u), 5) >= {T_GRAPH}),
+CLUSTERS = f"""rest AS (SELECT id, u, ticker FROM unitv WHERE NOT anchor AND id NOT IN (SELECT id FROM best WHERE sim >= {T_ASSIGN})),
+  edges AS (SELECT a.id AS a, b.id AS b FROM rest a JOIN rest b ON a.id <> b.id AND a.ticker = b.ticker WHERE round(list_dot_product(a.u, b.u), 5) >= {T_GRAPH}),
   reach AS (SELECT id, id AS r FROM rest UNION SELECT e.b, r FROM reach JOIN edges e ON e.a = reach.id WHERE r < e.b),
   members AS (SELECT id, min(r) AS cluster, 'discovered' AS cluster_type FROM reach GROUP BY id UNION ALL SELECT id, anchor_id, 'seeded' FROM best WHERE sim >= {T_ASSIGN} UNION ALL SELECT id, id, 'seeded' FROM unitv WHERE anchor)"""
 
 
-@query("SELECT cluster, cluster_type, count(*) AS members, ('0x' || substr(md5(string_agg(id::VARCHAR, '_' ORDER BY id)), 1, 14))::BIGINT AS story_id FROM members GROUP BY 1, 2", VECTORS, ASSIGNED, CLUSTERS)
+@query("SELECT cluster, cluster_type, count(*) AS members, ('0x' || substr(md5(min(id) || '_' || count(*) || '_' || bit_xor(('0x' || substr(md5(id::VARCHAR), 1, 14))::BIGINT)), 1, 14))::BIGINT AS story_id FROM members GROUP BY 1, 2", VECTORS, ASSIGNED, CLUSTERS)
 def q31_story_clusters(spark, sf):
-    found = vec.clusters(vec.with_unit(vectors(spark, sf)), T_ASSIGN, T_GRAPH)
-    out = found.groupBy("cluster", "cluster_type").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return out.select("cluster", "cluster_type", "members", ids.bigint_id(F.array_join(F.transform("ids", lambda x: x.cast("string")), "_")).alias("story_id"))
+    found = vec.clusters(vec.with_unit(vectors(spark, sf)), T_ASSIGN, T_GRAPH, "ticker")
+    out = found.groupBy("cluster", "cluster_type").agg(F.count("*").alias("members"), ids.members_key(F.col("id")).alias("key"))
+    return out.select("cluster", "cluster_type", "members", ids.bigint_id(F.col("key")).alias("story_id"))
 
 
 # Search
@@ -332,12 +330,13 @@ def q32_bm25(spark, sf):
 
 
 HYBRID = """unitv AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec),
-  vsim AS (SELECT q.id AS query_id, r.id, round(list_dot_product(q.u, r.u), 5) AS sim FROM unitv q JOIN unitv r ON q.id < 40)"""
+  vsim AS (SELECT q.id AS query_id, r.id, round(list_dot_product(q.u, r.u), 5) AS sim FROM unitv q JOIN unitv r ON q.id IN (SELECT item_id FROM benchmark))"""
 
 
 def _vector_side(spark, sf):
     rows = vec.with_unit(vectors(spark, sf))
-    return vec.against(rows, F.broadcast(vec.as_queries(rows.where("id < 40"))), F.lit(True)).select("query_id", "id", "sim")
+    asked = rows.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")  # the queries of the keyword part
+    return vec.against(rows, F.broadcast(vec.as_queries(asked)), F.lit(True)).select("query_id", "id", "sim")
 
 
 @query("SELECT query_id, id, round(coalesce(score, 0) + 0.5::DOUBLE * coalesce(sim, 0), 4) AS score FROM kw FULL JOIN vsim USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0) + 0.5::DOUBLE * coalesce(sim, 0), 4) DESC, id) <= 10", BM25, VECTORS, HYBRID)
@@ -361,7 +360,7 @@ def q34_rrf(spark, sf):
 
 @query("""SELECT o_orderkey FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_totalprice DESC, o_orderkey) <= 4) ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 def q35_select_span_months(spark, sf):
-    return tables.span_months(table(spark, sf, "orders"), F.date_format("o_orderdate", "yyyy-MM"), F.col("o_totalprice"), 4, 100, "o_orderkey").select("o_orderkey")
+    return tables.span_months(table(spark, sf, "orders"), F.date_format("o_orderdate", "yyyy-MM"), F.col("o_totalprice"), 4, 100, "o_orderkey").orderBy("o_orderdate", "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT o_custkey, count(DISTINCT isoyear(o_orderdate) * 100 + week(o_orderdate)) AS weeks FROM orders GROUP BY 1 HAVING weeks <= 5")
@@ -440,13 +439,14 @@ def q46_looks_like_table(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.looks_like_table(F.col("text")).alias("is_table"))
 
 
-@query("""SELECT query_id, id, round(score, 6) AS score FROM (SELECT s.query_id, s.id, 0.6::DOUBLE * s.sim + 0.3::DOUBLE * r + 0.1::DOUBLE * (CASE form_type WHEN '10-Q' THEN 0.6::DOUBLE + 0.4::DOUBLE * r ELSE 0.5::DOUBLE + 0.3::DOUBLE * r END) AS score
-  FROM sims s JOIN (SELECT id, form_type, 1 / (1 + greatest(date_diff('day', filed_date, DATE '1999-01-01'), 0) / 365.25::DOUBLE) AS r FROM filings) f ON f.id = s.id)
+@query("""SELECT query_id, id, round(score, 6) AS score FROM (SELECT s.query_id, s.id, 0.6::DOUBLE * s.sim + 0.3::DOUBLE * r + 0.1::DOUBLE * (CASE form_type WHEN '10-Q' THEN 0.6::DOUBLE + 0.4::DOUBLE * r WHEN '10-K' THEN 0.5::DOUBLE + 0.3::DOUBLE * r ELSE 0.5::DOUBLE END) AS score
+  FROM (SELECT s.*, form_type, coalesce(1 / (1 + greatest(date_diff('day', filed_date, DATE '1999-01-01'), 0) / 365.25::DOUBLE), 0.5) AS r FROM sims s LEFT JOIN filings f ON f.id = s.id) s)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 5""", VECTORS, COSINE, FILINGS)
 def q47_filing_hybrid_score(spark, sf):
     rows = vec.with_unit(vectors(spark, sf))
     sims = vec.against(rows, _queries_of(rows), F.col("id") != F.col("query_id")).select("query_id", "id", "sim")
-    both = sims.join(filings(spark, sf).select("id", "form_type", "filed_date"), "id").withColumn("r", finance.filing_recency(F.col("filed_date"), F.lit("1999-01-01").cast("date")))
+    both = sims.join(filings(spark, sf).select("id", "form_type", "filed_date"), "id", "left")
+    both = both.withColumn("r", F.coalesce(finance.filing_recency(F.col("filed_date"), F.lit("1999-01-01").cast("date")), F.lit(0.5)))
     a, b, c = config.FILING_WEIGHTS
     both = both.withColumn("score", F.round(a * F.col("sim") + b * F.col("r") + c * finance.filing_priority(F.col("form_type"), F.col("r")), 6))
     return tables.top_per(both, ["query_id"], [F.col("score").desc(), F.col("id")], 5).select("query_id", "id", "score")
@@ -479,9 +479,9 @@ def q51_evict_oldest(spark, sf):
     return tables.keep_newest(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey", 5).drop("o_orderdate")
 
 
-@query("SELECT o_orderkey AS id, min(r) AS kept FROM reach GROUP BY 1 HAVING min(r) <> o_orderkey", "p AS (SELECT o_orderkey, o_orderkey // 2 AS kept FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 0), reach AS (SELECT o_orderkey, kept AS r FROM p UNION SELECT reach.o_orderkey, p.kept FROM reach JOIN p ON p.o_orderkey = reach.r)")
+@query("SELECT o_orderkey AS id, min(r) AS kept FROM reach GROUP BY 1 HAVING min(r) <> o_orderkey", "p AS (SELECT o_orderkey, o_orderkey // 2 AS kept FROM orders WHERE o_orderkey > 0), reach AS (SELECT o_orderkey, kept AS r FROM p UNION SELECT reach.o_orderkey, p.kept FROM reach JOIN p ON p.o_orderkey = reach.r)")
 def q52_canonical_dup_chain(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0 AND o_orderkey > 0")
+    o = table(spark, sf, "orders").where("o_orderkey > 0")
     return graph.resolved(o.select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey div 2").alias("kept")))
 
 
@@ -527,9 +527,11 @@ def q59_context_packing(spark, sf):
     return chunks.packed(table(spark, sf, "conversations"), "conv_id", "turn", "text", 1000).drop("text")
 
 
-@query("SELECT doc_id, list_sort(list_filter(['A', 'DE', 'LA', 'THE', 'TO'], lambda k: list_contains(ws, k))) AS tickers FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: upper(w)) AS ws FROM documents)")
+@query("SELECT DISTINCT doc_id, w AS ticker FROM (SELECT doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS w FROM documents) WHERE w IN (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) FROM benchmark) AND length(w) BETWEEN 2 AND 5")
 def q60_ticker_extract(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.tickers_in(F.col("text"), ["the", "to", "la", "de", "a"]).alias("tickers"))
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("w"))
+    known = words.select(F.upper("w").alias("ticker")).where("length(ticker) BETWEEN 2 AND 5").distinct()
+    return stories.tickers_of(table(spark, sf, "documents").select("doc_id", "text"), known)
 
 
 
@@ -567,10 +569,10 @@ def q65_raw_items_by_topic(spark, sf):
     return tables.top_per(routed, ["topic"], [F.col("relevance_score").desc(), F.col("id")], 20).select("id")
 
 
-@query("SELECT n_nationkey AS ord, n_name AS symbol, coalesce(max(c_acctbal), 0) AS price FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 40 = 0 GROUP BY 1, 2")
+@query("SELECT n_nationkey AS ord, n_name AS symbol, coalesce(max(c_acctbal), 0) AS price FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY 1, 2")
 def q66_requested_prices(spark, sf):
     nation = table(spark, sf, "nation")
-    named = table(spark, sf, "customer").where("c_custkey % 40 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    named = table(spark, sf, "customer").where("c_acctbal > 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     prices = named.groupBy(F.col("n_name").alias("symbol")).agg(F.max("c_acctbal").alias("price"))
     return stories.requested(nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("symbol")), prices).select("ord", "symbol", "price")
 
@@ -616,7 +618,7 @@ def _story_inputs(spark, sf):
     from tidemark.inputs import vectors as vector_rows
 
     v = vector_rows(spark, sf).select("id", "v")
-    return articles(spark, sf).join(v, "id"), filings(spark, sf).withColumn("filed_date", F.date_add("filed_date", 365 * 20))
+    return articles(spark, sf).join(v, "id", "left"), filings(spark, sf).withColumn("filed_date", F.date_add("filed_date", 365 * 20))
 
 
 @query()
@@ -637,9 +639,9 @@ def q75_answers(spark, sf):
     return jobs.answers(rows.where("id % 50 = 0").withColumn("text", F.col("title")), rows)
 
 
-@query("SELECT ticker, sum((CASE WHEN form_type = '10-K' AND id % 5 = 0 THEN 0.2 WHEN form_type = '10-K' THEN -0.1 ELSE 0 END)::DOUBLE) AS s FROM filings WHERE id < 40 GROUP BY 1".replace("sum(", "round(greatest(least(sum(").replace("::DOUBLE) AS s", "::DOUBLE), 1), -1), 4) AS signal"), FILINGS)
+@query("SELECT ticker, sum((CASE WHEN form_type = '10-K' AND id % 5 = 0 THEN 0.2 WHEN form_type = '10-K' THEN -0.1 ELSE 0 END)::DOUBLE) AS s FROM filings GROUP BY 1".replace("sum(", "round(greatest(least(sum(").replace("::DOUBLE) AS s", "::DOUBLE), 1), -1), 4) AS signal"), FILINGS)
 def q76_filing_signal(spark, sf):
-    f = filings(spark, sf).where("id < 40").select("ticker", F.when(F.col("form_type") == "10-K", "high").otherwise("low").alias("impact"), F.when(F.col("id") % 5 == 0, "an Acquisition").alias("description"))
+    f = filings(spark, sf).select("ticker", F.when(F.col("form_type") == "10-K", "high").otherwise("low").alias("impact"), F.when(F.col("id") % 5 == 0, "an Acquisition").alias("description"))
     return market.filing_signal(f).select("ticker", F.round("signal", 4).alias("signal"))
 
 

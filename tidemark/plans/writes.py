@@ -114,11 +114,10 @@ def q118_save_impact_reports(spark, sf):
     return _saved("macro_daily_impact_reports", rows, rows)[0].select(F.col("as_of_date").cast("string").alias("day"), "portfolio_id", "briefs", "id")
 
 
-@query("SELECT ('0x' || substr(md5(published_at::DATE || '_' || ticker || '_' || md5(string_agg(id::VARCHAR, '_' ORDER BY id))), 1, 14))::BIGINT AS id, ticker, published_at::DATE::VARCHAR AS day, count(*) AS cluster_size FROM articles GROUP BY ticker, published_at::DATE", ARTICLES)
+@query("SELECT ('0x' || substr(md5(published_at::DATE || '_' || ticker || '_' || (min(id) || '_' || count(*) || '_' || bit_xor(('0x' || substr(md5(id::VARCHAR), 1, 14))::BIGINT))), 1, 14))::BIGINT AS id, ticker, published_at::DATE::VARCHAR AS day, count(*) AS cluster_size FROM articles GROUP BY ticker, published_at::DATE", ARTICLES)
 def q119_insert_stories(spark, sf):
     rows = articles(spark, sf).withColumn("asof_date", F.to_date("published_at"))
-    seed = F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), "_"))
-    made = rows.groupBy("ticker", "asof_date").agg(F.count("*").alias("cluster_size"), seed.alias("seed"))
+    made = rows.groupBy("ticker", "asof_date").agg(F.count("*").alias("cluster_size"), ids.members_key(F.col("id")).alias("seed"))
     made = made.withColumn("id", stories.story_id(F.col("asof_date"), F.col("ticker"), F.col("seed"))).drop("seed")
     return _saved("story", made, made)[0].select("id", "ticker", F.col("asof_date").cast("string").alias("day"), "cluster_size")
 
