@@ -62,3 +62,13 @@ def tickers_in(text: Column, known: Iterable[str]) -> Column:
     """Sorted known tickers that stand in parentheses or as words of their own, in either case."""
     words = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.upper(w))
     return F.array_sort(F.array_intersect(F.array_distinct(words), F.array(*(F.lit(k.upper()) for k in known))))
+
+
+def vector_of(raw: Column) -> Column:
+    """A vector from its text ('[0.1, 0.2]'); what can't be read is null."""
+    return F.from_json(raw, "array<double>")
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, single blanks, without common punctuation."""
+    return F.regexp_replace(collapse(F.lower(F.coalesce(text, F.lit("")))), "[.,'\"!?:;]", "")
