@@ -45,6 +45,18 @@ def test_no_labels_and_no_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, none)).count() == 0
 
 
+def test_repeated_rows_train_once_and_bounds_hold(spark):
+    rows = corpus(300)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = lambda d, **how: {r.feature: r.weight for r in toxicity.train(d, labels, **how).collect()}
+    once = model(docs)
+    assert model(docs.unionByName(docs)) == once and len(once) > 10
+    size = sum(4 * len(np.unique(toxicity.features(t.encode()))) for _, t, _ in rows)
+    assert model(docs, max_bytes=size) == once != model(docs, max_bytes=size - 1)
+    assert model(docs, max_bytes=0) == {}
+
+
 def test_ftrl_matches_a_plain_loop():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(40)]

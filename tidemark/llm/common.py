@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; in local mode a temporary one where that is unset, elsewhere an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = Path(tempfile.mkdtemp(prefix="tidemark-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -30,13 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends here and lost executors only cost a re-read.
 
-    The table is removed when the driver's Python ends.
+    The table is removed by `discard`, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no plan reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

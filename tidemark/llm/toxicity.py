@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
 from tidemark.llm.words import grams, mix, stem_hashes, word_hashes
 
 U = np.uint64
 #: Hashed feature space; weights of all of it take 4 MB, their non-zero part is what gets broadcast.
 BITS = 20
-#: Labelled rows that are used for training at most (those of the smallest hash).
-MAX_TRAIN = 20_000
+#: Labelled rows that are used for training at most (those of the smallest hash), and bytes of their features.
+MAX_TRAIN, MAX_BYTES = 20_000, 192 << 20
 _SEPARATE = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     if not chr(_c).isalnum():
@@ -71,24 +73,52 @@ class FTRL:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
 
-def train(docs: DataFrame, labels: DataFrame, params: FTRL | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Non-zero weights (feature int, weight double; the bias has feature -1) learnt from labels (doc_id, toxic).
-
-    Null ids, labels or texts are left out. At most max_train labelled rows, those of the smallest hash of their id,
-    are used, so one task can hold them; without any row the model is empty.
-    """
-    params = params or FTRL()
-    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+def featured(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
+    """__order, __key (hash of id and features), __toxic, __x (sorted distinct features as 32-bit numbers) of labelled rows."""
+    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__toxic"))
     ids = ids.withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id").limit(max_train)
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
-    def fit(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["__order", "doc_id", "text"])
-        w, bias = params.fit([np.unique(features(t.encode())) for t in batch["text"]], batch["__toxic"].to_numpy(float))
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": np.append(at, -1).astype(np.int32), "weight": np.append(w[at], bias)})
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                x = [np.unique(features(t.as_py().encode())).astype(np.int32).tobytes() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], ["__order", "__toxic", "__x"])
+
+    out = rows.select("__order", "__toxic", "text").mapInArrow(scan, "__order long, __toxic double, __x binary")
+    return out.withColumn("__key", F.xxhash64("__order", "__x"))
 
-    return rows.groupBy(F.lit(0).alias("__all")).applyInPandas(fit, "feature int, weight double")
+
+def train(docs: DataFrame, labels: DataFrame, params: FTRL | None = None, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Non-zero weights (feature int, weight double; the bias has feature -1) learnt from labels (doc_id, toxic).
+
+    Null ids, labels or texts are left out; a label that differs between rows of an id counts as the larger one, and
+    rows of an id with equal features train once. At most max_train labelled rows with max_bytes of features together,
+    those of the smallest hash of their id, are used, so one task can hold them; features are computed in parallel
+    before. Without any row (empty tables included) the model is empty.
+    """
+    params = params or FTRL()
+    rows = stored(featured(docs, labels, max_train), "features")
+    order = ["__order", "__key"]
+    keys = rows.groupBy(*order).agg(F.first(F.octet_length("__x")).alias("size")).orderBy(*order).limit(max_train)
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_train rows at most
+    keys = keys.withColumn("size", F.sum("size").over(so_far)).where(F.col("size") <= max_bytes).drop("size")
+    chosen = rows.join(F.broadcast(keys), order).repartition(1).sortWithinPartitions(*order)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, last = [], [], None
+        for batch in batches:
+            for order, key, label, value in zip(*batch.columns, strict=True):
+                if (order, key) != last:
+                    last = (order, key)
+                    x.append(np.frombuffer(value.as_buffer(), np.int32))  # a view of the batch
+                    y.append(label.as_py())
+        if x:
+            w, bias = params.fit(x, np.array(y))
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(w[at], bias))], ["feature", "weight"])
+
+    return chosen.select(*order, "__toxic", "__x").mapInArrow(fit, "feature int, weight double")
 
 
 def score(docs: DataFrame, weights: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are hashed in pieces of about so many bytes, cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,17 +29,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
 
 
-@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each."""
     with np.errstate(over="ignore"):
         up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@functools.cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(PIECE + 4096)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(1 << 16, 1 << (n - 1).bit_length()))
+    """Powers of the base and of its inverse modulo 2**64, n of each; those of usual pieces stay in the worker."""
+    up, down = _usual_powers() if n <= PIECE + 4096 else _powers(n)
     return up[:n], down[:n]
 
 
