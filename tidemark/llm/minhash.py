@@ -13,15 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import discard, stored
 from tidemark.llm.words import shingle_set
 
 #: Values of a sketch: the smallest shingle hashes of a document.
 K = 32
 #: Of the K smallest hashes of a union, sets of similarity 0.8 share fewer than so many with probability 3e-10.
 SHARED = 10
-#: Classes of a component that are compared at once.
-BLOCK = 256
 _TOP = np.uint64(1 << 63)
 
 
@@ -42,19 +40,20 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
 
 def listed(each: DataFrame, need: Column) -> DataFrame:
-    """Entries (v, digest, n, s) of the inverted lists that can bring linked classes together, from all (v, digest, n).
+    """Entries (v, digest, n, s, i) of the inverted lists that can bring linked classes together, from all (v, digest, n).
 
-    s: how many values of the class any other class has.
+    s: how many values of the class any other class has; i: how many of its n values stand before v.
 
     need: how many values a class surely shares with any class that it is linked to. With the values of a class in one
     order for all, rare ones first, it is enough to list those before the last need - 1: the first value that two linked
     classes share is listed for both. Values of one class only need no list, and a class with fewer than `need` other
-    values has no link.
+    values has no link. Counts stand in a table of their own, so that Spark can split the join of a value that many have.
     """
-    often = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    often = stored(each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often")
     mine = each.join(often, "v").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     mine = mine.withColumn("need", need.cast("int")).withColumn("s", F.size("vs").cast("long")).where(F.col("s") >= F.col("need"))
-    return mine.select("digest", "n", "s", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x")).select(F.col("x.v").alias("v"), "digest", "n", "s")
+    first = mine.select("digest", "n", "s", F.posexplode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("place", "x"))
+    return first.select(F.col("x.v").alias("v"), "digest", "n", "s", (F.col("n") - F.col("s") + F.col("place")).alias("i"))
 
 
 def sketch_lists(classes: DataFrame, similarity: float) -> DataFrame:
@@ -127,12 +126,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.where("a <> b").distinct(), "edges")
     before = None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         edges = stored(small.select("x.*").where("a <> b").distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
@@ -146,7 +147,7 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         lists = lists.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("label", "digest")).drop("label")
     else:
         lists = lists.withColumn("comp", F.col("digest"))
-    mixed = lists.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+    mixed = stored(lists.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v"), "mixed")
     return lists.join(mixed, "v")
 
 
@@ -154,65 +155,49 @@ def _to_pivot(lists: DataFrame, similarity: float, whole: bool) -> DataFrame:
     """Each class of a list with one class of the list: the one that others have most of, so a copy with few edits."""
     order = F.struct((-F.col("s") / F.col("n")).alias("own"), F.xxhash64("digest").alias("h"), "digest", "comp", "n", "s")
     pivots = lists.groupBy("v").agg(F.min(order).alias("p")).select("v", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "comp", "n", "s")))
-    near = lists.join(pivots, "v").where((F.col("comp") != F.col("p_comp")) & _can_link("", "p_", similarity, whole))
+    near = lists.join(stored(pivots, "pivots"), "v").where((F.col("comp") != F.col("p_comp")) & _can_link("", "p_", similarity, whole))
     return near.select(F.col("p_digest").alias("a"), F.col("digest").alias("b")).distinct()
 
 
-def _with_main(lists: DataFrame) -> DataFrame:
-    """Entries with the largest component of their list (main), and whether they are in it."""
-    sizes = lists.groupBy("v", "comp").count().groupBy("v").agg(F.max(F.struct("count", "comp")).alias("top")).select("v", F.col("top.comp").alias("main"))
-    return lists.join(sizes, "v").withColumn("in_main", F.col("comp") == F.col("main"))
+def _across(lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components that a list of whole sets still leaves open, in the list of their first value.
 
+    With no value shared before v, two sets share at most the smaller of n - i values, and linked ones share
+    similarity / (1 + similarity) of both sizes; so each entry has a largest size of a partner. Entries that no other
+    one of their list fits drop out first; sizes are compared within ranges; members of the largest component of a list
+    meet only the others.
+    """
+    e = lists.withColumn("most", (F.col("n") - F.col("i")) * (1 + similarity) / similarity - F.col("n") + 1e-9)
+    sizes = lists.groupBy("v", "comp").count().groupBy("v").agg(F.max(F.struct("count", "comp")).alias("top")).select("v", F.col("top.comp").alias("main"))
+    fits = e.groupBy("v").agg(F.min("n").alias("least_n"), F.max("most").alias("top_most"))
+    e = e.join(stored(fits.join(sizes, "v"), "fits"), "v").where((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("top_most")))
+    e = stored(e.select("v", "digest", "comp", "n", "most", (F.col("comp") == F.col("main")).alias("in_main"), F.floor(F.log("n") / -math.log(similarity)).alias("r")), "entries")
+    few = e.where("NOT in_main").select("v", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r"), *(F.col(c).alias(f"x_{c}") for c in ("digest", "comp", "n", "most")))
+    fit = (F.col("n") <= F.col("x_most")) & (F.col("x_n") <= F.col("most")) & (F.least("n", "x_n") >= F.greatest("n", "x_n") * similarity - 1e-9)
+    once = F.col("in_main") | (F.col("x_digest") < F.col("digest"))
+    return few.join(e, ["v", "r"]).where((F.col("x_comp") != F.col("comp")) & fit & once).select(F.col("x_digest").alias("a"), F.col("digest").alias("b")).distinct()
 
-def _outside(marked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components outside the largest one of a list, each pair from the first value it shares."""
-    few = marked.where("NOT in_main")
-    values = few.groupBy("digest").agg(F.collect_set("v").alias("vs"))
-    few = few.join(values, "digest").select("v", "digest", "comp", "n", "s", "vs")
-    left = few.select("v", *(F.col(c).alias(f"x_{c}") for c in ("digest", "comp", "n", "s", "vs")))
-    once = F.col("v") == F.array_min(F.array_intersect("x_vs", "vs"))
-    pairs = left.join(few, "v").where((F.col("x_digest") < F.col("digest")) & (F.col("x_comp") != F.col("comp")) & _can_link("x_", "", similarity, True) & once)
-    return pairs.select(F.col("x_digest").alias("a"), F.col("digest").alias("b"))
 
+def _set_digest(text: str | None, words: int) -> bytes | None:
+    s = shingle_set((text or "").encode(), words)
+    return xxhash.xxh3_128_digest(s) if len(s) else None
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (comp, digest) with `name`, a block of about BLOCK rows of the component, and n_`name`, how many there are."""
-    sizes = rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{name}"))
-    return rows.join(sizes, "comp").withColumn(name, F.pmod(F.xxhash64("digest"), F.col(f"n_{name}")).cast("int"))
 
+def class_texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """digest, text of the classes wanted (digest, rep): only rows of these ids are hashed once more."""
+    kind = dict(docs.dtypes)["doc_id"]
 
-def joined(marked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """A link (a, b) of each class outside the largest component of its lists that has one to a member of it.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = pa.array([_set_digest(t.as_py(), words) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, batch.column(1)], ["doc_id", "digest", "text"])
 
-    Classes and members meet in blocks, so no pair is a row; members are compared with a class all at once.
-    """
-    outside = _blocks(marked.where("NOT in_main").select(F.col("main").alias("comp"), "digest").distinct(), "i")
-    inside = _blocks(marked.where("in_main").select("comp", "digest").distinct(), "j")
-    outside, inside = (
-        stored(x.join(y.select("comp", f"n_{k}").distinct(), "comp").select("comp", "digest", own, F.explode(F.sequence(F.lit(0), F.col(f"n_{k}") - 1)).alias(k)).join(texts, "digest").select("comp", "i", "j", "digest", "text"), "blocks")
-        for x, y, own, k in ((outside, inside, "i", "j"), (inside, outside, "j", "i"))
-    )
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(x) and len(y):
-            sets = [shingle_set(t.encode(), words) for t in y["text"]]
-            sizes = np.array([len(s) for s in sets])
-            everything, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(everything)
-            everything, owner = everything[order], owner[order]
-            for digest, text in zip(x["digest"], x["text"], strict=True):
-                mine = shingle_set(text.encode(), words)
-                lo, hi = np.searchsorted(everything, mine), np.searchsorted(everything, mine, side="right")
-                hits = np.concatenate([owner[p:q] for p, q in zip(lo, hi, strict=True) if q > p] or [owner[:0]])
-                inter = np.bincount(hits, minlength=len(sets))
-                linked = np.flatnonzero(100 * inter >= percent * (len(mine) + sizes - inter))
-                if len(linked):
-                    found.append((digest, y["digest"].iloc[int(linked[0])]))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    keys = ("comp", "i", "j")
-    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInPandas(compare, "a binary, b binary")
+    ids = wanted.select(F.col("rep").alias("w_rep")).distinct()
+    near = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_rep")), "left_semi")
+    hashed = near.mapInArrow(scan, f"doc_id {kind}, digest binary, text string").where("digest IS NOT NULL")
+    classes = wanted.select(F.col("digest").alias("w_digest"), "rep")
+    found = hashed.join(classes, (F.col("digest") == F.col("w_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    return found.select("digest", "text").dropDuplicates(["digest"])
 
 
 def grouped(docs: DataFrame, words: int, percent: int, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,23 +207,24 @@ def grouped(docs: DataFrame, words: int, percent: int, k: int = K) -> tuple[Data
     rows = stored(sketches(docs, words, k), "sketches")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = stored(sketch_lists(classes, similarity), "lists")
-    wanted = lists.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
-    wanted = wanted.select(F.col("digest").alias("w_digest"), "rep").hint("shuffle_hash")
-    texts = sketches_with_text(docs, words).join(wanted, (F.col("digest") == F.col("w_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = stored(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
+    texts = stored(class_texts(docs, lists.select("digest").distinct().join(classes.select("digest", "rep"), "digest"), words), "texts")
     links, labels = None, None
     for turn in range(3):
         if turn == 1:
             left = _labelled(lists, labels).select("digest").distinct()
+            fewer = lists
             lists = stored(whole_lists(texts.join(left, "digest", "left_semi"), similarity, words), "lists")
+            discard(fewer)
         open_lists = stored(_labelled(lists, labels), "open")
-        marked = stored(_with_main(open_lists), "marked") if turn == 2 else None
-        pairs = _outside(marked, similarity) if turn == 2 else _to_pivot(open_lists, similarity, whole=turn == 1)
-        found = verified(stored(estimated(pairs, classes, similarity, k), "candidates"), texts, words, percent)
-        if turn == 2:
-            found = found.unionByName(joined(marked, texts, words, percent))
+        pairs = _across(open_lists, similarity) if turn == 2 else _to_pivot(open_lists, similarity, whole=turn == 1)
+        candidates = stored(estimated(pairs, classes, similarity, k), "candidates")
+        discard(open_lists)
+        found = verified(candidates, texts, words, percent)
+        before = links
         links = stored(found if links is None else links.unionByName(found), "links")
+        discard(candidates, *([before] if before is not None else []))
         labels = components(links)
+    discard(lists, texts, links)
     return rows, classes, labels
 
 
@@ -249,9 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     with fewer words is one shingle, and a null or empty text has none and no link. Documents of equal sets are one
     class from the start. Classes that share listed sketch values are candidates; all of a list are first compared with
     one of them, round by round, and lists that have become one component are done; what is left is compared across
-    components. Sketches of unions filter the candidates and full sets confirm them. Rows with a null id count in their
-    component but don't name it: kept is true for them only if no row of it has an id. Rows that repeat a doc_id are
-    kept alike.
+    components, where sizes and places in the lists allow a link. Sketches of unions filter the candidates and full sets
+    confirm them. Rows with a null id count in their component but don't name it: kept is true for them only if no row
+    of it has an id. Rows that repeat a doc_id are kept alike. Texts of any length count whole, an empty table gives no
+    rows, and other columns, whatever their names, are not read.
     """
     rows, classes, labels = grouped(docs, words, percent, k)
     named = labels.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
@@ -262,18 +249,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def sketches_with_text(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest, text of the documents with a shingle."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (shingle_set((t.as_py() or "").encode(), words) for t in batch.column(1))
-            digests = pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, batch.column(1)], ["doc_id", "digest", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary, text string").where("digest IS NOT NULL")
-
-
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with their own columns, one document of each component: that of the smallest id, null ones last.
 
@@ -287,7 +262,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     @F.pandas_udf("binary")
     def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(shingle_set(t.encode(), words)) for t in texts], dtype=object)
+        return pd.Series([_set_digest(t, words) for t in texts], dtype=object)
 
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     held = docs.where(worded).select(F.col("doc_id").alias("__doc"), digest("text").alias("__digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
