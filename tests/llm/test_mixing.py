@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import islice
@@ -64,3 +65,32 @@ def test_steps_give_the_same_slots_as_one_run(spark):
     got = mixing.placed_blocks(spark, blocks, weights, step=50).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == sum(blocks)
     assert [r[5] for r in want] == list(range(len(want))) and [r[1] for r in want[-5:]] == [4] * 5
+
+
+def edf(blocks, weights):
+    """(phase, source, block, slot) by looking at every source at every slot."""
+    done, before, first, slot, phase, out = [0] * len(blocks), [0] * len(blocks), 0, 0, 0, []
+    while slot < sum(blocks):
+        live = [s for s in range(len(blocks)) if before[s] < blocks[s]]
+        total = sum(Fraction(weights[s]) for s in live)
+        window = lambda s: (int((done[s] - before[s]) / (Fraction(weights[s]) / total)), -int(-(done[s] - before[s] + 1) / (Fraction(weights[s]) / total) // 1))  # noqa: B023, E731
+        deadline, s = min((window(s)[1], s) for s in live if window(s)[0] <= slot - first)
+        if done[s] == blocks[s]:
+            phase, first, before = phase + 1, slot, list(done)
+            continue
+        out.append((phase, s, done[s], slot))
+        done[s], slot = done[s] + 1, slot + 1
+    return out
+
+
+def test_rows_stand_where_a_plain_schedule_puts_them(spark):
+    rows = [(i, f"text {i * i % 91}", f"s{min(i % 7, 3)}", f"note {i}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_note string")
+    key = lambda r: ((r[0] * 48271 + zlib.crc32(r[1].encode()) % 2147483647 * 69621) % 2147483647, r[0], zlib.crc32(r[1].encode()))
+    names = sorted({r[2] for r in rows})
+    ranked = {s: sorted((r for r in rows if r[2] == s), key=key) for s in names}
+    slots = {(names[s], j): (phase, slot) for phase, s, j, slot in edf([-(-len(ranked[s]) // 16) for s in names], [len(ranked[s]) ** 0.5 for s in names])}
+    want = {r[0]: (*slots[s, k // 16], k // 16, k % 16) for s in names for k, r in enumerate(ranked[s])}
+    got = mixing.scheduled(docs).collect()
+    assert {r.doc_id: (r.mix_phase, r.mix_slot, r.mix_block, r.mix_place) for r in got} == want
+    assert {r.mix_note for r in got} == {r[3] for r in rows}

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import gapless_rank, spread, spread_key
 
+#: Columns that `scheduled` adds.
+ADDED = ("mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
 #: Documents of a block.
 BLOCK = 16
 #: Slots that one task places; the driver keeps the state at the first of each.
@@ -154,7 +156,9 @@ def scheduled(docs: DataFrame, weights: dict | Callable[[dict], dict] = root_wei
     docs has doc_id, source and text. Rows of a source are ranked by a hash of id and text and cut into blocks; all rows
     get a place. A null source is a source. weights: target weight by source (as 'source' or None), or a function of the
     rows by source; sources without a weight raise KeyError. They hold exactly, or with a period rounded to whole slots
-    of it. Only one row per source comes to the driver. An empty table stays empty; columns of these names are replaced.
+    of it. Only one row per source comes to the driver; it goes through the slots once, one for each `block` documents.
+    An empty table stays empty, texts of any length count as one row, rows that are repeated are rows, and columns of
+    just these six names are replaced.
     """
     keyed = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     counts = {r["__source"]: r["count"] for r in keyed.groupBy("__source").count().collect()}
@@ -169,7 +173,7 @@ def scheduled(docs: DataFrame, weights: dict | Callable[[dict], dict] = root_wei
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     keyed = keyed.withColumn("__range", spread(F.col("doc_id"), crc))
     ranked = gapless_rank(keyed, "__source", "__range", [spread_key(F.col("doc_id"), crc), F.col("doc_id"), crc], "__at")
-    kept = [f"`{c}`" for c in docs.columns if not c.startswith("mix_")]
+    kept = [f"`{c}`" for c in docs.columns if c not in ADDED]
     ranked = ranked.join(F.broadcast(numbers), F.col("__source") == F.col("__name"))
     ranked = ranked.select(*kept, "__s", F.floor(F.col("__at") / block).alias("mix_block"), (F.col("__at") % block).cast("int").alias("mix_place"))
     placed = placed.withColumnsRenamed({"__s": "__ps", "mix_block": "__pb"})
