@@ -106,3 +106,68 @@ def test_payload_of_several_images():
     payload = bytes(range(192)) * 3 * (media.ROWS + 2)
     stored = media.store(payload)
     assert media.restore(stored) == payload and len(list(media.images(stored))) == 2
+
+
+def test_forms_by_content():
+    text = ("The quick brown fox jumps over the lazy dog, 0123456789. " * 60).encode()
+    ramp = bytes(i % 251 for i in range(576 * 4))
+    row = bytes(np.random.default_rng(1).integers(0, 200, 576, dtype=np.uint8))
+    chosen = lambda p: media.form(np.frombuffer(media.padded(p), np.uint8).reshape(-1, 576))
+    assert chosen(b"ab" * 700) == {"palette": True} and chosen(text) == {"subtract_green": True}
+    assert chosen(ramp)["predictor"][0, 0] == 1 << 8 and chosen(row * 20)["predictor"][0, 0] == 2 << 8
+    for p in (b"", b"ab" * 700, text, ramp, row * 20, bytes(range(256)) * 9, row * 700):
+        assert media.restore(media.store(media.padded(p))) == media.padded(p)
+
+
+class Pen:
+    """Bits of a stream written by hand, least significant first; no part of the encoder is used."""
+
+    def __init__(self, width, height):
+        self.bits = ""
+        self(0x2F, 8)(width - 1, 14)(height - 1, 14)(1, 1)(0, 3)
+
+    def __call__(self, value, size):
+        self.bits += "".join(str(value >> i & 1) for i in range(size))
+        return self
+
+    def one(self, symbol):
+        """A prefix code of one symbol."""
+        return self(1, 1)(0, 1)(1, 1)(symbol, 8)
+
+    def two(self, a, b):
+        """A prefix code of two symbols; the smaller one is bit 0."""
+        return self(1, 1)(1, 1)(1, 1)(a, 8)(b, 8)
+
+    def file(self):
+        bits = self.bits + "0" * (-len(self.bits) % 16)
+        data = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+        return b"RIFF" + (12 + len(data)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data
+
+
+def argb(a, r, g, b):
+    return a << 24 | r << 16 | g << 8 | b
+
+
+def test_a_palette_written_by_hand():
+    pen = Pen(10, 1)(1, 1)(3, 2)(1, 8)  # a palette of two colours: eight pixels a byte
+    pen(0, 1).two(20, 6).two(10, 5).two(30, 7).two(255, 0).one(0)
+    pen(0b1111, 4)(0b0000, 4)  # the first colour, then what the second one adds
+    pen(0, 1)(0, 1)(0, 1).two(0x55, 3).one(0).one(0).one(255).one(0)
+    pen(1, 1)(0, 1)
+    first, second = argb(255, 10, 20, 30), argb(255, 15, 26, 37)
+    assert webp.decode(pen.file()).tolist() == [[second if x else first for x in (1, 0, 1, 0, 1, 0, 1, 0, 1, 1)]]
+
+
+def test_cross_colour_written_by_hand():
+    pen = Pen(3, 2)(1, 1)(1, 2)(0, 3)  # blocks of four pixels: one multiplier
+    pen(0, 1).one(0).one(16).one(32).one(255).one(0)
+    pen(0, 1)(0, 1)(0, 1).one(9).one(4).one(1).one(255).one(0)
+    assert webp.decode(pen.file()).tolist() == [[argb(255, 13, 9, 7)] * 3] * 2  # 4 + 9, then 1 + 13 / 2
+
+
+def test_predictors_written_by_hand():
+    for mode, want in ((1, [[1, 2, 3], [2, 3, 4]]), (2, [[1, 2, 3], [2, 3, 4]]), (0, [[1, 2, 3], [2, 1, 1]])):
+        pen = Pen(3, 2)(1, 1)(0, 2)(0, 3)
+        pen(0, 1).one(mode).one(0).one(0).one(255).one(0)
+        pen(0, 1)(0, 1)(0, 1).one(1).one(1).one(1).one(0).one(0)
+        assert webp.decode(pen.file()).tolist() == [[argb(255, x, x, x) for x in row] for row in want]
