@@ -51,3 +51,14 @@ def test_no_labels_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.kept for r in quality.resample(docs, labels).collect()] == [False]
     assert quality.resample(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_rows_are_kept_together(spark):
+    rows = corpus()[:100]
+    docs = spark.createDataFrame(rows + rows[:50] + [(None, "g1 g2")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(100)], "doc_id long, quality int")
+    got = quality.resample(docs, labels).collect()
+    kept = {}
+    for r in got:
+        kept.setdefault((r.doc_id, r.log_weight), set()).add(r.kept)
+    assert len(got) == 153 and all(len(x) == 1 for x in kept.values()) and 0.7 * 153 <= sum(r.kept for r in got) <= 0.8 * 153 + 3

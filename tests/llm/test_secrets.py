@@ -45,6 +45,38 @@ def test_novelty_reports_random_strings_only():
     assert secrets.novel_spans(seen, [], c, rule) == []
 
 
+def test_strings_on_both_sides_of_a_word():
+    c, rule, key = zstandard.ZstdCompressor(level=9, write_content_size=False), secrets.Novelty(), "qX7+bT2/Lp9kQz4RmW8vNs3YaB5cD6eF"
+    for gap in (1, 50, 62, 63, 64):
+        after, before = f"the token{'.' * gap}{key} end", f"{key}{'.' * gap}token it is"
+        found = [[t[s:e] for s, _, e in secrets.novel_spans(t, [], c, rule)] for t in (after, before)]
+        assert found == ([[key], [key]] if gap < 64 else [[], []])
+
+
+def plain_novel(text, compressor, rule):
+    """Every run of candidate signs of a text, held against every sensitive word."""
+    out = []
+    words = [m.span() for m in secrets._SENSITIVE.finditer(text)]
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        for a, b in words:
+            start, end = (max(m.start(), b), m.end()) if m.end() > b else (m.start(), min(m.end(), a))
+            near = start < b + rule.reach if m.end() > b else end > a - rule.reach
+            if near and end - start >= 16 and secrets._classes(text[start:end]) >= rule.min_classes:
+                around = text[max(0, start - rule.context) : start] + text[end : end + rule.context]
+                cost = secrets.marginal_bytes(around.encode(), text[start:end].encode(), compressor)
+                if cost >= rule.min_bytes and cost >= rule.min_share * (end - start):
+                    out.append((start, "novel", end))
+    return sorted(set(out))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["token", " ", ". ", "the login for ", "qX7+bT2/Lp9kQz4RmW8v", "Zz9Yy8Xx7Ww6Vv5Uu4Tt", "plain words here ", "secret "]), max_size=12))
+def test_novel_spans_match_a_plain_search(parts):
+    c, rule = zstandard.ZstdCompressor(level=9, write_content_size=False), secrets.Novelty()
+    text = " ".join(parts)
+    assert sorted(secrets.novel_spans(text, [], c, rule)) == plain_novel(text, c, rule)
+
+
 def test_query_over_odd_rows(spark):
     long = "x " * 200000 + "password=0123456789abcdef01234567"
     rows = [(1, "é password = 'hunter22x'"), (2, None), (3, ""), (None, "token=abcdefg"), (5, long), (5, long), (6, "AKIA" + "A" * 15 + " AKIA" + "B" * 16)]

@@ -99,7 +99,10 @@ def resample(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) -
     """One row per document: doc_id, n_features, log_weight, gumbel, sample_key, kept.
 
     The target is the text of rows labelled quality = 1; as large a share of all rows is kept as has that label among
-    the labelled (none without labels).
+    the labelled (none without labels). A null or empty text has no features and weight 0; texts of any length count
+    whole. The noise comes from the id, so rows of one id and text, or of null ids and equal texts, have one key and are
+    kept or left together; ties at the last key are all kept, so a few more rows may stay than the share asks for. An
+    empty table gives no rows, and other columns, whatever their names, are left out.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good, labelled = known.agg(F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)), F.count("*")).first()

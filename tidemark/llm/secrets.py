@@ -19,6 +19,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SENSITIVE = re.compile(r"(?ai:passw|passphrase|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|authorization|bearer|login)")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = [bool(re.match("[A-Za-z0-9+/_=-]", chr(c))) for c in range(128)]
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer", "login")
 #: Identifiers that prime the compressor: snake_case and camelCase names.
 IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[A-Za-z]++(?:_[A-Za-z0-9]++)++|[a-z]++(?:[A-Z][a-z0-9]*+)++)"
@@ -30,7 +31,8 @@ MAX_IDENTIFIERS = 2000
 class Novelty:
     """When a candidate counts as novel: marginal compressed bytes, their share of its length, kinds of characters.
 
-    reach: code points after a sensitive word that are searched; context: code points on both sides that prime too.
+    reach: code points before and after a sensitive word in which a string must begin or end to be looked at; context:
+    code points on both sides that prime too.
     """
 
     min_bytes: int = 12
@@ -67,6 +69,22 @@ def marginal_bytes(context: bytes, candidate: bytes, compressor: zstandard.ZstdC
     return len(compressor.compress(context + candidate)) - len(compressor.compress(context))
 
 
+def candidates(text: str, word: tuple[int, int], reach: int) -> Iterator[tuple[int, int]]:
+    """Spans of whole strings that may be secrets, of which some part stands within reach before or after a word."""
+    start, end = word
+    part = lambda i: 0 <= i < len(text) and _PART[ord(text[i]) if ord(text[i]) < 128 else 0]
+    for m in _CANDIDATE.finditer(text, end, end + reach + 15):
+        a, b = m.span()
+        while part(b):  # the reach must not cut a string
+            b += 1
+        if a < end + reach:
+            yield a, b
+    low = max(0, start - reach)
+    while low and part(low) and part(low - 1):
+        low -= 1
+    yield from (m.span() for m in _CANDIDATE.finditer(text, low, start))
+
+
 def novel_spans(text: str, base: list[tuple[int, str, int]], compressor: zstandard.ZstdCompressor, rule: Novelty) -> list[tuple[int, str, int]]:
     """Candidates near a sensitive word, outside base spans, that the dictionary and the text around do not explain."""
     low = text.lower()
@@ -74,15 +92,12 @@ def novel_spans(text: str, base: list[tuple[int, str, int]], compressor: zstanda
         return []
     seen, out = set(), []
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), word.end() + rule.reach):
-            start, end = m.span()
-            while end < len(text) and _CANDIDATE.match(text[end] * 16):  # the reach must not cut a string
-                end += 1
-            if start in seen or any(s < end and start < e for s, _, e in base):
+        for start, end in candidates(text, word.span(), rule.reach):
+            if (start, end) in seen or any(s < end and start < e for s, _, e in base):
                 continue
-            seen.add(start)
+            seen.add((start, end))
             token = text[start:end]
-            if _classes(token) < rule.min_classes:
+            if _classes(token) < rule.min_classes or any(s < end and start < e for s, _, e in out):
                 continue
             around = text[max(0, start - rule.context) : start] + text[end : end + rule.context]
             cost = marginal_bytes(around.encode(), token.encode(), compressor)
@@ -94,8 +109,9 @@ def novel_spans(text: str, base: list[tuple[int, str, int]], compressor: zstanda
 def find_spans(docs: DataFrame, rule: Novelty | None = None, max_identifiers: int = MAX_IDENTIFIERS) -> DataFrame:
     """docs (doc_id, text) to doc_id and spans: array of (kind, start, end), code points, end exclusive, by start and kind.
 
-    Whole texts are searched in tasks, without a shuffle; the identifier dictionary is bounded. A null or empty text has
-    no spans.
+    Whole texts of any length are searched in tasks, without a shuffle; the identifier dictionary is bounded. A null or
+    empty text has no spans, rows that are repeated have theirs each, an empty table gives no rows, and other columns,
+    whatever their names, are left out.
     """
     rule = rule or Novelty()
     names = [r["name"] for r in identifiers(docs, max_identifiers).collect()]
