@@ -1,7 +1,8 @@
 """The training-data pipeline over documents: toxicity, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Null texts and ids, texts of any length, repeated rows, empty tables and
+columns of any name are handled as the operators of the stages say; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -16,27 +17,33 @@ SHARDS = 8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled rows outside the held-out fold, doesn't reject."""
+    """Documents that the classifier, trained on the labelled rows outside the held-out fold, doesn't reject.
+
+    A null text counts as empty; repeated rows are kept or dropped alike.
+    """
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows without a word stay, each once if it is repeated as a whole.
+    """
     return minhash.keep_one(docs, words=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, edited copies included."""
+    """Documents that hold no benchmark item, edited copies included; rows without a text stay."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order in which blocks of each source come at its target weight."""
+    """All documents, in an order in which blocks of each source come at its target weight; no source is a source."""
     return mixing.mixed(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard."""
+    """All documents with their shard (a column `shard` they had is replaced); a null id counts as 0."""
     return sharding.shard_documents(docs, SHARDS)
 
 
