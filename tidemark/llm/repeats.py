@@ -2,9 +2,10 @@
 
 A string of LENGTH bytes is routed by its minimizer: the smallest hash among its GRAM-byte strings. Equal strings have
 equal minimizers, so all comparisons stay within the texts of one minimizer. Neighbouring strings with one minimizer are
-kept as one segment. Segments of the same bytes count once; different segments of one minimizer are indexed together:
-the run-compressed Burrows-Wheeler transform with suffixes and match lengths sampled at the ends of its runs, from which
-the matching statistics of all positions are read in text order (Gagie, Navarro and Prezza, 2020).
+kept as one segment. Segments of the same bytes go into an index once, with the number of their copies; all segments of
+one minimizer are indexed together: the run-compressed Burrows-Wheeler transform with suffixes and match lengths sampled
+at the ends of its runs, from which the matching statistics of all positions are read in text order (Gagie, Navarro and
+Prezza, 2020). Hashes only route; every repeat is read from an index.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import discard, stored
 from tidemark.llm.words import mix, powers, prefix_hash
 
 U = np.uint64
 LENGTH, GRAM = 400, 64
 #: Bytes of text whose segments are computed at once.
-PIECE = 1 << 20
-#: An index takes whole minimizers up to about so many bytes. Segments of a minimizer with more distinct ones than HOT
+PIECE = 1 << 18
+#: An index takes whole minimizers up to about so many bytes, so its arrays stay in a core's cache. Segments of a minimizer with more distinct ones than HOT
 #: are cut into CLASSES parts each by where the minimizer lies in the string, again and again, and routed by the bytes
-#: that all strings of a part have in common. Parts of FEW strings go by the hashes of their strings at last.
-INDEX_BYTES, HOT, CLASSES, FEW = 1 << 20, 1000, 4, 6
+#: that all strings of a part have in common; a part of one string is routed by all of it, so this ends.
+INDEX_BYTES, HOT, CLASSES = 1 << 17, 500, 4
 
 
 def minimizer_runs(raw: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
@@ -56,10 +57,12 @@ class RunLengthIndex:
     """The runs of the Burrows-Wheeler transform of some strings, each with an end mark of its own.
 
     Kept per run: its symbol and length, and the suffix positions at its head and tail with the lengths of their matches
-    with the suffixes before and after them. All other match lengths follow from these.
+    with the suffixes before and after them. All other match lengths follow from these. Of copies of a string one is
+    sorted: the others' suffixes stand beside its own with the same symbol before them and lengthen their runs, except
+    for the whole strings, before which the end marks differ: these are runs of their own, which match in full.
     """
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], copies: list[int] | None = None):
         self.offsets = np.cumsum([0] + [len(s) + 1 for s in strings])
         n, marks = int(self.offsets[-1]), len(strings)
         text = np.empty(n, np.int64)
@@ -72,28 +75,40 @@ class RunLengthIndex:
         before = text[order - 1]  # of suffix 0 this is the last end mark, which no other suffix has before it
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         heads, tails = np.concatenate(([0], change)), np.concatenate((change - 1, [n - 1]))
-        self.symbols, self.lengths = before[heads], tails - heads + 1
+        times = np.repeat(np.ones(marks, np.int64) if copies is None else np.array(copies, np.int64), np.diff(self.offsets))
+        self.symbols, self.lengths = before[heads], np.add.reduceat(times[order], heads)
         self.head_suffix, self.tail_suffix = order[heads], order[tails]
         self.head_match = self._match(levels, order[np.maximum(heads - 1, 0)], order[heads]) * (heads > 0)
         self.tail_match = self._match(levels, order[tails], order[np.minimum(tails + 1, n - 1)]) * (tails < n - 1)
+        first = self.offsets[:-1]
+        self.copy_suffix = first[times[first] > 1] if marks else first
+        self.copy_match = (self.offsets[1:] - 1 - first)[times[first] > 1] if marks else first
         self.n = n
 
     @staticmethod
     def _sorted(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """Suffix array, and the ranks of all suffixes by their first 1, 2, 4, ... symbols."""
-        n, width, rank, levels = len(text), 1, text, [(1, text.astype(np.int32))]
+        n, width, key, levels = len(text), 1, text.astype(np.uint64) + U(1), [(1, text.astype(np.int32))]
+        if n > 4 and int(text.max()) + 1 < 1 << 16:  # four symbols at once
+            for bits in (U(16), U(32)):
+                ahead = np.zeros(n, np.uint64)
+                ahead[: n - width] = key[width:]
+                key, width = (key << bits) | ahead, 2 * width
+                if width == 2:
+                    levels.append((2, key.astype(np.uint32).view(np.int32)))
         while True:
-            key = rank.astype(np.uint64) << U(32)
-            key[: n - width] |= (rank[width:] + 1).astype(np.uint64)
             order = np.argsort(key)
             step = np.zeros(n, np.int64)
             step[1:] = key[order][1:] != key[order][:-1]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(step)
-            width *= 2
-            levels.append((width, rank.astype(np.int32)))
-            if width >= depth or rank[order[-1]] == n - 1:
+            if width > 1:
+                levels.append((width, rank.astype(np.int32)))
+            if width >= depth or not n or rank[order[-1]] == n - 1:
                 return order, levels
+            key = rank.astype(np.uint64) << U(32)
+            key[: n - width] |= (rank[width:] + 1).astype(np.uint64)
+            width *= 2
 
     @staticmethod
     def _match(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,13 +128,15 @@ class RunLengthIndex:
         """
         out = np.zeros(self.n, np.int64)
         at = np.arange(self.n)
-        for suffix, match in ((self.head_suffix, self.head_match), (self.tail_suffix, self.tail_match)):
+        for suffix, match in ((self.head_suffix, self.head_match), (self.tail_suffix, self.tail_match), (self.copy_suffix, self.copy_match)):
+            if not len(suffix):
+                continue
             sample = np.full(self.n, -1)
             sample[suffix] = at[suffix]
             value = np.zeros(self.n, np.int64)
             value[suffix] = match
             last = np.maximum.accumulate(sample)
-            out = np.maximum(out, value[last] - (at - last))
+            out = np.maximum(out, np.where(last < 0, 0, value[last] - (at - last)))
         return out
 
     def repeated(self, length: int) -> list[np.ndarray]:
@@ -168,49 +185,32 @@ def segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def indexed(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated strings (c1, c2, spans) of the pieces (mini, c1, c2, raw), by one index after another in each task."""
+    """Repeated strings (c1, c2, spans) of the pieces (mini, c1, c2, total, raw), by one index after another in each task."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
 
         def flush() -> pa.RecordBatch:
-            found = [_ranges(x) for x in RunLengthIndex([raw for *_, raw in held]).repeated(length)]
-            rows = [(a, b, r) for (a, b, _), r in zip(held, found, strict=True) if r]
+            found = [_ranges(x) for x in RunLengthIndex([raw for *_, raw in held], [total for *_, total, _ in held]).repeated(length)]
+            rows = [(a, b, r) for (a, b, *_), r in zip(held, found, strict=True) if r]
             held.clear()
             return _batch(rows, "c1 long, c2 long, spans array<struct<at:int,n:int>>")
 
         for batch in batches:
-            for mini, c1, c2, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for mini, c1, c2, total, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if mini != last and size >= INDEX_BYTES:
                     yield flush()
                     size = 0
                 last = mini
-                held.append((c1, c2, raw))
+                held.append((c1, c2, total, raw))
                 size += len(raw)
         if held:
             yield flush()
 
-    spread = pieces.repartition("mini").sortWithinPartitions("mini").select("mini", "c1", "c2", "raw")
+    spread = pieces.repartition("mini").sortWithinPartitions("mini").select("mini", "c1", "c2", "total", "raw")
     return spread.mapInArrow(search, "c1 long, c2 long, spans array<struct<at:int,n:int>>")
 
 
-def counted(pieces: DataFrame, length: int) -> DataFrame:
-    """As `indexed`, for minimizers with very many segments: equal strings meet by their 128-bit hash, map-side first."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c1, c2, total, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                view = memoryview(raw)
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(len(raw) - length + 1)), np.int64).reshape(-1, 2)
-                k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([c1] * k, pa.int64()), pa.array([c2] * k, pa.int64()), pa.array([total] * k, pa.int64()), pa.array(np.arange(k, dtype=np.int32))], ["w1", "w2", "c1", "c2", "total", "at"])
-
-    each = pieces.select("c1", "c2", "total", "raw").mapInArrow(split, "w1 long, w2 long, c1 long, c2 long, total long, at int")
-    often = each.groupBy("w1", "w2").agg(F.sum("total").alias("often")).where("often > 1").select("w1", "w2")
-    hits = each.join(often, ["w1", "w2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    return hits.select("c1", "c2", F.transform("ats", lambda x: F.struct(x.alias("at"), F.lit(1).alias("n"))).alias("spans"))
-
-
 def parted(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """Parts of pieces: strings whose minimizer lies `width` places from each other at most, in fixed ranges of places.
 
@@ -235,9 +235,10 @@ def parted(pieces: DataFrame, length: int, width: int) -> DataFrame:
     return slim.mapInArrow(split, "p1 long, p2 long, off int, mini long, c1 long, c2 long, total long, n int, place int, raw binary")
 
 
-def _whole(contents: DataFrame) -> DataFrame:
-    """Pieces that occur more than once repeat in all their strings."""
-    return contents.where("total > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("spans"))
+def with_kinds(contents: DataFrame) -> DataFrame:
+    """Contents that can repeat, with kinds, the number of different ones of their minimizer (counted map-side first)."""
+    kinds = contents.groupBy("mini").agg(F.count("*").alias("kinds"))
+    return contents.join(kinds, "mini").where("kinds > 1 OR total > 1")
 
 
 def repeated(pieces: DataFrame, length: int, hot: int, width: int) -> DataFrame:
@@ -246,13 +247,12 @@ def repeated(pieces: DataFrame, length: int, hot: int, width: int) -> DataFrame:
     rest = pieces.where(F.col("kinds") > hot)
     if rest.isEmpty():
         return found
-    if width <= FEW:
-        return found.unionByName(counted(rest, length))
     width = -(-width // CLASSES)
     parts = stored(parted(rest, length, width), "parts")
     contents = parts.groupBy("mini", "c1", "c2").agg(F.sum("total").alias("total"), F.first("n").alias("n"), F.first("place").alias("place"), F.first("raw").alias("raw"))
-    contents = stored(contents.withColumn("kinds", F.count("*").over(Window.partitionBy("mini"))).where("kinds > 1 OR total > 1"), "contents")
-    inner = _whole(contents).unionByName(repeated(contents.where("kinds > 1"), length, hot, width))
+    contents = stored(contents, "contents")
+    # a part of one string is all of what routes it, so its minimizer has one kind
+    inner = repeated(with_kinds(contents) if width > 1 else contents.where("total > 1").withColumn("kinds", F.lit(1)), length, max(hot, 1), width)
     back = parts.select("p1", "p2", "off", "c1", "c2").join(inner, ["c1", "c2"])
     moved = F.transform("spans", lambda s: F.struct((s["at"] + F.col("off")).alias("at"), s["n"].alias("n")))
     return found.unionByName(back.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), moved.alias("spans")))
@@ -261,17 +261,21 @@ def repeated(pieces: DataFrame, length: int, hot: int, width: int) -> DataFrame:
 def removed_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """digest and spans (start, end; sorted, apart) of the bytes of each distinct text that lie in a repeated string.
 
-    texts: digest, raw; one row for each document, so that copies count as occurrences.
+    texts: doc_id, digest, raw; one row for each document, so that copies count as occurrences.
     """
     cut = stored(segments(texts, length, gram), "segments")
     contents = cut.groupBy("mini", "c1", "c2").agg(F.count("*").alias("total"), F.min(F.struct("digest", "start")).alias("rep"), F.first("n").alias("n"), F.first("place").alias("place"))
-    contents = contents.withColumn("kinds", F.count("*").over(Window.partitionBy("mini"))).where("kinds > 1 OR total > 1")
-    contents = stored(contents.select("mini", "c1", "c2", "total", "n", "place", "kinds", "rep.digest", "rep.start"), "contents")
-    several = contents.where("kinds > 1")
-    wanted = texts.join(several.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    contents = stored(contents.select("mini", "c1", "c2", "total", "n", "place", "rep.digest", "rep.start"), "contents")
+    live = stored(with_kinds(contents), "live")
+    discard(contents)
+    # copies of a text are told apart by id before bytes are shuffled, so they don't meet in one task
+    chosen = texts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("c")).select("digest", F.col("c.doc_id").alias("c_doc"))
+    chosen = chosen.join(live.select("digest").distinct(), "digest", "left_semi").withColumnRenamed("digest", "c_digest")
+    wanted = texts.join(chosen, (F.col("digest") == F.col("c_digest")) & F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi").select("digest", "raw").dropDuplicates(["digest"])
     piece = F.expr(f"substring(raw, start + 1, n + {length - 1})")
-    pieces = stored(several.join(wanted, "digest").select("mini", "c1", "c2", "total", "n", "place", "kinds", piece.alias("raw")), "pieces")
-    found = _whole(contents).unionByName(repeated(pieces, length, hot, length - gram + 1))
+    pieces = stored(live.join(wanted, "digest").select("mini", "c1", "c2", "total", "n", "place", "kinds", piece.alias("raw")), "pieces")
+    discard(live)
+    found = repeated(pieces, length, hot, length - gram + 1)
     marks = cut.join(found, ["c1", "c2"]).select("digest", F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), (F.col("start") + s["at"] + s["n"] + (length - 1)).alias("end"))).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +301,11 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
     A byte goes if it lies in a string of `length` bytes that also starts anywhere else in any document, its own
     included; what is left is not searched again. A null text counts as empty, and texts under `length` bytes keep all.
+    Each row is a document, so of a row that is repeated, also under one id or none, both lose what they share; the
+    length of a text isn't limited, an empty table gives no rows, and other columns, whatever their names, are left out.
     """
     texts = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).withColumn("digest", F.unhex(F.md5("raw")))
-    spans = removed_spans(texts.select("digest", "raw"), length, gram, hot)
+    spans = removed_spans(texts, length, gram, hot)
     out = texts.join(spans, "digest", "left").withColumn("spans", F.coalesce("spans", F.expr("CAST(array() AS array<struct<start:int,end:int>>)")))
     edges = F.expr("transform(sequence(0, size(spans)), i -> struct(CASE WHEN i = 0 THEN 0 ELSE spans[i - 1].end END AS a, CASE WHEN i = size(spans) THEN octet_length(raw) ELSE spans[i].start END AS b))")
     kept = F.aggregate(edges, F.expr("X''"), lambda acc, e: F.concat(acc, F.substring(F.col("raw"), e["a"] + 1, e["b"] - e["a"])))
@@ -307,5 +313,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
 
 def digest(dropped: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `drop_repeats`."""
-    return dropped.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"])).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `drop_repeats`, and kept_text: the other bytes as text, in which
+    what is left of a character that was cut stands as U+FFFD."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+    return dropped.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
