@@ -236,9 +236,12 @@ def parted(pieces: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def with_kinds(contents: DataFrame) -> DataFrame:
-    """Contents that can repeat, with kinds, the number of different ones of their minimizer (counted map-side first)."""
-    kinds = contents.groupBy("mini").agg(F.count("*").alias("kinds"))
-    return contents.join(kinds, "mini").where("kinds > 1 OR total > 1")
+    """Contents that can repeat, with kinds, the number of different ones of their minimizer.
+
+    Counts over 1 stand in a table of their own, so that Spark can split the join of a minimizer that many have.
+    """
+    kinds = stored(contents.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    return contents.join(kinds, "mini", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))).where("kinds > 1 OR total > 1")
 
 
 def repeated(pieces: DataFrame, length: int, hot: int, width: int) -> DataFrame:
