@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     named = labels.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
     first = named.groupBy("label").agg(F.min("rep").alias("component"))
     reach = named.join(first, "label").select(F.col("node").alias("digest"), "component")
-    known = classes.select("digest", "rep").join(reach, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    known = stored(classes.select("digest", "rep").join(reach, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component")), "known")
     out = rows.drop("sketch").join(known, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
