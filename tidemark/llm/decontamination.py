@@ -1,14 +1,16 @@
-"""Benchmark decontamination: n-gram seeds find places, Smith-Waterman alignment of words scores them."""
+"""Benchmark decontamination: n-gram seeds join places and items, Smith-Waterman alignment of words scores them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
 from tidemark.llm.words import mix, word_hashes
 
 U = np.uint64
@@ -16,17 +18,14 @@ U = np.uint64
 SEED = 5
 #: Items of up to so many words have seeds of one word less: two edits side by side may leave runs of four words.
 SHORT = 10
-#: Places of seeds that are joined into windows at once.
-PLACES = 1 << 20
-#: Bytes of benchmark text that are searched for in one pass over the documents.
-BLOCK_BYTES = 32 << 20
+#: Powers of two of bits of the filter that tells places without a seed of the benchmark: two bits a seed, 16 MB at most.
+FILTER_BITS = (16, 27)
 #: Share of the words of item and passage that must be aligned and equal.
 SIMILARITY = 0.8
 _SEPARATE = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     if not chr(_c).isalnum():
         _SEPARATE[_c] = 32
-_BLOOM_BITS = 22
 
 
 def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -78,116 +77,166 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
     return best, equal, i, end_i, j, end_j
 
 
-def _overlaps_joined(windows: np.ndarray) -> np.ndarray:
-    """Sorted windows (first row: starts, second: ends), those that overlap or touch joined."""
-    first, last = windows[:, np.argsort(windows[0], kind="stable")]
-    if not len(first):
-        return windows
-    last = np.maximum.accumulate(last)
-    new = np.flatnonzero(first[1:] > last[:-1]) + 1
-    return np.stack([first[np.concatenate(([0], new))], last[np.concatenate((new - 1, [len(last) - 1]))]])
-
-
-class Matcher:
-    """Searches texts for the items (id, text) of one block of a benchmark."""
-
-    def __init__(self, items: list[tuple[object, str]], similarity: float, size: int = SEED):
-        self.ids = [i for i, _ in items]
-        self.words = [tokens(t or "")[0] for _, t in items]
-        self.similarity = similarity
-        sizes = [size if len(w) > SHORT else min(size - 1, len(w)) for w in self.words]
-        self.sizes = sorted({n for n in sizes if n})
-        rows = []
-        for k, (w, n) in enumerate(zip(self.words, sizes, strict=True)):
-            h, at = seeds(w, n) if n else (w, np.zeros(0, np.int64))
-            rows.append((h, np.full(len(h), k), at))
-        h, item, at = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
-        order = np.argsort(h, kind="stable")
-        self.seed, self.item, self.at = h[order].astype(np.uint64), item[order], at[order]
-        self.length = np.array([len(w) for w in self.words], np.int64)
-        self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        self.bloom[self.seed >> U(64 - _BLOOM_BITS)] = True
-
-    def hits(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word of the window, last) around the seeds of a text, windows of an item that overlap joined."""
-        step = len(h) + 1  # windows of item k lie from k * step on, so all are joined in one pass
-        windows = np.zeros((2, 0), np.int64)
-        for size in self.sizes:
-            values, at = seeds(h, size)
-            near = self.bloom[values >> U(64 - _BLOOM_BITS)]
-            values, at = values[near], at[near]
-            lo, hi = np.searchsorted(self.seed, values), np.searchsorted(self.seed, values, side="right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            ends = np.cumsum(n)
-            for first in range(0, int(ends[-1]) if len(ends) else 0, PLACES):
-                place = np.arange(first, min(first + PLACES, int(ends[-1])))
-                v = np.searchsorted(ends, place, side="right")
-                s = lo[v] + place - (ends[v] - n[v])
-                k = self.item[s]
-                start, slack = at[v] - self.at[s], self.length[k] // 4 + 2
-                marks = k * step + np.stack([np.maximum(0, start - slack), np.minimum(len(h), start + self.length[k] + slack)])
-                windows = _overlaps_joined(np.concatenate([windows, marks], axis=1))
-        return [(int(a) // step, int(a) % step, int(b) % step) for a, b in windows.T]
-
-    def search(self, text: str) -> list[dict]:
-        """The best passage for each item that is similar enough."""
-        h, starts, ends, raw = tokens(text)
-        best = {}
-        if not len(h):
-            return []
-        for k, a, b in self.hits(h):
-            n = len(self.words[k])
-            for at in range(a, b, 8 * n + 64):  # long joined windows in pieces that overlap by more than one item
-                part = h[at : min(b, at + 10 * n + 64)]
-                if np.isin(self.words[k], part).sum() < self.similarity * n - 1e-9:
-                    continue  # too few words of the item stand here
-                score, equal, _, _, j, end = align(self.words[k], part)
-                similarity = equal / max(n, end - j)
-                if similarity >= self.similarity and (k not in best or similarity > best[k]["similarity"]):
-                    best[k] = {"item": k, "similarity": similarity, "score": score, "equal_words": equal, "start": len(raw[: starts[at + j]].decode()), "end": len(raw[: ends[at + end - 1]].decode())}
-        return [best[k] for k in sorted(best)]
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """The items of a benchmark in blocks of about BLOCK_BYTES; one block at a time comes to the driver."""
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = -(-total // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    for k in range(n):
-        yield sorted(((r["item_id"], r["text"]) for r in items.where(block == k).collect()), key=str)
+def itemised(benchmark: DataFrame) -> DataFrame:
+    """item_id, item (128-bit hash of the words), n, words (64-bit hashes) of the benchmark's rows with a word."""
+    kind = dict(benchmark.dtypes)["item_id"]
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [tokens(t.as_py())[0] for t in batch.column(1)]
+            kept = np.array([len(w) > 0 for w in words], bool)
+            found = [w for w in words if len(w)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), pa.array([xxhash.xxh3_128_digest(w) for w in found], pa.binary()), pa.array([len(w) for w in found], pa.int32()), pa.array([w.tobytes() for w in found], pa.binary())], ["item_id", "item", "n", "words"])
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document and similar item: doc_id, item_id, similarity, score, equal_words, start, end (code points).
+    return benchmark.where("text IS NOT NULL").select("item_id", "text").mapInArrow(scan, f"item_id {kind}, item binary, n int, words binary")
 
-    similarity: aligned equal words over the longer of item and passage. Whole texts are searched in one pass per block
-    of the benchmark, without a shuffle. Null texts have no leak; a document or item that stands in several rows is
-    reported for each.
-    """
-    doc, item = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {doc}, item_id {item}, similarity double, score int, equal_words int, start int, end int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark):
 
-        def scan(batches: Iterator[pd.DataFrame], matcher: Matcher = Matcher(block, similarity)) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [(d, matcher.ids[x["item"]], x["similarity"], x["score"], x["equal_words"], x["start"], x["end"]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if t for x in matcher.search(t)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "score", "equal_words", "start", "end"])
+def item_seeds(items: DataFrame, size: int = SEED) -> DataFrame:
+    """seed, size, item, n, at (word of the item) of all seeds of distinct items (item, n, words)."""
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(scan, schema))
-    return out
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width = size if n > SHORT else min(size - 1, n)
+                h, at = seeds(np.frombuffer(words, np.uint64), width)
+                k = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(k, width, np.int32)), pa.array([item] * k, pa.binary()), pa.array(np.full(k, n, np.int32)), pa.array(at.astype(np.int32))], ["seed", "size", "item", "n", "at"])
 
+    return items.select("item", "n", "words").mapInArrow(scan, "seed long, size int, item binary, n int, at int").distinct()
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs, with their own columns, without those that hold an item of the benchmark."""
-    for block in _blocks(benchmark):
-        docs = docs.where(_clean(Matcher(block, similarity))("text"))
-    return docs
+
+def _bits(h: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash among 2**power."""
+    return h >> U(64 - power), (h * U(0x9E3779B97F4A7C15)) >> U(64 - power)
+
+
+def seed_filter(seeded: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the seeds as 64-bit words, and the power of two of its bits: sixteen a seed, within FILTER_BITS.
+
+    Tasks find the words; only these, 2 million at most, come to the driver. With more seeds than it is made for it lets
+    more places through, which then find no partner in the join.
+    """
+    power = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * seeded.count()).bit_length()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), power)))
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> U(6)).astype(np.int32)), pa.array((U(1) << (bit & U(63))).view(np.int64))], ["word", "bit"])
+
+    found = seeded.select("seed").mapInArrow(scan, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (power - 6), np.uint64)
+    out[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out, power
+
+
+def places(texts: DataFrame, bits: np.ndarray, power: int, sizes: list[int]) -> DataFrame:
+    """digest, seed, at (word of the text) of the seeds of texts (digest, text) that the filter lets through."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(*batch.columns, strict=True):
+                h = tokens(text.as_py())[0]
+                for size in sizes:
+                    values, at = seeds(h, size)
+                    one, two = _bits(values, power)
+                    in_it = ((bits[one >> U(6)] >> (one & U(63))) & (bits[two >> U(6)] >> (two & U(63))) & U(1)).astype(bool)
+                    k = int(in_it.sum())
+                    if k:
+                        yield pa.RecordBatch.from_arrays([pa.array([digest.as_py()] * k, pa.binary()), pa.array(values[in_it].view(np.int64)), pa.array(at[in_it].astype(np.int32))], ["digest", "seed", "at"])
+
+    return texts.select("digest", "text").mapInArrow(scan, "digest binary, seed long, at int")
+
+
+def _windows(cells: list[int], n: int, last: int) -> Iterator[tuple[int, int]]:
+    """Places of an item of n words around its cells, overlapping ones joined, long ones in pieces that overlap."""
+    grid, slack = max(1, n // 4), n // 4 + 2
+    first = end = None
+    for cell in [*sorted(cells), None]:
+        a, b = (max(0, cell * grid - slack), min(last, (cell + 1) * grid + n + slack)) if cell is not None else (None, None)
+        if first is not None and (a is None or a > end):
+            yield from ((at, min(end, at + 10 * n + 64)) for at in range(first, end, 8 * n + 64))
+            first = None
+        if a is not None:
+            first, end = (a, b) if first is None else (first, max(end, b))
+
+
+def passage(item: np.ndarray, h: np.ndarray, cells: list[int], similarity: float) -> tuple[float, int, int, int, int] | None:
+    """similarity, score, equal words, first and last word of the best passage near the cells that is similar enough."""
+    n, best = len(item), None
+    for a, b in _windows(cells, n, len(h)):
+        part = h[a:b]
+        if np.isin(item, part).sum() < similarity * n - 1e-9:
+            continue  # too few words of the item stand here
+        score, equal, _, _, j, end = align(item, part)
+        found = equal / max(n, end - j)
+        if found >= similarity and (best is None or found > best[0]):
+            best = (found, score, equal, a + j, a + end - 1)
+    return best
+
+
+def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """digest, item, similarity, score, equal_words, start, end (code points) of the similar passages of distinct texts.
+
+    Seeds of all items are a table; places of texts that a filter of them lets through are joined with it by Spark, and
+    count once for each cell of a quarter of the item's length. Texts with a candidate are joined with it and aligned.
+    docs: doc_id, digest, text; items: item, n, words, distinct.
+    """
+    seeded = stored(item_seeds(items), "seeds")
+    sizes = sorted(r["size"] for r in seeded.select("size").distinct().collect())
+    bits, power = seed_filter(seeded)
+    hits = places(docs, bits, power, sizes).distinct().withColumnRenamed("at", "place")
+    grid = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    cells = hits.join(seeded, "seed").select("digest", "item", F.floor((F.col("place") - F.col("at")) / grid).alias("cell")).distinct()
+    pairs = stored(cells.groupBy("digest", "item").agg(F.collect_list("cell").alias("cells")), "pairs")
+    chosen = docs.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("c"))
+    chosen = chosen.join(pairs.select("digest").distinct(), "digest", "left_semi").select(F.col("digest").alias("c_digest"), F.col("c.doc_id").alias("c_doc"))
+    texts = docs.join(chosen, (F.col("digest") == F.col("c_digest")) & F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi").select("digest", "text").dropDuplicates(["digest"])
+    both = pairs.join(items.select("item", "words"), "item").join(texts, "digest").select("digest", "item", "words", "cells", "text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                digest, item, words, cells = (batch.column(c)[i].as_py() for c in range(4))
+                if digest != last:
+                    last, held = digest, tokens(batch.column(4)[i].as_py())
+                h, starts, ends, raw = held
+                best = passage(np.frombuffer(words, np.uint64), h, cells, similarity)
+                if best:
+                    rows.append((digest, item, *best[:3], len(raw[: starts[best[3]]].decode()), len(raw[: ends[best[4]]].decode())))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "item", "similarity", "score", "equal_words", "start", "end"])
+
+    out = both.mapInArrow(score, "digest binary, item binary, similarity double, score int, equal_words int, start int, end int")
+    return stored(out, "matches")
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL AND text <> ''").select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
 
 
-def _clean(matcher: Matcher):
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not (t and matcher.search(t)) for t in texts], dtype=bool)
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document and similar item: doc_id, item_id, similarity, score, equal_words, start, end (code points).
+
+    similarity: aligned equal words over the longer of item and passage; of several passages of an item in a document
+    the best is given, of equally good ones the first. Whole texts are searched, of any length. Null texts, texts without
+    a word and empty tables have no leak; a document or item that stands in several rows, also under one id or none, is
+    reported for each. Other columns, whatever their names, are not read.
+    """
+    items = stored(itemised(benchmark), "items")
+    found = matches(_digested(docs), items.dropDuplicates(["item"]), similarity)
+    rows = _digested(docs).select("doc_id", "digest").join(found, "digest").join(items.select("item_id", "item"), "item")
+    return rows.select("doc_id", "item_id", "similarity", "score", "equal_words", "start", "end")
 
-    return F.pandas_udf(clean, "boolean")
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, with their own columns whatever their names, without those that hold an item of the benchmark.
+
+    Rows without a text or a word stay, as does every row where the benchmark is empty.
+    """
+    items = itemised(benchmark).dropDuplicates(["item"])
+    found = matches(_digested(docs), stored(items, "items"), similarity).select(F.col("digest").alias("__leak")).distinct()
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.unhex(F.md5("text")).alias("__digest"))
+    return held.join(found, F.col("__digest") == F.col("__leak"), "left_anti").select("__row.*")
