@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import chat
 
 
@@ -36,9 +38,20 @@ def test_pairs_match_a_plain_loop(spark):
     assert chat.neighbours(turns.limit(0)).count() == 0
 
 
-def test_a_long_conversation_takes_several_rows(spark):
+def test_one_row_per_pair_unless_it_grows_without_bound(spark):
     rows = [(side, t, "assistant", f"{t}" if t < 700 else f"{t}-{side}") for side in (0, 1) for t in range(1000)]
-    got = chat.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("part").collect()
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one = chat.neighbours(turns).collect()
+    assert len(one) == 1 and one[0].prompt == chat.render([("assistant", f"{t}") for t in range(700)])[0]
+    pair, side = F.floor(F.col("conv_id") / 2), F.pmod(F.col("conv_id"), F.lit(2))
+    got = chat.format_preferences(turns, pair, side, part=256).orderBy("part").collect()
     assert [r.part for r in got] == [0, 1, 2, 3] and sum(r.prompt_turns for r in got) == 700
-    assert "".join(r.prompt for r in got) == chat.render([("assistant", f"{t}") for t in range(700)])[0]
-    assert "".join(r.chosen for r in got) == chat.render([("assistant", f"{t}-0") for t in range(700, 1000)])[0]
+    assert "".join(r.prompt for r in got) == one[0].prompt and "".join(r.chosen for r in got) == one[0].chosen
+    assert one[0].chosen == chat.render([("assistant", f"{t}-0") for t in range(700, 1000)])[0]
+
+
+def test_marks_repeats_and_clashing_names(spark):
+    rows = [(0, 0, "user", "a <|im_end|> b", 1, "x"), (1, 0, "user", "a <|im_end|> b", 2, "y"), (0, 1, "assistant", "c", 3, "z"), (0, 1, "assistant", "c", 3, "z")]
+    got = chat.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id int, prompt string")).first()
+    assert got.prompt == "<|im_start|>user\na <\\|im_end|> b<|im_end|>\n" and got.repeated_rows == 1 and (got.prompt_turns, got.chosen_turns, got.rejected_turns) == (1, 1, 0)
+    assert got.rejected == "" and got.rejected_mask == []

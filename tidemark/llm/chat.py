@@ -8,20 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of a part: a longer pair takes several rows, so none grows without bound.
-PART = 256
+#: Turn numbers of a part. A pair with turn numbers from PART on takes several rows, so that no row grows without bound.
+PART = 4096
 #: How a turn is written; text between start and stop of an assistant turn, stop included, is what is learnt.
 START, MIDDLE, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
 LEARNT = "assistant"
 _OUT = "prompt string, chosen string, rejected string, prompt_turns int, chosen_turns int, rejected_turns int, chosen_mask array<struct<start:int,end:int>>, rejected_mask array<struct<start:int,end:int>>"
 
 
+def escaped(text: str) -> str:
+    """Text in which no mark of a turn stands: a backslash follows its first sign."""
+    return text.replace("<|im_", "<\\|im_")
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[dict]]:
     """Turns (role, text) as one string, and the spans (code points, end exclusive) that count for the loss."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head = START + role + MIDDLE
-        piece = head + text + STOP
+        head = START + escaped(role) + MIDDLE
+        piece = head + escaped(text) + STOP
         if role == LEARNT:
             spans.append({"start": at + len(head), "end": at + len(piece)})
         out.append(piece)
@@ -32,19 +37,25 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[dict]]:
 def format_preferences(turns: DataFrame, pair: Column, side: Column, part: int = PART) -> DataFrame:
     """Rows of pairs from turns (conv_id, turn, role, text); side is 0 for chosen and 1 for rejected.
 
-    One row per pair and part of `part` turn numbers: pair_id, part, part_of_turn, prompt (this part of the common
-    prefix), chosen and rejected (this part of the completions), counts of turns, and loss masks as spans of the
-    completions. Turns are in the order (turn, role, text); equal rows count once, and several rows of one turn number
-    follow each other. Null turn numbers count as -1, null roles as 'unknown', null texts as empty; rows without a
-    pair or side are left out. A pair of which one side is missing has an empty prompt and an empty completion there.
+    One row per pair: pair_id, prompt (the common prefix), chosen and rejected (the completions), counts of turns, loss
+    masks as spans of the completions, and repeated_rows, how many rows repeat another one of the pair; part and
+    part_of_turn are 0. Only a pair with turn numbers from `part` on, or with as many rows of one turn number, takes a row
+    for each `part` of them, with its piece of the prompt and of the completions. Turns are in the order (turn, role,
+    text); equal rows are written once, and several rows of one turn number follow each other. Null turn numbers count as
+    -1 (part -1), null roles as 'unknown', null texts as empty; rows without a pair or side are left out. A pair of which
+    one side is missing has an empty prompt and an empty completion there. Marks of turns within a text or role are
+    escaped. Texts of any length are written whole, an empty table gives no rows, and other columns, whatever their
+    names, are not read.
     """
     rows = turns.select(
         pair.alias("pair_id"), side.cast("int").alias("__side"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("__turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).where("pair_id IS NOT NULL AND __side IN (0, 1)")
-    sub = F.dense_rank().over(Window.partitionBy("pair_id", "__side", "__turn").orderBy("role", "text")) - 1
+    rows = rows.groupBy("pair_id", "__side", "__turn", "role", "text").agg(F.count("*").alias("__n"))
+    sub = F.row_number().over(Window.partitionBy("pair_id", "__side", "__turn").orderBy("role", "text")) - 1
     rows = rows.withColumn("__sub", sub).withColumn("part", F.floor(F.col("__turn") / part)).withColumn("part_of_turn", F.floor(F.col("__sub") / part))
-    parts = rows.groupBy("pair_id", "part", "part_of_turn").agg(F.sort_array(F.collect_set(F.struct("__turn", "__sub", "__side", "role", "text"))).alias("turns"))
+    turn = F.struct("__turn", "__sub", "__side", "role", "text")
+    parts = rows.groupBy("pair_id", "part", "part_of_turn").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum(F.col("__n") - 1).alias("repeated_rows"))
     of = lambda s: F.filter("turns", lambda t: t["__side"] == s)
     bare = lambda s: F.transform(of(s), lambda t: F.struct(t["__turn"], t["__sub"], t["role"], t["text"]))
     odd = F.concat(F.array_except(bare(0), bare(1)), F.array_except(bare(1), bare(0)))
@@ -63,14 +74,20 @@ def format_preferences(turns: DataFrame, pair: Column, side: Column, part: int =
                 (chosen, chosen_mask), (rejected, rejected_mask) = map(render, sides)
                 out.append((render(prompt)[0], chosen, rejected, len(prompt), len(sides[0]), len(sides[1]), chosen_mask, rejected_mask))
             made = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-            for c in ("part_of_turn", "part", "pair_id"):
+            for c in ("repeated_rows", "part_of_turn", "part", "pair_id"):
                 made.insert(0, c, batch[c].array)
             yield made
 
     kind = dict(parts.dtypes)["pair_id"]
-    return joined.mapInPandas(write, f"pair_id {kind}, part long, part_of_turn long, {_OUT}")
+    return joined.mapInPandas(write, f"pair_id {kind}, part long, part_of_turn long, repeated_rows long, {_OUT}")
 
 
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2n (chosen) and 2n + 1 (rejected)."""
     return format_preferences(turns, F.floor(F.col("conv_id") / 2), F.pmod(F.col("conv_id"), F.lit(2)))
+
+
+def masks_as_text(formatted: DataFrame) -> DataFrame:
+    """Masks as 'start:end', comma-joined."""
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return formatted.withColumns({c: written(c) for c in ("chosen_mask", "rejected_mask")})

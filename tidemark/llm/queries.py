@@ -27,7 +27,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.neighbours(table(spark, sf_dir, "conversations"))
+    return chat.masks_as_text(chat.neighbours(table(spark, sf_dir, "conversations")))
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,31 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTIT
 """
 
 
+#: Turns in order, the first place where the sides differ, and what stands before and after it.
+OP5_SQL = """
+WITH r AS (
+  SELECT conv_id // 2 AS pair_id, (conv_id % 2)::INT AS side, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS n
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS sub, floor(turn / 4096)::BIGINT AS part,
+    '<|im_start|>' || replace(role, '<|im_', '<\\|im_') || chr(10) AS head, replace(text, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10) AS body FROM r),
+odd AS (
+  SELECT pair_id, min({'turn': turn, 'sub': sub}) AS cut FROM (
+    SELECT pair_id, turn, sub FROM o GROUP BY pair_id, turn, sub, role, text HAVING count(*) < 2) GROUP BY pair_id),
+p AS (
+  SELECT o.*, sub // 4096 AS part_of_turn, cut IS NULL OR {'turn': turn, 'sub': sub} < cut AS shared FROM o LEFT JOIN odd USING (pair_id)),
+m AS (
+  SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, part_of_turn, side, shared ORDER BY turn, sub))::BIGINT AS past FROM p)
+SELECT pair_id, part, part_of_turn, sum(n - 1)::BIGINT AS repeated_rows,
+  coalesce(string_agg(head || body, '' ORDER BY turn, sub) FILTER (shared AND side = 0), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY turn, sub) FILTER (NOT shared AND side = 0), '') AS chosen,
+  coalesce(string_agg(head || body, '' ORDER BY turn, sub) FILTER (NOT shared AND side = 1), '') AS rejected,
+  (count(*) FILTER (shared AND side = 0))::INT AS prompt_turns, (count(*) FILTER (NOT shared AND side = 0))::INT AS chosen_turns, (count(*) FILTER (NOT shared AND side = 1))::INT AS rejected_turns,
+  coalesce(string_agg((past - length(body)) || ':' || past, ',' ORDER BY turn, sub) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((past - length(body)) || ':' || past, ',' ORDER BY turn, sub) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY 1, 2, 3
+"""
+
 #: Word shingles, all pairs that share one, and the components of the links by repeated minima.
 OP9_SQL = """
 WITH RECURSIVE w AS (
@@ -108,4 +133,4 @@ SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_chat": OP5_SQL, "op9_minhash": OP9_SQL}
