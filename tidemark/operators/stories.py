@@ -237,3 +237,11 @@ def tickers_of(texts: DataFrame, known: DataFrame) -> DataFrame:
 def related_of_answer(answer: Column, known: Column, own: Column) -> Column:
     """Tickers of a model's answer that are known, without the own one, each once."""
     return F.array_except(F.array_intersect(clean_tickers(answer), known), F.array(own))
+
+
+def question_tickers(questions: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, tickers (sorted, known ones that a question names), macro (true where it names none)."""
+    found = tickers_of(questions, known).groupBy("doc_id").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
+    out = questions.select("doc_id").distinct().join(found, "doc_id", "left")
+    tickers = F.coalesce("tickers", F.array().cast("array<string>"))
+    return out.select("doc_id", tickers.alias("tickers"), (F.size(tickers) == 0).alias("macro"))

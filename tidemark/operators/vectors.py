@@ -121,3 +121,16 @@ def keep_first_similar(rows: DataFrame, threshold: float = config.DUPLICATE_AT,
     """Rows that have no earlier kept row (by id) at the threshold."""
     kept = first_wins(rows.select(F.col("id").alias("ord")), similar_pairs(rows, threshold, block))
     return rows.join(kept.withColumnRenamed("ord", "id"), "id", "left_semi")
+
+
+def of_dimension(rows: DataFrame, n: int) -> DataFrame:
+    """Rows whose unit vector (u) has n numbers; others can't be compared."""
+    return rows.where(F.size("u") == n)
+
+
+def retrieve_recent(rows: DataFrame, queries: DataFrame, k: int, per_day: int, allowed: Column) -> DataFrame:
+    """Of a query's ticker the 3 * k newest rows, then those that are allowed, at most per_day of a day, then the best k."""
+    mine = rows.join(queries, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id"))).withColumn("__ok", allowed)
+    slim = mine.withColumn("sim", F.round(dot(F.col("u"), F.col("q")), 5)).select("query_id", "id", "published_at", F.to_date("published_at").alias("day"), "sim", "__ok")
+    recent = top_per(slim, ["query_id"], [F.col("published_at").desc(), F.col("id")], 3 * k).where("__ok")
+    return top_per(capped(recent, ["query_id", "day"], "sim", per_day), ["query_id"], [F.col("sim").desc(), F.col("id")], k, rank="rank")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import parse_time
 from tidemark.functions.ids import short_id
 from tidemark.functions.text import language_tag, strip_tags
+from tidemark.operators.chunks import unescaped
 
 ENTRY = "array<struct<title:string,url:string,published:string,summary:string,author:string>>"
 
@@ -75,7 +76,7 @@ def feed_news(feeds: DataFrame, now: Column, max_age_days: int = 7) -> DataFrame
     """
     entries = F.when(is_json_feed(F.col("body")), json_feed_entries(F.col("body"))).otherwise(xml_entries(F.col("body")))
     rows = feeds.select("source", "ticker", F.explode(entries).alias("e")).select("source", "ticker", "e.*")
-    rows = rows.withColumn("title", strip_tags(F.col("title"))).withColumn("summary", strip_tags(F.col("summary")))
+    rows = rows.withColumn("title", strip_tags(unescaped(F.col("title")))).withColumn("summary", strip_tags(unescaped(F.col("summary"))))
     rows = rows.withColumn("published_at", F.coalesce(parse_time(F.col("published")), now)).where(F.col("title").isNotNull())
     fresh = rows.where((F.col("published_at") <= now) & (F.col("published_at") >= now - F.make_dt_interval(F.lit(max_age_days))))
     return fresh.select(short_id("feed_", F.col("url"), F.col("title")).alias("id"), "ticker", "title", "summary", "url", "source", "author", "published_at", language_tag(F.col("title")).alias("language"))
@@ -173,3 +174,9 @@ def recent_filers(lines: DataFrame, tickers: DataFrame, since: Column, until: Co
     """Tickers (cik, ticker) with a filing in a closed range of days in form index lines, each once."""
     found = filing_index(lines, forms).where(F.col("filed_date").between(since, until))
     return found.select("cik").distinct().join(tickers, "cik").select("ticker").distinct()
+
+
+def requests(feeds: DataFrame, symbols: DataFrame) -> DataFrame:
+    """url, ticker, source: each feed (source, url, perhaps with {symbol}) for each symbol (ticker); both are stated sets."""
+    each = symbols.join(F.broadcast(feeds.select("source", F.col("url").alias("template"))), F.lit(True))
+    return each.select(F.replace("template", F.lit("{symbol}"), F.col("ticker")).alias("url"), "ticker", "source")

@@ -143,3 +143,25 @@ def macro_kept(articles: DataFrame, topics: Iterable[str], least: float = 0.9) -
     first = articles.withColumn("__key", key).groupBy("__key").agg(F.min(F.struct("ord", *[c for c in articles.columns if c != "ord"])).alias("a")).select("a.*")
     best = first.withColumn("__t", primary_topic(F.col("topics")))
     return best.where(F.col("__t.topic").isin(list(topics)) & (F.col("__t.score") > least)).select("*", F.col("__t.topic").alias("primary_topic")).drop("__t")
+
+
+def todays(rows: DataFrame, existing: DataFrame, now: Column, words: Iterable[str], hours: int = 24) -> DataFrame:
+    """Rows of the last hours that have one of the words and a title that no existing row of these days has, each title once."""
+    from tidemark.functions.text import both
+
+    key = F.lower(F.trim("title"))
+    fresh = rows.where(F.col("published_at").between(now - F.make_dt_interval(F.lit(0), F.lit(hours)), now) & (F.trim("title") != ""))
+    fresh = fresh.where(has_any(both(F.col("title"), F.col("summary")), words)).withColumn("__key", key)
+    new = fresh.join(existing.select(key.alias("__key")).distinct(), "__key", "left_anti")
+    first = new.groupBy("__key").agg(F.min("id").alias("__first"))
+    return new.join(first, "__key").where(F.col("id") == F.col("__first")).drop("__key", "__first")
+
+
+def relevant(rows: DataFrame, words: Iterable[str], least: float = 0.3, model: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """rows with relevant: what a model says of ticker and text; without a model, or where it says nothing, by keywords."""
+    from tidemark.functions.text import both, keyword_count
+
+    low = both(F.col("title"), F.col("summary"))
+    score = F.lit(0.4) + F.least(keyword_count(low, words) * 0.1, F.lit(0.4))  # the rows are of the ticker that is asked for
+    plain = F.least(score, F.lit(1.0)) >= least
+    return rows.withColumn("relevant", plain if model is None else F.coalesce(model(F.col("ticker"), low), plain))
