@@ -488,7 +488,15 @@ def q52_canonical_dup_chain(spark, sf):
 # Limits and views
 
 
-@query()
+#: One ask of each key after another, with the times accepted in the window, the day, and how many were accepted on it.
+_ASKS = "asks AS (SELECT user_id % 20 AS ip, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click')"
+_RUN = """run AS (SELECT DISTINCT ip, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS recent, -1::BIGINT AS day, 0::BIGINT AS used, '' AS verdict FROM asks UNION ALL
+  SELECT ip, n, event_id, CASE WHEN verdict = 'ok' THEN list_append(kept, us) ELSE kept END, d, u + (verdict = 'ok')::BIGINT, verdict FROM (
+    SELECT *, CASE WHEN len(kept) >= 4 THEN 'window' WHEN u >= 30 THEN 'daily' ELSE 'ok' END AS verdict FROM (
+      SELECT a.ip, a.n, a.event_id, a.us, list_filter(r.recent, lambda x: x > a.us - 3600000000) AS kept, a.us // 86400000000 AS d, CASE WHEN a.us // 86400000000 = r.day THEN r.used ELSE 0 END AS u FROM run r JOIN asks a ON a.ip = r.ip AND a.n = r.n + 1)))"""
+
+
+@query("SELECT ip, event_id, verdict FROM run WHERE n > 0", _ASKS, _RUN)
 def q53_rate_limit(spark, sf):
     asks = table(spark, sf, "events").where("event_type = 'click'").select((F.col("user_id") % 20).alias("ip"), "ts", "event_id")
     return limits.limited(asks, window_s=3600, most=4, daily=30)
@@ -522,7 +530,9 @@ def q58_briefing_summary(spark, sf):
     return market.briefing(*_directions(spark, sf))
 
 
-@query()
+@query("SELECT conv_id, turn FROM pack WHERE fits", "turns AS (SELECT conv_id, turn, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)",
+       """pack AS (SELECT DISTINCT conv_id, NULL::BIGINT AS turn, 0::BIGINT AS n, 0::BIGINT AS used, false AS fits FROM turns UNION ALL
+  SELECT t.conv_id, t.turn, t.n, p.used + CASE WHEN p.used + t.size <= 1000 THEN t.size ELSE 0 END, p.used + t.size <= 1000 FROM pack p JOIN turns t ON t.conv_id = p.conv_id AND t.n = p.n + 1)""")
 def q59_context_packing(spark, sf):
     return chunks.packed(table(spark, sf, "conversations"), "conv_id", "turn", "text", 1000).drop("text")
 

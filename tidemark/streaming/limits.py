@@ -35,11 +35,12 @@ def limited(asks: DataFrame, window_s: int = config.ASK_WINDOW_SECONDS, most: in
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, recent, day, used = object(), [], -1, 0
         for batch in batches:
-            verdicts = []
-            for ip, t in zip(batch["ip"], batch["us"], strict=True):
-                if ip != last:
-                    last, recent, day, used = ip, [], -1, 0
-                v, recent, day, used = decide([int(t)], recent, day, used, window_s, most, daily)
+            verdicts, ips, times = [], batch["ip"].tolist(), batch["us"].tolist()
+            edges = [0, *(i for i in range(1, len(ips)) if ips[i] != ips[i - 1]), len(ips)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b and ips[a] != last:
+                    last, recent, day, used = ips[a], [], -1, 0
+                v, recent, day, used = decide(times[a:b], recent, day, used, window_s, most, daily)
                 verdicts += v
             yield batch.drop(columns="us").assign(verdict=verdicts)
 
