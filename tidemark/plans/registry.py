@@ -251,7 +251,17 @@ def q25_greedy_title_dedupe(spark, sf):
     return search.keep_first_titles(articles(spark, sf).select("ord", "title"))
 
 
-@query()
+#: One vector of each day after another, kept if no kept one is like it.
+_KEEP = (
+    "unitv AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec)",
+    "items AS (SELECT id, published_at::DATE AS day, row_number() OVER (PARTITION BY published_at::DATE ORDER BY id) AS n, u FROM unitv)",
+    f"near AS (SELECT b.id, list(a.id) AS earlier FROM items a JOIN items b ON a.day = b.day AND a.id < b.id AND round(list_dot_product(a.u, b.u), 5) >= {T_GRAPH}::DOUBLE GROUP BY b.id)",
+    """keep AS (SELECT DISTINCT day, 0::BIGINT AS n, []::BIGINT[] AS kept FROM items UNION ALL
+  SELECT k.day, k.n + 1, CASE WHEN earlier IS NULL OR len(list_intersect(kept, earlier)) = 0 THEN list_append(kept, i.id) ELSE kept END FROM keep k JOIN items i ON i.day = k.day AND i.n = k.n + 1 LEFT JOIN near USING (id))""",
+)
+
+
+@query("SELECT unnest(kept) AS id FROM (SELECT * FROM keep QUALIFY row_number() OVER (PARTITION BY day ORDER BY n DESC) = 1)", VECTORS, *_KEEP)
 def q26_greedy_cosine_dedupe(spark, sf):
     rows = vec.with_unit(vectors(spark, sf)).withColumn("day", F.to_date("published_at"))
     return vec.keep_first_similar(rows, T_GRAPH, "day").select("id")
@@ -417,7 +427,19 @@ def q42_evidence_latest(spark, sf):
 # Texts
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+#: One chunk of each text after another: where it begins, and where the last blank line or blank before its end cuts it.
+_CUTS = f"""body AS (SELECT doc_id, trim(text, {_BLANK}) AS t FROM documents), cuts AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS following, false AS done FROM body WHERE length(t) > 0 UNION ALL
+  SELECT doc_id, n + 1, a, CASE WHEN last THEN size ELSE e END, CASE WHEN e - 288 > a THEN e - 288 ELSE e END, last FROM (
+    SELECT *, CASE WHEN gap > a THEN gap + 2 WHEN space > a THEN space + 1 ELSE a + 2400 END AS e FROM (
+      SELECT *, CASE WHEN g > 0 THEN lo + length(w) - g - 1 ELSE -1 END AS gap, CASE WHEN s > 0 THEN a + length(v) - s ELSE -1 END AS space FROM (
+        SELECT *, instr(reverse(w), chr(10) || chr(10)) AS g, instr(reverse(v), ' ') AS s FROM (
+          SELECT c.doc_id, c.n, c.following AS a, length(t) AS size, c.following + 2400 >= length(t) AS last, greatest(c.following, c.following + 2400 - 488) AS lo,
+            substr(t, greatest(c.following, c.following + 2400 - 488) + 1, c.following + 2401 - greatest(c.following, c.following + 2400 - 488)) AS w, substr(t, c.following + 1, 2401) AS v
+          FROM cuts c JOIN body USING (doc_id) WHERE NOT c.done AND c.following < length(t))))))"""
+
+
+@query(f"SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, NULL::VARCHAR AS section, chunk FROM (SELECT doc_id, n, trim(substr(t, a + 1, b - a), {_BLANK}) AS chunk FROM cuts JOIN body USING (doc_id) WHERE n > 0) WHERE chunk <> ''", _CUTS)
 def q43_chunk_overlap(spark, sf):
     return chunks.chunked(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
