@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import finance, text
 from tidemark.inputs import ARTICLES, DAILY, FILINGS, MACRO, TICKS, articles, filings, macro_articles, table, ticks
-from tidemark.operators import briefing, chunks, market, stories, tables
+from tidemark.operators import briefing, chunks, market, stories
 from tidemark.plans.base import query
 
 
@@ -136,7 +136,6 @@ def q155_sorted_by_time(spark, sf):
 
 @query("SELECT id, CASE WHEN s IS NULL THEN 'medium' WHEN s >= 0.7 THEN 'high' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM (SELECT event_id AS id, CASE WHEN event_id % 4 > 0 THEN value / 100 END AS s FROM events) ORDER BY s DESC NULLS LAST, id LIMIT 500")
 def q156_by_impact_score(spark, sf):
-    raw = F.when(F.col("event_id") % 4 == 1, "bad").otherwise((F.col("value") / 100).cast("string"))
     rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 > 0, (F.col("value") / 100).cast("string")).otherwise("bad").alias("raw"))
     scored = rows.withColumn("s", F.col("raw").try_cast("double"))
     return scored.orderBy(F.col("s").desc_nulls_last(), "id").limit(500).select("id", finance.impact_of_score(F.col("s")).alias("level"))

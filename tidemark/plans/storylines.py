@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, finance, ids, text
+from tidemark.functions import dates, ids, text
 from tidemark.inputs import ARTICLES, BRIEFS, CHUNKS, FILINGS, VECTORS, article_links, articles, book_chunks, briefs, filings, table, vectors
 from tidemark.operators import chunks, longstories, stories, tables
 from tidemark.operators import vectors as vec
