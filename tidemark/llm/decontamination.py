@@ -18,8 +18,9 @@ U = np.uint64
 SEED = 5
 #: Items of up to so many words have seeds of one word less: two edits side by side may leave runs of four words.
 SHORT = 10
-#: Powers of two of bits of the filter that tells places without a seed of the benchmark: two bits a seed, 16 MB at most.
-FILTER_BITS = (16, 27)
+#: Bits a seed of the filter that tells places without a seed of the benchmark, and the least and largest power of two of
+#: all its bits: 16 MB at most.
+SEED_BITS, FILTER_BITS = 64, (16, 27)
 #: Share of the words of item and passage that must be aligned and equal.
 SIMILARITY = 0.8
 _SEPARATE = np.arange(256, dtype=np.uint8)
@@ -111,12 +112,12 @@ def _bits(h: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seed_filter(seeded: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the seeds as 64-bit words, and the power of two of its bits: sixteen a seed, within FILTER_BITS.
+    """A Bloom filter of the seeds as 64-bit words, and the power of two of its bits: SEED_BITS a seed, within FILTER_BITS.
 
     Tasks find the words; only these, 2 million at most, come to the driver. With more seeds than it is made for it lets
     more places through, which then find no partner in the join.
     """
-    power = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * seeded.count()).bit_length()))
+    power = min(FILTER_BITS[1], max(FILTER_BITS[0], (SEED_BITS * seeded.count()).bit_length()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
