@@ -261,9 +261,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     chosen = first.select(F.col("f.rep").alias("__id"), F.col("f.digest").alias("__chosen"))
 
     @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
+    def of_set(texts: pd.Series) -> pd.Series:
         return pd.Series([_set_digest(t, words) for t in texts], dtype=object)
 
+    digest = of_set.asNondeterministic()  # else Spark computes it twice, once more for the join's test of nulls
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     held = docs.where(worded).select(F.col("doc_id").alias("__doc"), digest("text").alias("__digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     one = held.join(chosen, (F.col("__digest") == F.col("__chosen")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__digest"])

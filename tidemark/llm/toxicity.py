@@ -115,6 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, params: FTRL | None = None, max_tr
                     y.append(label.as_py())
         if x:
             w, bias = params.fit(x, np.array(y))
+            x.clear()
+            batch = value = None
+            pa.default_memory_pool().release_unused()  # workers live on
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(w[at], bias))], ["feature", "weight"])
 
