@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, op1 to op10, and their SQL."""
+"""The registered queries of this subpackage, op1 to op13, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontamination, media, minhash, mixing, quality, repeats, secrets, sharding, toxicity
+from tidemark.llm import chat, clusters, codes, decontamination, media, minhash, mixing, piecewise, quality, repeats, secrets, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = piecewise.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return piecewise.digest(piecewise.decoded(tokens.drop("text")))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -65,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_minhash": op9_minhash,
         "op10_toxicity": op10_toxicity,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_clusters": op12_clusters,
+        "op13_codes": op13_codes,
     }
 
 
@@ -132,5 +148,46 @@ SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS k
 """
 
 
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds one after another; products of whole numbers in double are exact."""
+    near = "SELECT rid, any_value(p.v) AS v, arg_min(c.k, (list_inner_product(c.v, c.v) - 2 * list_inner_product(p.v, c.v), c.k)) AS k FROM pts p, c{i} c GROUP BY rid"
+    step = """a{i} AS MATERIALIZED ({near}),
+m{i} AS (SELECT k, list(x ORDER BY at) AS v FROM (SELECT k, at, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM a{i}) GROUP BY k, at) GROUP BY k),
+c{j} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k)),"""
+    steps = "\n".join(step.format(i=i, j=i + 1, near=near.format(i=i)) for i in range(rounds))
+    return f"""
+WITH pts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1)::INT AS k, v FROM pts QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), v) <= {k}),
+{steps}
+z AS MATERIALIZED ({near.format(i=rounds)}),
+d AS (SELECT vec_id, z.k AS cluster, (list_inner_product(z.v, z.v) - 2 * list_inner_product(z.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS distance,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM z JOIN pts USING (rid) JOIN c{rounds} c ON c.k = z.k)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM d
+"""
+
+
+def _op13_sql(entries: int = 256, rounds: int = 4) -> str:
+    near = "SELECT rid, p, any_value(x.v) AS v, arg_min(c.k, (list_inner_product(c.v, c.v) - 2 * list_inner_product(x.v, c.v), c.k)) AS k FROM x JOIN c{i} c USING (p) GROUP BY rid, p"
+    step = """a{i} AS MATERIALIZED ({near}),
+m{i} AS (SELECT p, k, list(x ORDER BY at) AS v FROM (SELECT p, k, at, floor(sum(x) / count(*)) AS x FROM (SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM a{i}) GROUP BY p, k, at) GROUP BY p, k),
+c{j} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (p, k)),"""
+    steps = "\n".join(step.format(i=i, j=i + 1, near=near.format(i=i)) for i in range(rounds))
+    return f"""
+WITH pts AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM pts, (SELECT unnest(range(4)) AS p)),
+c0 AS MATERIALIZED (SELECT p, (rid - 1)::INT AS k, v FROM x WHERE rid <= {entries}),
+{steps}
+z AS MATERIALIZED ({near.format(i=rounds)}),
+d AS (SELECT rid, string_agg(printf('%02x', z.k), '' ORDER BY p) AS code,
+  sum(list_inner_product(z.v, z.v) - 2 * list_inner_product(z.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS error FROM z JOIN c{rounds} c USING (p, k) GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM d JOIN pts USING (rid), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op5_chat": OP5_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_chat": OP5_SQL, "op9_minhash": OP9_SQL, "op12_clusters": _op12_sql(), "op13_codes": _op13_sql()}
