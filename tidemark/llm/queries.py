@@ -152,7 +152,7 @@ def _op12_sql(k: int = 40, rounds: int = 5) -> str:
     """Rounds one after another; products of whole numbers in double are exact."""
     near = "SELECT rid, any_value(p.v) AS v, arg_min(c.k, (list_inner_product(c.v, c.v) - 2 * list_inner_product(p.v, c.v), c.k)) AS k FROM pts p, c{i} c GROUP BY rid"
     step = """a{i} AS MATERIALIZED ({near}),
-m{i} AS (SELECT k, list(x ORDER BY at) AS v FROM (SELECT k, at, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM a{i}) GROUP BY k, at) GROUP BY k),
+m{i} AS (SELECT k, list(x ORDER BY pos) AS v FROM (SELECT k, pos, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY k, pos) GROUP BY k),
 c{j} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k)),"""
     steps = "\n".join(step.format(i=i, j=i + 1, near=near.format(i=i)) for i in range(rounds))
     return f"""
@@ -171,7 +171,7 @@ SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::B
 def _op13_sql(entries: int = 256, rounds: int = 4) -> str:
     near = "SELECT rid, p, any_value(x.v) AS v, arg_min(c.k, (list_inner_product(c.v, c.v) - 2 * list_inner_product(x.v, c.v), c.k)) AS k FROM x JOIN c{i} c USING (p) GROUP BY rid, p"
     step = """a{i} AS MATERIALIZED ({near}),
-m{i} AS (SELECT p, k, list(x ORDER BY at) AS v FROM (SELECT p, k, at, floor(sum(x) / count(*)) AS x FROM (SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM a{i}) GROUP BY p, k, at) GROUP BY p, k),
+m{i} AS (SELECT p, k, list(x ORDER BY pos) AS v FROM (SELECT p, k, pos, floor(sum(x) / count(*)) AS x FROM (SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY p, k, pos) GROUP BY p, k),
 c{j} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (p, k)),"""
     steps = "\n".join(step.format(i=i, j=i + 1, near=near.format(i=i)) for i in range(rounds))
     return f"""
