@@ -22,7 +22,7 @@ from tidemark.llm.common import discard, stored
 from tidemark.llm.points import floors, joined, matrix, squares, with_points
 
 #: Vectors of a block at most, and vectors that a leaf may hold.
-BLOCK, LEAF = 2048, 24
+BLOCK, LEAF = 1024, 24
 NODE = np.dtype([("centre", "<i4"), ("radius", "<f8"), ("begin", "<i4"), ("loose", "<i4"), ("end", "<i4"), ("child", "<i4"), ("children", "<i4")])
 
 
@@ -46,10 +46,11 @@ def cover_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, Tree]:
     """The order of the points, and their cover tree.
 
     The children of a node whose points lie within 2**i of its centre lie within 2**(i-1) of theirs, and more than that
-    from each other's centres; levels without a branch are left out, and a child of one point stays a loose point.
+    from each other's centres; levels without a branch are left out, and a child of one point stays a loose point. All
+    distances of the points, a block at most, are held at once.
     """
     order, nodes = np.arange(len(points)), []
-    real = points.astype(np.float64)
+    apart = np.sqrt(squares(points, points).astype(np.float64))
     todo: list[tuple[int, int, int, np.ndarray]] = []
 
     def node(centre: int, begin: int, end: int, far: np.ndarray) -> None:
@@ -57,7 +58,7 @@ def cover_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, Tree]:
         todo.append((len(nodes) - 1, begin, end, far))
 
     if len(points):
-        node(0, 0, len(points), np.sqrt(((real - real[0]) ** 2).sum(1)))
+        node(0, 0, len(points), apart[0])
     while todo:
         at, begin, end, far = todo.pop(0)
         if end - begin <= leaf or not nodes[at][1]:
@@ -73,7 +74,7 @@ def cover_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, Tree]:
             left = left[~near]
             if len(left):
                 centre = left[0]
-                far = np.sqrt(((real[left] - real[centre]) ** 2).sum(1))
+                far = apart[centre, left]
         order[begin:end] = np.concatenate([*loose, *(g[1] for g in groups)])
         nodes[at][3], nodes[at][5], nodes[at][6] = begin + sum(map(len, loose)), len(nodes), len(groups)
         begin = nodes[at][3]
