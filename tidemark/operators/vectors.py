@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.graph import components, first_wins
+from tidemark.operators.graph import components, cut, first_wins
 from tidemark.operators.tables import capped, top_per
 
 #: Rows of a part of a block; two parts are compared in one task.
 PART = 1024
+#: Pivots of a block at most.
+PIVOTS = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,10 +53,60 @@ def as_queries(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("id").alias("query_id"), F.col("u").alias("q"), *(F.col(c).alias(f"query_{c}") for c in extra))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k most similar rows of each query, itself left out."""
-    scored = against(rows, queries, F.col("id") != F.col("query_id")).select("query_id", "id", "sim")
-    return top_per(scored, ["query_id"], [F.col("sim").desc(), F.col("id")], k, rank="rank")
+def in_blocks(rows: DataFrame, queries: DataFrame, on: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, part: int = PART) -> DataFrame:
+    """What `compare` gives for parts of rows (id, u) and of queries (query_id, q) that have the same `on`.
+
+    Both sides are dealt to parts of about `part` rows, and two parts meet in one task: a stated query set against all
+    rows, in blocks, so that neither a large group nor the whole query set goes to any one task.
+    """
+    sized = lambda df, n: df.groupBy(*on).agg(F.ceil(F.count("*") / part).cast("int").alias(n))
+    sizes = sized(rows, "__nr").join(sized(queries, "__nq"), on) if on else rows.agg(F.ceil(F.count("*") / part).cast("int").alias("__nr")).join(queries.agg(F.ceil(F.count("*") / part).cast("int").alias("__nq")), F.lit(True))
+    dealt = lambda df: df.join(sizes, on) if on else df.join(F.broadcast(sizes), F.lit(True))  # noqa: E731  # one row of two counts
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = dealt(rows).where("__nr > 0 AND __nq > 0").select(*rows.columns, own("id", "__nr").alias("__i"), each("__nq").alias("__j"))
+    y = dealt(queries).where("__nr > 0 AND __nq > 0").select(*queries.columns, own("query_id", "__nq").alias("__j"), each("__nr").alias("__i"))
+    y = y.toDF(*y.columns)  # its own columns, also where both sides come from one table
+    key = [*on, "__i", "__j"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return compare(a, b) if len(a) and len(b) else pd.DataFrame()
+
+    return x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(run, schema)
+
+
+def _sims(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Similarities of a part of rows (down) and of queries (across)."""
+    return np.round(np.stack(a["u"].to_numpy()) @ np.stack(b["q"].to_numpy()).T, 5)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, itself: bool = False, slack: float = 0.0) -> DataFrame:
+    """The k most similar rows of each query, itself left out; with slack also those that are that little less similar.
+
+    Each part of rows gives its k best for each query, so that k rows a part go on, not a row for each pair.
+    """
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        sims, ids = _sims(a, b), a["id"].to_numpy()
+        found = []
+        for j, q in enumerate(b["query_id"].to_numpy()):
+            at = np.arange(len(ids)) if itself else np.flatnonzero(ids != q)
+            s = sims[at, j]
+            if len(at) > k:
+                near = s >= np.partition(s, -k)[-k] - slack
+                at, s = at[near], s[near]
+            order = np.lexsort((ids[at], -s))
+            order = order[:k] if not slack else order
+            found.append(pd.DataFrame({"query_id": q, "id": ids[at[order]], "sim": s[order]}))
+        return pd.concat(found) if found else pd.DataFrame()
+
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(rows.dtypes)["id"]}
+    sized = [df.select(*names, F.size(names[1]).alias("__size")).where(f"{names[1]} IS NOT NULL") for df, names in ((rows, ("id", "u")), (queries, ("query_id", "q")))]
+    scored = in_blocks(*sized, ["__size"], best, f"query_id {kinds['query_id']}, id {kinds['id']}, sim double")
+    if not slack:
+        return top_per(scored, ["query_id"], [F.col("sim").desc(), F.col("id")], k, rank="rank")
+    least = top_per(scored, ["query_id"], [F.col("sim").desc(), F.col("id")], k).groupBy("query_id").agg(F.min("sim").alias("__least"))
+    return scored.join(least, "query_id").where(F.col("sim") >= F.col("__least") - slack).drop("__least")
 
 
 def retrieve(rows: DataFrame, queries: DataFrame, k: int, per_day: int) -> DataFrame:
@@ -69,48 +124,119 @@ def best_above(rows: DataFrame, queries: DataFrame, threshold: float) -> DataFra
 
 def assign(rows: DataFrame, anchors: DataFrame, t_assign: float = config.T_ASSIGN, block: str | None = None) -> DataFrame:
     """id, anchor_id, sim: the most similar anchor (of the block, where one is given) from t_assign up, else null; of equal ones the first."""
-    on = F.col(block) == F.col(f"query_{block}") if block else F.lit(True)
-    best = against(rows, anchors, on).groupBy("id").agg(F.max(F.struct("sim", (-F.col("query_id")).alias("neg"))).alias("b"))
-    out = rows.select("id").join(best, "id", "left")
-    near = F.col("b.sim") >= t_assign
-    return out.select("id", F.when(near, -F.col("b.neg")).alias("anchor_id"), F.when(near, F.col("b.sim")).alias("sim"))
 
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("query_id", ignore_index=True)
+        sims = _sims(a, b)
+        at = sims.argmax(1)
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "anchor_id": b["query_id"].to_numpy()[at], "sim": sims[np.arange(len(at)), at]})
+        return out[out["sim"] >= t_assign]
 
-def similar_pairs(rows: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    """Pairs (a, b, sim), a < b, of rows (id, u) from a threshold up, within a block column where one is given.
+    side = lambda df, names, of: df.select(*names, *([F.col(of).alias("__block")] if block else []), F.size(names[1]).alias("__size")).where(f"{names[1]} IS NOT NULL")
+    on = ["__block", "__size"] if block else ["__size"]
+    kinds = {"id": dict(rows.dtypes)["id"], "anchor_id": dict(anchors.dtypes)["query_id"]}
+    found = in_blocks(side(rows, ("id", "u"), block), side(anchors, ("query_id", "q"), f"query_{block}"), on, best, f"id {kinds['id']}, anchor_id {kinds['anchor_id']}, sim double")
+    top = top_per(found, ["id"], [F.col("sim").desc(), F.col("anchor_id")], 1)
+    return rows.select("id").join(top, "id", "left").select("id", "anchor_id", "sim")
 
-    Rows of a block are dealt to parts of about PART rows; two parts meet in one task as matrices, so a large block is
-    spread over tasks and none of its pairs is a row before the threshold.
+
+def _cells(large: DataFrame, angle: float, part: int) -> DataFrame:
+    """block, id, u, cell, away (angle to the cell's pivot), home: each row in the cell of its nearest pivot, and once more in
+    each cell of a smaller number that may hold rows within the angle.
+
+    Pivots are the rows of a block whose hash falls into one of `part` classes. A row x of the cell of p that is within
+    the angle of a row of the cell of q is no more than twice the angle nearer to p than to q, as distances on the sphere;
+    and it is no farther from q than the angle and the radius of q's cell.
+    """
+    hashed = F.pmod(F.xxhash64("id"), F.greatest(F.lit(part), F.ceil(F.col("n") / PIVOTS)))
+    deals = F.ceil(F.col("n") / (8 * part)).cast("int")
+    pivots = large.where(hashed == 0).select("block", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("id").alias("pivot"), "u").toDF("block", "deal", "pivot", "u")
+    rows = large.select("block", F.pmod(F.xxhash64("id", F.lit(1)), deals).cast("int").alias("deal"), "id", "u")
+
+    def place(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame()
+        block, ids, us = a["block"].iloc[0], a["id"].to_numpy(), a["u"].to_numpy()
+        if not len(b):
+            return pd.DataFrame({"block": block, "id": ids, "u": us, "cell": 0, "away": 0.0, "home": True})
+        b = b.sort_values("pivot", ignore_index=True)
+        away = np.arccos(np.clip(np.stack(us) @ np.stack(b["u"].to_numpy()).T, -1, 1))
+        own = away.argmin(1)
+        mine = away[np.arange(len(ids)), own]
+        i, j = np.nonzero((away - mine[:, None] <= 2 * angle) & (np.arange(len(b)) < own[:, None]))
+        at, cell = np.concatenate([np.arange(len(ids)), i]), np.concatenate([own, j])
+        return pd.DataFrame({"block": block, "id": ids[at], "u": us[at], "cell": cell, "away": away[at, cell], "home": np.arange(len(at)) < len(ids)})
+
+    kind = dict(large.dtypes)["id"]
+    key = ["block", "deal"]
+    placed = cut(rows.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInPandas(place, f"block string, id {kind}, u array<double>, cell int, away double, home boolean"))
+    radius = placed.where("home").groupBy("block", "cell").agg(F.max("away").alias("radius"))
+    return placed.join(radius, ["block", "cell"]).where(F.col("home") | (F.col("away") - F.col("radius") <= angle)).drop("radius")
+
+
+def meetings(rows: DataFrame, threshold: float, block: str | None = None, part: int = PART) -> DataFrame:
+    """The rows (id, u) of each comparison (block, cell, i, j): all pairs that can reach the threshold meet in one of them.
+
+    In comparison (i, j) rows of part i (`own`) meet those of part j; those brought from other cells have parts from -1 down.
+    """
+    side = rows.select("id", "u", F.concat(F.size("u"), F.lit("|"), F.col(block).cast("string") if block else F.lit("")).alias("block")).where("block IS NOT NULL AND u IS NOT NULL")
+    angle = math.acos(max(-1.0, threshold - 5e-6)) + 1e-6 if threshold > 0 else math.pi
+    if threshold > 0:
+        side = side.where(F.exists("u", lambda x: x != 0))  # no row is similar to a zero vector
+    sizes = side.groupBy("block").agg(F.count("*").alias("n"))
+    sized = side.join(sizes, "block")
+    whole = sized.select("block", "id", "u", F.lit(0).alias("cell"), F.lit(0.0).alias("away"), F.lit(True).alias("home"))
+    if not sizes.where(F.col("n") > 2 * part).isEmpty():
+        whole = whole.join(sizes.where(F.col("n") <= 2 * part).select("block"), "block", "left_semi").unionByName(_cells(sized.where(F.col("n") > 2 * part), angle, part))
+    key = ["block", "cell"]
+    counts = whole.groupBy(*key).agg(F.ceil(F.count_if("home") / part).cast("int").alias("h"), F.ceil(F.count_if(~F.col("home")) / part).cast("int").alias("o"))
+    own = whole.join(counts, key)
+    mine = own.where("home").withColumn("own", F.pmod(F.xxhash64("id"), F.col("h")).cast("int"))
+    brought = own.where("NOT home").withColumn("own", (-1 - F.pmod(F.xxhash64("id"), F.col("o"))).cast("int"))
+    all_h = F.sequence(F.lit(0), F.col("h") - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(all_h, lambda x: pair(F.least("own", x), F.greatest("own", x)))
+    others = F.when(F.col("o") > 0, F.transform(F.sequence(F.lit(1), F.greatest("o", F.lit(1))), lambda x: pair(F.col("own"), -x))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    met = mine.withColumn("at", F.explode(F.concat(among, others))).unionByName(brought.withColumn("at", F.explode(F.transform(all_h, lambda x: pair(x, F.col("own"))))))
+    return met.select(*key, "at.i", "at.j", "own", "id", "u")
+
+
+def compared(rows: DataFrame, threshold: float, block: str | None = None, part: int = PART) -> int:
+    """How many pairs of rows `similar_pairs` compares."""
+    sides = meetings(rows, threshold, block, part).groupBy("block", "cell", "i", "j").agg(F.count_if(F.col("own") == F.col("i")).alias("x"), F.count_if(F.col("own") == F.col("j")).alias("y"))
+    pairs = F.when(F.col("i") == F.col("j"), F.col("x") * (F.col("x") - 1) / 2).otherwise(F.col("x") * F.col("y"))
+    return int(sides.agg(F.sum(pairs)).first()[0] or 0)
+
+
+def similar_pairs(rows: DataFrame, threshold: float, block: str | None = None, part: int = PART) -> DataFrame:
+    """Pairs (a, b, sim), a < b, of rows (id, u) of one length from a threshold up, within a block column where one is given.
+
+    A large block is cut into cells around pivots, and only cells that bounds on angles can't part meet; cells are dealt to
+    parts of about `part` rows, two of which meet in one task as matrices. None of the pairs is a row before the threshold.
     """
-    side = rows.select("id", "u", (F.col(block).cast("string") if block else F.lit("")).alias("block")).where("block IS NOT NULL AND u IS NOT NULL")
-    sizes = side.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("n"))
-    own = side.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "u")
 
     def compare(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        x, y = (both[both["own"] == k] for k in key[1:])
+        x, y = (both[both["own"] == k] for k in key[2:])
         found = []
         if len(x) and len(y):
             ids, others = x["id"].to_numpy(), y["id"].to_numpy()
             sims = np.round(np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T, 5)
             for p, q in zip(*np.nonzero(sims >= threshold), strict=True):
-                if ids[p] < others[q] or (key[1] != key[2] and ids[p] != others[q]):
+                if ids[p] < others[q] or (key[2] != key[3] and ids[p] != others[q]):
                     found.append((min(ids[p], others[q]), max(ids[p], others[q]), sims[p, q]))
         return pd.DataFrame(found, columns=["a", "b", "sim"])
 
     kind = dict(rows.dtypes)["id"]
-    return met.groupBy("block", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
+    return meetings(rows, threshold, block, part).groupBy("block", "cell", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
 
 
 def clusters(rows: DataFrame, t_assign: float = config.T_ASSIGN, t_graph: float = config.T_GRAPH, block: str | None = None) -> DataFrame:
     """id and cluster of rows (id, u, anchor): those near an anchor join it; the others form components among themselves.
 
-    With a block column, anchors and components stay within a block; without one, anchors are a stated set that goes to
-    all tasks. cluster_type is 'seeded' (cluster: the anchor's id; anchors are members) or 'discovered' (the smallest id).
+    With a block column, anchors and components stay within a block. cluster_type is 'seeded' (cluster: the anchor's id; anchors are members) or 'discovered' (the smallest id).
     """
     anchors, others = rows.where("anchor"), rows.where("NOT anchor")
-    seeds = as_queries(anchors, block) if block else F.broadcast(as_queries(anchors))
-    given = assign(others, seeds, t_assign, block).where("anchor_id IS NOT NULL")
+    given = assign(others, as_queries(anchors, *([block] if block else [])), t_assign, block).where("anchor_id IS NOT NULL")
     rest = others.join(given.select("id"), "id", "left_anti")
     found = components(rest.select("id"), similar_pairs(rest, t_graph, block))
     seeded = given.select("id", F.col("anchor_id").alias("cluster")).unionByName(anchors.select("id", F.col("id").alias("cluster")))

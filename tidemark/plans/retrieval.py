@@ -72,7 +72,7 @@ def q185_similar_long_story(spark, sf):
 def q186_chunks_of_dimension(spark, sf):
     v = vectors(spark, sf).withColumn("v", F.when(F.col("id") % 9 == 0, F.slice("v", 1, 10)).otherwise(F.col("v")))
     asked = vec.as_queries(vec.with_unit(vectors(spark, sf)).where("id % 50 = 0"))
-    return vec.nearest(vec.of_dimension(vec.with_unit(v), 64), F.broadcast(asked), 8).select("query_id", "id", "sim")
+    return vec.nearest(vec.of_dimension(vec.with_unit(v), 64), asked, 8).select("query_id", "id", "sim")
 
 
 @query("""SELECT query_id, id, sim FROM (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY published_at DESC, id) AS recent FROM sims s WHERE ticker = query_ticker) WHERE recent <= 15 AND id % 25 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id, published_at::DATE ORDER BY sim DESC, id) <= 2)
