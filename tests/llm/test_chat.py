@@ -50,6 +50,21 @@ def test_one_row_per_pair_unless_it_grows_without_bound(spark):
     assert one[0].chosen == chat.render([("assistant", f"{t}-0") for t in range(700, 1000)])[0]
 
 
+def test_large_ids_null_and_far_turns_stay_in_one_row(spark):
+    big = 2**53 + 2
+    rows = [(big, 0, "user", "q"), (big + 1, 0, "user", "q"), (big + 3, 0, "user", "next"), (-1, 0, "user", "below"), (-2, 0, "user", "below")]
+    rows += [(8, None, "system", "s"), (9, None, "system", "s"), (8, 0, "user", "a"), (9, 0, "user", "a"), (8, 10**12, "assistant", "x"), (9, 5000, "assistant", "y"), (8, -7, "user", "early")]
+    got = {r.pair_id: r for r in chat.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {big // 2, big // 2 + 1, -1, 4}
+    assert got[big // 2].prompt_turns == 1 and (got[big // 2 + 1].chosen_turns, got[big // 2 + 1].rejected_turns) == (0, 1) and got[-1].prompt_turns == 1
+    r = got[4]
+    assert (r.part, r.part_of_turn, r.prompt, r.chosen_turns, r.rejected_turns) == (0, 0, "", 4, 3)
+    assert r.chosen.index("early") < r.chosen.index("\ns<|") < r.chosen.index("\na<|") < r.chosen.index("\nx<|")
+    same = [x for x in rows if x[1] != -7]
+    r = chat.neighbours(spark.createDataFrame(same, "conv_id long, turn long, role string, text string")).where("pair_id = 4").collect()
+    assert len(r) == 1 and (r[0].prompt_turns, r[0].chosen_turns, r[0].rejected_turns) == (2, 1, 1)
+
+
 def test_marks_repeats_and_clashing_names(spark):
     rows = [(0, 0, "user", "a <|im_end|> b", 1, "x"), (1, 0, "user", "a <|im_end|> b", 2, "y"), (0, 1, "assistant", "c", 3, "z"), (0, 1, "assistant", "c", 3, "z")]
     got = chat.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id int, prompt string")).first()

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of a part. A pair with turn numbers from PART on takes several rows, so that no row grows without bound.
+#: Turn numbers that are counted together. A pair of more than about so many turns takes several rows, so that no row grows
+#: without bound.
 PART = 4096
 #: How a turn is written; text between start and stop of an assistant turn, stop included, is what is learnt.
 START, MIDDLE, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -39,10 +40,11 @@ def format_preferences(turns: DataFrame, pair: Column, side: Column, part: int =
 
     One row per pair: pair_id, prompt (the common prefix), chosen and rejected (the completions), counts of turns, loss
     masks as spans of the completions, and repeated_rows, how many rows repeat another one of the pair; part and
-    part_of_turn are 0. Only a pair with turn numbers from `part` on, or with as many rows of one turn number, takes a row
-    for each `part` of them, with its piece of the prompt and of the completions. Turns are in the order (turn, role,
-    text); equal rows are written once, and several rows of one turn number follow each other. Null turn numbers count as
-    -1 (part -1), null roles as 'unknown', null texts as empty; rows without a pair or side are left out. A pair of which
+    part_of_turn are 0. Only a pair with 2 * `part` rows before a range of `part` turn numbers, or with as many as `part`
+    of one turn number, takes several rows, each with its piece of the prompt and of the completions; how large or sparse
+    the turn numbers are doesn't matter. Turns are in the order (turn, role, text); equal rows are written once, and
+    several rows of one turn number follow each other. Null turn numbers count as -1 and come first, null roles as
+    'unknown', null texts as empty; rows without a pair or side are left out. A pair of which
     one side is missing has an empty prompt and an empty completion there. Marks of turns within a text or role are
     escaped. Texts of any length are written whole, an empty table gives no rows, and other columns, whatever their
     names, are not read.
@@ -53,7 +55,10 @@ def format_preferences(turns: DataFrame, pair: Column, side: Column, part: int =
     ).where("pair_id IS NOT NULL AND __side IN (0, 1)")
     rows = rows.groupBy("pair_id", "__side", "__turn", "role", "text").agg(F.count("*").alias("__n"))
     sub = F.row_number().over(Window.partitionBy("pair_id", "__side", "__turn").orderBy("role", "text")) - 1
-    rows = rows.withColumn("__sub", sub).withColumn("part", F.floor(F.col("__turn") / part)).withColumn("part_of_turn", F.floor(F.col("__sub") / part))
+    rows = rows.withColumn("__sub", sub).withColumn("__range", F.greatest(F.lit(0), F.floor(F.col("__turn") / part))).withColumn("part_of_turn", F.floor(F.col("__sub") / part))
+    ranges = rows.groupBy("pair_id", "__range").agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("pair_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(ranges.select("pair_id", "__range", F.floor(before / (2 * part)).alias("part")), ["pair_id", "__range"])
     turn = F.struct("__turn", "__sub", "__side", "role", "text")
     parts = rows.groupBy("pair_id", "part", "part_of_turn").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum(F.col("__n") - 1).alias("repeated_rows"))
     of = lambda s: F.filter("turns", lambda t: t["__side"] == s)
@@ -84,7 +89,7 @@ def format_preferences(turns: DataFrame, pair: Column, side: Column, part: int =
 
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2n (chosen) and 2n + 1 (rejected)."""
-    return format_preferences(turns, F.floor(F.col("conv_id") / 2), F.pmod(F.col("conv_id"), F.lit(2)))
+    return format_preferences(turns, F.shiftright(F.col("conv_id").cast("long"), 1), F.pmod(F.col("conv_id"), F.lit(2)))
 
 
 def masks_as_text(formatted: DataFrame) -> DataFrame:

@@ -109,16 +109,18 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTIT
 #: Turns in order, the first place where the sides differ, and what stands before and after it.
 OP5_SQL = """
 WITH r AS (
-  SELECT conv_id // 2 AS pair_id, (conv_id % 2)::INT AS side, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS n
+  SELECT conv_id >> 1 AS pair_id, (conv_id & 1)::INT AS side, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS n
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
 o AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS sub, floor(turn / 4096)::BIGINT AS part,
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS sub, greatest(0, turn // 4096) AS range,
     '<|im_start|>' || replace(role, '<|im_', '<\\|im_') || chr(10) AS head, replace(text, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10) AS body FROM r),
 odd AS (
   SELECT pair_id, min({'turn': turn, 'sub': sub}) AS cut FROM (
     SELECT pair_id, turn, sub FROM o GROUP BY pair_id, turn, sub, role, text HAVING count(*) < 2) GROUP BY pair_id),
+parts AS (
+  SELECT pair_id, range, floor(coalesce(sum(count(*)) OVER (PARTITION BY pair_id ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 8192)::BIGINT AS part FROM o GROUP BY pair_id, range),
 p AS (
-  SELECT o.*, sub // 4096 AS part_of_turn, cut IS NULL OR {'turn': turn, 'sub': sub} < cut AS shared FROM o LEFT JOIN odd USING (pair_id)),
+  SELECT o.*, part, sub // 4096 AS part_of_turn, cut IS NULL OR {'turn': turn, 'sub': sub} < cut AS shared FROM o JOIN parts USING (pair_id, range) LEFT JOIN odd USING (pair_id)),
 m AS (
   SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, part_of_turn, side, shared ORDER BY turn, sub))::BIGINT AS past FROM p)
 SELECT pair_id, part, part_of_turn, sum(n - 1)::BIGINT AS repeated_rows,
