@@ -68,20 +68,51 @@ def test_repeated_rows_and_clashing_names(spark):
     assert [tuple(r) for r in dc.drop_leaks(docs, bench).collect()] == [(2, "nothing", 9, "f")]
 
 
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+    return row
+
+
 def brute(docs, items, similarity=0.8):
-    """Pairs by one alignment of each item over each whole text."""
+    """Pairs by the words in common order of each item and each passage of each whole text."""
     out = set()
     for d, t in docs:
-        h = dc.tokens(t)[0]
+        h = dc.tokens(t)[0].tolist()
         for k, i in items:
-            w = dc.tokens(i)[0]
-            if len(h) and len(w):
-                _, equal, _, _, j, end = dc.align(w, h)
-                if equal / max(len(w), end - j) >= similarity:
+            w = dc.tokens(i)[0].tolist()
+            most = int(len(w) / similarity + 1e-9)
+            if len(set(w) & set(h)) * 2 < len(set(w)):
+                continue
+            for at in range(len(h)):
+                row = common(w, h[at : at + most])
+                if any(c >= similarity * max(len(w), n) - 1e-9 for n, c in enumerate(row) if n):
                     out.add((d, k))
+                    break
     return out
 
 
+def test_decoys_before_after_and_inside_hide_nothing(spark):
+    item = [f"i{j}" for j in range(20)]
+    groups = [*item[:5], "x0", "x1", "x2", *item[5:10], "x3", "x4", "x5", *item[10:15], "x6", "x7", "x8", *item[15:]]  # all words, similarity 20 / 29
+    copy = [*item[:4], "y0", *item[5:9], "y1", *item[10:14], "y2", *item[15:18], "y3", item[19]]
+    fill = ["f0", "f1", "f2"]
+    texts = {
+        0: [*groups, *fill, *copy], 1: [*copy, *fill, *groups], 2: [*groups, *copy], 3: [*copy, *groups], 4: [*groups, *fill, *copy, *fill, *groups],
+        5: [*item[:6], *copy, *item[14:]], 6: [*item[10:], *fill, *copy[:10], *copy[10:], *item[:8]], 7: groups, 8: [*groups, *fill, *groups], 9: [*item[:9], *fill, *item[:9]],
+    }
+    docs = [(d, " ".join(["some", *t, "end"])) for d, t in texts.items()]
+    bench = [(1, " ".join(item))]
+    assert brute(docs, bench) == {(d, 1) for d in range(7)}
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(7)) and all(r.similarity >= 0.8 for r in got)
+    kept = dc.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 8, 9]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_same_pairs_as_alignment_of_everything(spark, seed):
     rng = random.Random(seed)
@@ -98,7 +129,7 @@ def test_same_pairs_as_alignment_of_everything(spark, seed):
         docs.append((d, " ".join([*(word() for _ in range(rng.randrange(60))), *words, *(word() for _ in range(rng.randrange(20)))])))
     got = {(r.doc_id, r.item_id) for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = brute(docs, items)
-    assert len(want) > 60 and want <= got and len(got - want) <= len(want) // 20  # windows may show a passage that a longer one hides
+    assert len(want) > 60 and got == want
     found = dc.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in found.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 

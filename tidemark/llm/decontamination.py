@@ -21,6 +21,8 @@ SHORT = 10
 #: Bits a seed of the filter that tells places without a seed of the benchmark, and the least and largest power of two of
 #: all its bits: 16 MB at most.
 SEED_BITS, FILTER_BITS = 64, (16, 27)
+#: Places of a text that are compared at once with an item as beginnings of a passage.
+STARTS = 256
 #: Share of the words of item and passage that must be aligned and equal.
 SIMILARITY = 0.8
 _SEPARATE = np.arange(256, dtype=np.uint8)
@@ -161,8 +163,43 @@ def _windows(cells: list[int], n: int, last: int) -> Iterator[tuple[int, int]]:
             first, end = (a, b) if first is None else (first, max(end, b))
 
 
+def closest(item: np.ndarray, part: np.ndarray, similarity: float) -> tuple[float, int, int, int] | None:
+    """similarity, equal words in order, begin and end of the passage of a text that has the largest share of words in common
+    order with an item, if that is similar enough; of equal ones the first and then the shortest.
+
+    A passage that is similar enough has n / similarity words at most; so all passages of up to that length are compared
+    at once, by one table for each place where one can begin.
+    """
+    n, most = len(item), int(len(item) / similarity + 1e-9)
+    known = np.isin(part, item)
+    past = np.concatenate([[0], np.cumsum(known)])
+    starts = np.flatnonzero(known)
+    starts = starts[past[np.minimum(starts + most, len(part))] - past[starts] >= similarity * n - 1e-9]
+    best = None
+    for at in range(0, len(starts), STARTS):
+        s = starts[at : at + STARTS]
+        place = s[:, None] + np.arange(most)
+        inside = place < len(part)
+        words = part[np.minimum(place, len(part) - 1)]
+        common = np.zeros((len(s), most + 1), np.int32)
+        for w in item:
+            step = common.copy()
+            step[:, 1:] = np.maximum(step[:, 1:], common[:, :-1] + ((words == w) & inside))
+            common = np.maximum.accumulate(step, axis=1)
+        share = common[:, 1:] / np.maximum(n, np.arange(1, most + 1))
+        share[~inside] = 0
+        i, size = divmod(int(share.argmax()), most)
+        if share[i, size] >= similarity - 1e-9 and (best is None or share[i, size] > best[0]):
+            best = (float(share[i, size]), int(common[i, size + 1]), int(s[i]), int(s[i]) + size + 1)
+    return best
+
+
 def passage(item: np.ndarray, h: np.ndarray, cells: list[int], similarity: float) -> tuple[float, int, int, int, int] | None:
-    """similarity, score, equal words, first and last word of the best passage near the cells that is similar enough."""
+    """similarity, score, equal words, first and last word of the best passage near the cells that is similar enough.
+
+    Where the best local alignment of a window isn't similar enough, it may hide one that is: then all passages of a
+    length that can be are compared, and the best of these is aligned.
+    """
     n, best = len(item), None
     for a, b in _windows(cells, n, len(h)):
         part = h[a:b]
@@ -170,7 +207,12 @@ def passage(item: np.ndarray, h: np.ndarray, cells: list[int], similarity: float
             continue  # too few words of the item stand here
         score, equal, _, _, j, end = align(item, part)
         found = equal / max(n, end - j)
-        if found >= similarity and (best is None or found > best[0]):
+        if found < similarity:
+            near = closest(item, part, similarity)
+            if near:
+                found, equal, j, end = near
+                score = align(item, part[j:end])[0]
+        if found >= similarity - 1e-9 and (best is None or found > best[0]):
             best = (found, score, equal, a + j, a + end - 1)
     return best
 
@@ -222,7 +264,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """One row per document and similar item: doc_id, item_id, similarity, score, equal_words, start, end (code points).
 
     similarity: aligned equal words over the longer of item and passage; of several passages of an item in a document
-    the best is given, of equally good ones the first. Whole texts are searched, of any length. Null texts, texts without
+    the best aligned is given, of equally good ones the first; one that is similar enough is found whatever stands beside it
+    or overlaps it. Whole texts are searched, of any length. Null texts, texts without
     a word and empty tables have no leak; a document or item that stands in several rows, also under one id or none, is
     reported for each. Other columns, whatever their names, are not read.
     """
