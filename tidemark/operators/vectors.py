@@ -183,6 +183,7 @@ def meetings(rows: DataFrame, threshold: float, block: str | None = None, part:
     angle = math.acos(max(-1.0, threshold - 5e-6)) + 1e-6 if threshold > 0 else math.pi
     if threshold > 0:
         side = side.where(F.exists("u", lambda x: x != 0))  # no row is similar to a zero vector
+    side = cut(side)  # read for sizes, cells and counts
     sizes = side.groupBy("block").agg(F.count("*").alias("n"))
     sized = side.join(sizes, "block")
     whole = sized.select("block", "id", "u", F.lit(0).alias("cell"), F.lit(0.0).alias("away"), F.lit(True).alias("home"))
