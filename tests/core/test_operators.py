@@ -89,12 +89,43 @@ def test_first_titles_are_kept_across_beginnings_and_blocks(spark, monkeypatch):
     assert sorted(r.ord for r in search.keep_first_titles(rows, 0.85).collect()) == kept and 1 not in kept and 2 not in kept
 
 
-def test_chunks_cover_the_text():
+def by_hand(text, size, overlap):
+    """Chunks by the rule, character by character."""
+    at = 0
+    while at < len(text):
+        if at + size >= len(text):
+            yield at, len(text)
+            return
+        gap = [i for i in range(at, at + size) if i >= at + size - overlap - 200 and text[i : i + 2] == "\n\n"]
+        space = [i for i in range(at, at + size + 1) if text[i] == " "]
+        end = gap[-1] + 2 if gap and gap[-1] > at else space[-1] + 1 if space and space[-1] > at else at + size
+        yield at, end
+        at = end - overlap if end - overlap > at else end
+
+
+def test_chunks_follow_the_rule():
+    r = random.Random(2)
     text = " ".join(f"word{i}" for i in range(3000))
     spans = list(chunks.chunk_spans(text))
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(b - a <= 2402 and c < b for (a, b), (c, _) in zip(spans, spans[1:]))
-    assert chunks.sections("before\nItem 1. Business\nwe\nItem 7A: Risk\nmany") == [(None, "before"), ("Item 1. Business", "we"), ("Item 7A. Risk", "many")]
+    for _ in range(150):
+        text = "".join(r.choice("abcdefg  \n\n😀") for _ in range(r.randrange(0, 1500)))
+        size, overlap = r.choice([(300, 40), (250, 30), (700, 600), (20, 5)])
+        assert list(chunks.chunk_spans(text, size, overlap)) == list(by_hand(text, size, overlap))
+
+
+def test_sections_by_headings(spark):
+    texts = ["before\nItem 1. Business\nwe\nItem 7A: Risk\nmany", "\nitem 1a. Risk\nx\n  ITEM 7 MD&A\n\ny\nItem 9.\n \nItem 10.\nz", "\nItem 2. " + "t" * 61 + "\nb", "no heading", " \n ", None, "a\nItem 3 \n\nTitle on the next line\nbody \n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in chunks.sections(rows).orderBy("id", "block").collect():
+        got.setdefault(r.id, []).append((r.section, r.text))
+    assert got == {
+        0: [(None, "before"), ("Item 1. Business", "we\nItem 7A: Risk\nmany")], 1: [("Item 1A. Risk", "x"), ("Item 7. MD&A", "y"), ("Item 9. Item 10.", "z")],
+        2: [("Item 2. " + "t" * 57 + "...", "b")], 3: [(None, "no heading")], 6: [(None, "a"), ("Item 3. Title on the next line", "body")],
+    }
+    assert [(r.chunk_index, r.section, r.chunk) for r in chunks.chunked(rows.where("id = 1"), by_section=True).orderBy("chunk_index").collect()] == [(0, "Item 1A. Risk", "x"), (1, "Item 7. MD&A", "y"), (2, "Item 9. Item 10.", "z")]
 
 
 def test_web_page_to_text():

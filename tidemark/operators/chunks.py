@@ -8,57 +8,78 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
 
-_ITEM = re.compile(r"(?im)^\s*item\s+(\d+[A-Za-z]?)\s*[.:]\s*([^\n]*)")
+#: A heading of a filing's item at the start of a line; what follows its number on the line is its title.
+_HEADING = r"(?iU)\n\s*Item\s+(\d+[A-Z]?)\s*[.\s]+([^\n]*)"
+#: Signs that stand for nothing in a text: before an item's number, its title and its body.
+_MARKS = "\ufdd0\ufdd1\ufdd2"
 
 
 def chunk_spans(text: str, size: int = config.CHUNK_CHARS, overlap: int = config.CHUNK_OVERLAP) -> Iterator[tuple[int, int]]:
-    """Start and end of chunks of about `size` characters, cut after a blank line near the end, else after a space."""
-    at = 0
-    while at < len(text):
-        end = at + size
-        if end >= len(text):
-            yield at, len(text)
-            return
-        gap = text.rfind("\n\n", max(at, end - overlap - 200), end + 1)
-        space = text.rfind(" ", at, end + 1)
-        end = gap + 2 if gap > at else space + 1 if space > at else end
-        yield at, end
-        at = end - overlap if end - overlap > at else end
-
-
-def sections(text: str) -> list[tuple[str | None, str]]:
-    """(label, text) of the blocks that 'Item N.' headings start; what stands before the first has no label."""
-    heads = list(_ITEM.finditer(text))
-    blocks = [(None, text[: heads[0].start()] if heads else text)]
-    for head, following in zip(heads, [*heads[1:], None], strict=True):
-        title = head[2].strip()
-        label = f"Item {head[1]}" + (f". {title if len(title) <= 60 else title[:57] + '...'}" if title else "")
-        blocks.append((label, text[head.end() : following.start() if following else len(text)]))
-    return [(label, block.strip()) for label, block in blocks if block.strip()]
+    """Start and end of chunks of about `size` characters, cut after a blank line near the end, else after a space.
+
+    Blank lines and spaces of the text are found once, as ascending offsets; each cut is the last of these in reach.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    line, space = codes == 10, codes == 32
+    gaps, spaces = np.flatnonzero(line[:-1] & line[1:]), np.flatnonzero(space)
+    begin = 0
+    while len(text) - begin > size:
+        cuts = [begin + size]
+        for offsets, low, high, past in ((gaps, max(begin + 1, begin + size - overlap - 200), begin + size - 1, 2), (spaces, begin + 1, begin + size, 1)):
+            last = np.searchsorted(offsets, high, side="right") - 1
+            if last >= 0 and offsets[last] >= low:
+                cuts.insert(-1, int(offsets[last]) + past)
+        yield begin, cuts[0]
+        begin = cuts[0] - overlap if cuts[0] - overlap > begin else cuts[0]
+    if begin < len(text):
+        yield begin, len(text)
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """id, block, section, text: the blocks of texts of docs (id, text), numbered in order, by the headings of items.
+
+    A heading is 'Item', a number with perhaps a letter, and a dot or blank, in any case; its block is labelled with the
+    number in upper case and up to 60 characters of its title. What stands before the first heading has no label, and
+    blocks without text are left out.
+    """
+    number, title, body = _MARKS
+    marked = F.regexp_replace(F.translate("text", _MARKS, ""), _HEADING, f"{number}$1{title}$2{body}")
+    parts = docs.select("id", F.posexplode(F.split(marked, number)).alias("block", "part"))
+    name = _stripped(F.substring_index(F.substring_index("part", body, 1), title, -1))
+    short = F.when(F.length(name) > 60, F.concat(F.substring(name, 1, 57), F.lit("..."))).otherwise(name)
+    label = F.concat(F.lit("Item "), F.upper(F.substring_index("part", title, 1)), F.when(name != "", F.concat(F.lit(". "), short)).otherwise(""))
+    headed = F.col("part").contains(body)
+    out = parts.select("id", "block", F.when(headed, label).alias("section"), _stripped(F.when(headed, F.substring_index("part", body, -1)).otherwise(F.col("part"))).alias("text"))
+    return out.where("text <> ''")
 
 
 def chunked(docs: DataFrame, size: int = config.CHUNK_CHARS, overlap: int = config.CHUNK_OVERLAP, by_section: bool = False) -> DataFrame:
     """id, chunk_index, section, chunk of each text of docs (id, text); null and blank texts have none."""
+    plain = docs.select("id", F.lit(0).alias("block"), F.lit(None).cast("string").alias("section"), _stripped(F.col("text")).alias("text"))
+    kind = dict(docs.dtypes)["id"]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                k = 0
-                for label, block in sections(text or "") if by_section else [(None, (text or "").strip())]:
-                    for a, b in chunk_spans(block, size, overlap):
-                        if piece := block[a:b].strip():
-                            rows.append((key, k, label, piece))
-                            k += 1
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "section", "chunk"])
-
-    return docs.select("id", "text").mapInPandas(split, f"id {dict(docs.dtypes)['id']}, chunk_index int, section string, chunk string")
+            for key, block, label, text in batch.itertuples(index=False):
+                pieces = (text[a:b].strip() for a, b in chunk_spans(text or "", size, overlap))
+                rows += [(key, block, k, label, piece) for k, piece in enumerate(p for p in pieces if p)]
+            yield pd.DataFrame(rows, columns=["id", "block", "k", "section", "chunk"])
+
+    made = (sections(docs) if by_section else plain).mapInPandas(split, f"id {kind}, block int, k int, section string, chunk string")
+    index = F.row_number().over(Window.partitionBy("id").orderBy("block", "k")) - 1 if by_section else F.col("k")  # the chunks of one text
+    return made.select("id", index.alias("chunk_index"), "section", "chunk")
 
 
 def page_ranges(chunks: DataFrame, pages: DataFrame) -> DataFrame:

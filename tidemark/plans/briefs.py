@@ -121,11 +121,11 @@ def q153_filing_impact(spark, sf):
     return filings(spark, sf).select("id", form.alias("form")).withColumn("impact", filing_impact(F.col("form")))
 
 
-@query("SELECT category, count(*) AS items FROM (SELECT 'company_news' AS category FROM documents UNION ALL SELECT 'macro_event' FROM events WHERE event_type = 'error' UNION ALL SELECT 'technical_data' FROM nation UNION ALL SELECT 'market_sentiment' FROM region) GROUP BY 1")
+@query("SELECT 'company_news' AS category, doc_id AS id FROM documents UNION ALL SELECT 'macro_event', event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'technical_data', n_nationkey FROM nation UNION ALL SELECT 'market_sentiment', r_regionkey FROM region")
 def q154_categorised(spark, sf):
     every = {"company_news": table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "macro_event": table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").alias("id")),
              "technical_data": table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id")), "market_sentiment": table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"))}
-    return briefing.categorised(every).groupBy("category").agg(F.count("*").alias("items"))
+    return briefing.categorised(every).select("category", "id")
 
 
 @query("SELECT id, ticker FROM articles ORDER BY published_at DESC NULLS LAST, ord LIMIT 150", ARTICLES)
@@ -148,11 +148,11 @@ def q157_repeated_titles(spark, sf):
     return rows.join(first, "key").where("id <> first").select("id", "ticker", "title", F.lit("story").alias("kind"))
 
 
-@query("SELECT (event_id % 40)::BIGINT AS id, count(*) AS bullets FROM (SELECT event_id, unnest(['a', 'b', 'c']) FROM events WHERE event_id < 40) GROUP BY 1")
+@query("SELECT event_id AS id, unnest(['drivers: x ' || event_id, 'drivers: name: y; note: link', 'risk: ' || event_type]) AS bullet FROM events")
 def q158_bullets(spark, sf):
-    made = F.concat(F.lit('{"drivers": ["x '), F.col("event_id"), F.lit('", {"name": "y", "note": "[link](http://z) ..."}], "empty": [], "risk": "w"}'))
-    rows = table(spark, sf, "events").where("event_id < 40").select(F.col("event_id").alias("id"), made.alias("body"))
-    return rows.select("id", F.explode(chunks.bullets(F.col("body"))).alias("b")).groupBy("id").agg(F.count("*").alias("bullets"))
+    made = F.concat(F.lit('{"drivers": ["x '), F.col("event_id"), F.lit('", {"name": "y", "note": "[link](http://z) ..."}], "empty": [], "risk": "'), F.col("event_type"), F.lit('"}'))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), made.alias("body"))
+    return rows.select("id", F.explode(chunks.bullets(F.col("body"))).alias("bullet"))
 
 
 @query("SELECT id, array_to_string(list_sort(list_distinct([upper(ticker), 'T1'])), ',') AS related FROM articles", ARTICLES)

@@ -427,27 +427,45 @@ def q42_evidence_latest(spark, sf):
 # Texts
 
 
-_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
-#: One chunk of each text after another: where it begins, and where the last blank line or blank before its end cuts it.
-_CUTS = f"""body AS (SELECT doc_id, trim(text, {_BLANK}) AS t FROM documents), cuts AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS following, false AS done FROM body WHERE length(t) > 0 UNION ALL
-  SELECT doc_id, n + 1, a, CASE WHEN last THEN size ELSE e END, CASE WHEN e - 288 > a THEN e - 288 ELSE e END, last FROM (
-    SELECT *, CASE WHEN gap > a THEN gap + 2 WHEN space > a THEN space + 1 ELSE a + 2400 END AS e FROM (
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+def cuts_sql(size: int, overlap: int, body: str = f"SELECT doc_id, trim(text, {BLANK}) AS t FROM documents") -> str:
+    """Tables body and cuts: one chunk of each text after another, where it begins, and where the last blank line or blank
+    before its end cuts it."""
+    lo = f"greatest(c.following, c.following + {size - overlap - 200})"
+    return f"""body AS ({body}), cuts AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS following, false AS done FROM body WHERE length(t) > 0 UNION ALL
+  SELECT doc_id, n + 1, a, CASE WHEN last THEN size ELSE e END, CASE WHEN e - {overlap} > a THEN e - {overlap} ELSE e END, last FROM (
+    SELECT *, CASE WHEN gap > a THEN gap + 2 WHEN space > a THEN space + 1 ELSE a + {size} END AS e FROM (
       SELECT *, CASE WHEN g > 0 THEN lo + length(w) - g - 1 ELSE -1 END AS gap, CASE WHEN s > 0 THEN a + length(v) - s ELSE -1 END AS space FROM (
         SELECT *, instr(reverse(w), chr(10) || chr(10)) AS g, instr(reverse(v), ' ') AS s FROM (
-          SELECT c.doc_id, c.n, c.following AS a, length(t) AS size, c.following + 2400 >= length(t) AS last, greatest(c.following, c.following + 2400 - 488) AS lo,
-            substr(t, greatest(c.following, c.following + 2400 - 488) + 1, c.following + 2401 - greatest(c.following, c.following + 2400 - 488)) AS w, substr(t, c.following + 1, 2401) AS v
+          SELECT c.doc_id, c.n, c.following AS a, length(t) AS size, c.following + {size} >= length(t) AS last, {lo} AS lo,
+            substr(t, {lo} + 1, c.following + {size + 1} - {lo}) AS w, substr(t, c.following + 1, {size + 1}) AS v
           FROM cuts c JOIN body USING (doc_id) WHERE NOT c.done AND c.following < length(t))))))"""
 
 
-@query(f"SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, NULL::VARCHAR AS section, chunk FROM (SELECT doc_id, n, trim(substr(t, a + 1, b - a), {_BLANK}) AS chunk FROM cuts JOIN body USING (doc_id) WHERE n > 0) WHERE chunk <> ''", _CUTS)
+_CUTS = cuts_sql(2400, 288)
+
+
+@query(f"SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, NULL::VARCHAR AS section, chunk FROM (SELECT doc_id, n, trim(substr(t, a + 1, b - a), {BLANK}) AS chunk FROM cuts JOIN body USING (doc_id) WHERE n > 0) WHERE chunk <> ''", _CUTS)
 def q43_chunk_overlap(spark, sf):
     return chunks.chunked(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+_HEADED = "SELECT doc_id, coalesce(text, '') || chr(10) || 'item 1a Risk' || chr(10) || coalesce(text, '') || chr(10) || ' ITEM 7. ' || repeat('long ', 20) || chr(10) || coalesce(lang, '') || chr(10) || 'Item 9B.' || chr(10) || source AS text FROM documents"
+#: Blocks of texts with headings, numbered; the key of a block is that of its text and its number.
+_BLOCKS = f"""blocks AS (SELECT doc_id, n, CASE WHEN n > 1 THEN 'Item ' || upper(split_part(p, chr(2), 1)) || CASE WHEN rest = '' THEN '' ELSE '. ' || CASE WHEN length(rest) > 60 THEN substr(rest, 1, 57) || '...' ELSE rest END END END AS section,
+    trim(CASE WHEN n > 1 THEN split_part(p, chr(3), 2) ELSE p END, {BLANK}) AS t FROM (
+  SELECT *, trim(split_part(split_part(p, chr(2), 2), chr(3), 1), {BLANK}) AS rest FROM (
+    SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n\\s*Item\\s+(\\d+[A-Z]?)\\s*[.\\s]+([^\\n]*)', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'gi'), chr(1)) AS ps FROM ({_HEADED})))))"""
+
+
+@query(f"SELECT x.doc_id AS id, (row_number() OVER (PARTITION BY x.doc_id ORDER BY x.n, k) - 1)::INT AS chunk_index, section, chunk FROM (SELECT doc_id[1] AS doc_id, doc_id[2] AS n, n AS k, trim(substr(t, a + 1, b - a), {BLANK}) AS chunk FROM cuts JOIN body USING (doc_id) WHERE n > 0) x JOIN blocks USING (doc_id, n) WHERE chunk <> ''", _BLOCKS, cuts_sql(2400, 288, "SELECT [doc_id, n] AS doc_id, t FROM blocks"))
 def q44_section_blocks(spark, sf):
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("Item 1. Page\n"), chunks.html_text(F.col("html")), F.lit("\nItem 2. Source\n"), F.col("url")).alias("text"))
-    return chunks.chunked(pages, by_section=True)
+    d = table(spark, sf, "documents")
+    whole = F.coalesce("text", F.lit(""))
+    text = F.concat(whole, F.lit("\nitem 1a Risk\n"), whole, F.lit("\n ITEM 7. "), F.repeat(F.lit("long "), F.lit(20)), F.lit("\n"), F.coalesce("lang", F.lit("")), F.lit("\nItem 9B.\n"), F.col("source"))
+    return chunks.chunked(d.select(F.col("doc_id").alias("id"), text.alias("text")), by_section=True)
 
 
 @query()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import ids, text
 from tidemark.inputs import ARTICLES, VECTORS, articles, table, vectors
 from tidemark.operators import chunks, search, stories, tables
 from tidemark.operators import vectors as vec
 from tidemark.plans.base import query
+from tidemark.plans.registry import BLANK, cuts_sql
 from tidemark.sources import feeds, news
 
 
@@ -95,11 +96,12 @@ def q189_tickers_of_question(spark, sf):
     return out.select(F.col("doc_id").alias("item_id"), F.array_join("tickers", ",").alias("tickers"), "macro")
 
 
-@query("SELECT doc_id, min(n_chars) > 0 AS has_text FROM documents WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1")
+@query(f"SELECT doc_id, count(*) AS chunks, sum(length(chunk))::BIGINT AS characters, bit_xor(('0x' || substr(md5(n || ':' || chunk), 1, 14))::BIGINT) AS contents FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS n, chunk FROM (SELECT doc_id, n, trim(substr(t, a + 1, b - a), {BLANK}) AS chunk FROM cuts JOIN body USING (doc_id) WHERE n > 0) WHERE chunk <> '') GROUP BY 1", cuts_sql(4000, 600))
 def q190_ingested_books(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     made = chunks.chunked(d, 4000, 600)
-    return made.groupBy(F.col("id").alias("doc_id")).agg((F.min(F.length("chunk")) > 0).alias("has_text"))
+    content = ids.bigint_id(F.concat_ws(":", F.col("chunk_index").cast("string"), "chunk"))
+    return made.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("characters"), F.bit_xor(content).alias("contents"))
 
 
 @query("SELECT id, contains(low, 'rate') AS relevant, length(low) > 0 AS has_text FROM (SELECT *, lower(title || ' ' || summary) AS low FROM articles) WHERE ticker = 'T6'", ARTICLES)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.config import FINANCE_WORDS
 from tidemark.functions import dates
 from tidemark.inputs import ARTICLES, DAILY, FILINGS, MACRO, TICKS, articles, filings, macro_articles, table, ticks
-from tidemark.operators import market, stories
+from tidemark.operators import market, stories, tables
 from tidemark.plans.base import query
 from tidemark.sources import feeds, news
 
@@ -64,7 +65,7 @@ def q132_source_gemini(spark, sf):
     return _collected(made, "gemini")
 
 
-@query("SELECT source || ':' || rank AS id, title FROM (SELECT source, title, row_number() OVER (PARTITION BY source ORDER BY id) AS rank FROM articles) WHERE contains(lower(title), 'rate') OR contains(lower(title), 'gold') OR contains(lower(title), 'fed') OR contains(lower(title), 'trad') OR " + " OR ".join(f"contains(lower(title), '{w}')" for w in ("stock", "market", "econom", "financ", "bank", "invest", "currency", "dollar", "euro", "inflation", "gdp", "oil", "bond", "yield", "股票", "市场", "经济", "金融")), ARTICLES)
+@query("SELECT source || ':' || rank AS id, trim(title) AS title FROM (SELECT source, title, row_number() OVER (PARTITION BY source ORDER BY id) AS rank FROM articles) WHERE " + " OR ".join(f"contains(lower(title), '{w.lower()}')" for w in FINANCE_WORDS), ARTICLES)
 def q133_source_newsnow(spark, sf):
     rows = articles(spark, sf).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("a"))
     items = F.transform("a", lambda x, i: F.struct(x["title"].alias("title"), F.concat(F.lit("http://n/"), i + 1).alias("url")))
@@ -123,10 +124,10 @@ def q140_eastern_times(spark, sf):
     return text.select("event_id", F.date_format(dates.from_market_time(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
-@query("SELECT ticker FROM (SELECT DISTINCT 'T' || (user_id % 10) AS ticker FROM events) WHERE ticker NOT IN (SELECT ticker FROM filings WHERE form_type = '10-K' AND id % 1000 < 3)", FILINGS)
+@query("SELECT 'C' || c_custkey AS ticker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def q141_stocks_without_filings(spark, sf):
-    had = filings(spark, sf).where("form_type = '10-K' AND id % 1000 < 3")
-    return ticks(spark, sf).select("ticker").distinct().join(had.select("ticker").distinct(), "ticker", "left_anti")
+    had = table(spark, sf, "orders").where("o_orderpriority LIKE '1%'").select(F.concat(F.lit("C"), "o_custkey").alias("ticker"))
+    return tables.without(table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("ticker")), had, ["ticker"])
 
 
 @query("SELECT page_id, length(t) > 0 AS has_text, contains(t, '<') AS has_tag FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)")

@@ -9,7 +9,8 @@ from tidemark.inputs import ARTICLES, BRIEFS, CHUNKS, FILINGS, VECTORS, article_
 from tidemark.operators import chunks, longstories, stories, tables
 from tidemark.operators import vectors as vec
 from tidemark.plans.base import query
-from tidemark.providers import hash_embedding
+from tidemark.plans.writes import VECTOR_OF
+from tidemark.providers import letter_embedding
 
 
 @query("SELECT id, size, round(first, 4) AS first FROM (SELECT vec_id AS id, CASE WHEN vec_id % 4 = 3 THEN NULL ELSE 64 END AS size, CASE WHEN vec_id % 4 < 3 THEN embedding[1]::DOUBLE END AS first FROM embeddings)")
@@ -83,11 +84,11 @@ def q169_anchor_of_story(spark, sf):
     return longstories.anchors(links)
 
 
-@query("SELECT key, book_id FROM book_chunk", CHUNKS)
+@query("SELECT key, book_id, " + VECTOR_OF.format("text", "book_chunk"), CHUNKS)
 def q170_backfill_vectors(spark, sf):
-    rows = book_chunks(spark, sf).withColumn("embedding", F.when(F.col("embedded"), F.array(*[F.lit(0.0)] * 8)))
-    filled = longstories.with_vectors(rows, "embedding", F.col("text"), lambda t: hash_embedding(t, 8))
-    return filled.where(F.size("embedding") == 8).select("key", "book_id")
+    rows = book_chunks(spark, sf).withColumn("embedding", F.when(F.col("embedded"), letter_embedding(F.col("text"))))
+    filled = longstories.with_vectors(rows, "embedding", F.col("text"), letter_embedding)
+    return filled.select("key", "book_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("v"))
 
 
 @query("SELECT day::DATE::VARCHAR AS day FROM generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) d(day) WHERE day::DATE NOT IN (SELECT ts::DATE FROM events WHERE event_type = 'error')")
@@ -148,7 +149,7 @@ def q178_cross_source_similar(spark, sf):
 def q179_similar_articles(spark, sf):
     from tidemark.operators import search
 
-    rows = articles(spark, sf).where("language = 'en'").select("ord", "title", F.substring("summary", 1, 300).alias("summary"), (F.col("ord") % 7).alias("relevance"))
+    rows = articles(spark, sf).select("ord", "title", "summary", (F.col("ord") % 7).alias("relevance"))
     return search.keep_relevant_articles(rows).select("ord")
 
 

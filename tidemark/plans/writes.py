@@ -9,10 +9,18 @@ from tidemark.functions import dates, finance, ids
 from tidemark.inputs import ARTICLES, BRIEFS, CHUNKS, FILINGS, MACRO, TICKS, article_links, articles, book_chunks, books, briefs, filings, macro_articles, table, ticks
 from tidemark.operators import market, stories, tables
 from tidemark.plans.base import query
-from tidemark.providers import hash_embedding
+from tidemark.providers import letter_embedding
 from tidemark.storage import TABLES, delete, load, save, scratch, truncate
 
 
+#: The vector of `letter_embedding` of x, with six digits.
+VECTOR_OF = "list_transform(l, lambda c: round(c / greatest(sqrt(list_dot_product(l, l)), 1), 6)) AS v FROM (SELECT *, list_transform(['e', 't', 'a', 'o', 'i', 'n', 's', 'r'], lambda c: (length(x) - length(replace(x, c, '')))::DOUBLE) AS l FROM (SELECT *, lower(coalesce({}, '')) AS x FROM {}))"
+
+
+def _rounded(vector: str):
+    return F.transform(vector, lambda x: F.round(x, 6)).alias("v")
+
+
 def _saved(name: str, *batches: DataFrame) -> tuple[DataFrame, str]:
     """The table after the batches, one after another."""
     spark = batches[0].sparkSession
@@ -71,18 +79,18 @@ def q112_upsert_filings(spark, sf):
     return _saved("sec_filings", rows.where("id % 3 = 0"), rows)[0].select("ticker", "accession_number", "fiscal_year", "period")
 
 
-@query("SELECT ('0x' || substr(md5(key), 1, 14))::BIGINT AS id, book_id, chunk_index, text FROM book_chunk", CHUNKS)
+@query("SELECT ('0x' || substr(md5(key), 1, 14))::BIGINT AS id, book_id, chunk_index, text, " + VECTOR_OF.format("text", "book_chunk"), CHUNKS)
 def q113_store_chunks(spark, sf):
-    rows = book_chunks(spark, sf).withColumn("id", ids.bigint_id(F.col("key"))).withColumn("embedding", hash_embedding(F.col("text"), 8))
-    return _saved("sec_filing_chunks", rows, rows.where("chunk_index = 0"))[0].where(F.size("embedding") == 8).select("id", "book_id", "chunk_index", "text")
+    rows = book_chunks(spark, sf).withColumn("id", ids.bigint_id(F.col("key"))).withColumn("embedding", letter_embedding(F.col("text")))
+    return _saved("sec_filing_chunks", rows, rows.where("chunk_index = 0"))[0].select("id", "book_id", "chunk_index", "text", _rounded("embedding"))
 
 
-@query("SELECT f.id, coalesce(year(f.filed_date), 0)::INT AS fiscal_year, l_linenumber AS chunk_index, coalesce(f.form_type, '10-K') AS doc_type FROM lineitem LEFT JOIN filings f ON f.id = l_orderkey AND f.id % 5 > 0", FILINGS)
+@query("SELECT f.id, year(f.filed_date)::INT AS fiscal_year, l_linenumber AS chunk_index, coalesce(f.form_type, '10-K') AS doc_type FROM lineitem LEFT JOIN filings f ON f.id = l_orderkey", FILINGS)
 def q114_backfill_filing_metadata(spark, sf):
-    f = filings(spark, sf).where("id % 5 > 0").withColumn("fiscal_year", F.when(F.col("id") % 2 == 0, F.year("filed_date")))
+    f = filings(spark, sf).withColumn("fiscal_year", F.when(F.col("id") % 2 == 0, F.year("filed_date")))
     chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("chunk_index"))
     filled, typed = stories.with_fiscal_year(f), stories.with_doc_type(chunks, f)
-    return typed.join(filled.select(F.col("id"), F.col("id").alias("filing_id"), "fiscal_year"), "filing_id", "left").select("id", F.coalesce("fiscal_year", F.lit(0)).alias("fiscal_year"), "chunk_index", "doc_type")
+    return typed.join(filled.select(F.col("id"), F.col("id").alias("filing_id"), "fiscal_year"), "filing_id", "left").select("id", "fiscal_year", "chunk_index", "doc_type")
 
 
 @query("SELECT 'file:' || p_partkey AS source_uri, p_name || CASE WHEN p_partkey % 4 = 0 THEN ' (2)' ELSE '' END AS title FROM part")
@@ -107,10 +115,10 @@ def q117_save_daily_summaries(spark, sf):
     return _saved("macro_daily_summary", rows.withColumn("summary", F.lit("draft")), rows)[0].select(F.col("as_of_date").cast("string").alias("day"), "summary")
 
 
-@query("SELECT as_of_date::VARCHAR AS day, p.portfolio_id, count(*) AS briefs, ('0x' || substr(md5('impact_' || as_of_date || '_' || p.portfolio_id), 1, 14))::BIGINT AS id FROM brief, (VALUES ('main'), ('other')) p(portfolio_id) WHERE as_of_date >= DATE '2024-01-20' GROUP BY 1, 2, as_of_date", BRIEFS)
+@query("SELECT as_of_date::VARCHAR AS day, p.portfolio_id, count(*) AS briefs, ('0x' || substr(md5('impact_' || as_of_date || '_' || p.portfolio_id), 1, 14))::BIGINT AS id FROM brief, (VALUES ('main'), ('other')) p(portfolio_id) GROUP BY 1, 2, as_of_date", BRIEFS)
 def q118_save_impact_reports(spark, sf):
     portfolios = spark.createDataFrame([("main",), ("other",)], "portfolio_id string")
-    rows = stories.impact_reports(stories.latest_briefs(briefs(spark, sf)).where("as_of_date >= DATE'2024-01-20'"), portfolios)
+    rows = stories.impact_reports(stories.latest_briefs(briefs(spark, sf)), portfolios)
     return _saved("macro_daily_impact_reports", rows, rows)[0].select(F.col("as_of_date").cast("string").alias("day"), "portfolio_id", "briefs", "id")
 
 
@@ -135,23 +143,23 @@ def q121_insert_story_filing_links(spark, sf):
     return _saved("story_filing_link", rows, rows)[0]
 
 
-@query("SELECT id FROM articles WHERE collector <> 'gemini' AND id % 3 = 1", ARTICLES)
+@query("SELECT id, " + VECTOR_OF.format("coalesce(summary, title)", "(SELECT * FROM articles WHERE collector <> 'gemini')"), ARTICLES)
 def q122_store_news_with_vectors(spark, sf):
-    new = articles(spark, sf).where("id % 3 = 1 AND collector <> 'gemini'").withColumn("url", F.concat(F.lit("u"), F.col("id"))).withColumn("article_key", F.col("url"))
-    new = new.withColumn("embedding", hash_embedding(F.coalesce("summary", "title"), 8))
-    stored = _saved("news_articles", new)[0]
-    return stored.join(new.select("id"), "id", "left_semi").where("embedding IS NOT NULL").select("id")
+    new = articles(spark, sf).where("collector <> 'gemini'").withColumn("url", F.concat(F.lit("u"), F.col("id"))).withColumn("article_key", F.col("url"))
+    new = new.withColumn("embedding", letter_embedding(F.coalesce("summary", "title")))
+    return _saved("news_articles", new.where("id % 2 = 0"), new)[0].select("id", _rounded("embedding"))
 
 
-@query("SELECT kind, count(DISTINCT id) AS documents, count(DISTINCT id) AS ids FROM (SELECT 'news' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'filing_chunk', l_orderkey * 8 + l_linenumber FROM lineitem UNION ALL SELECT 'kb_chunk', p_partkey FROM part UNION ALL SELECT 'long_story', c_custkey FROM customer) GROUP BY 1")
+@query("SELECT kind, count(*) AS documents, CASE WHEN kind = 'kb_chunk' THEN 2 ELSE 1 END AS revision, bit_xor(('0x' || substr(md5(id || ':' || body), 1, 14))::BIGINT) AS contents FROM (SELECT 'news' AS kind, doc_id AS id, coalesce(text, '') AS body FROM documents UNION ALL SELECT 'filing_chunk', o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'kb_chunk', p_partkey, p_name FROM part UNION ALL SELECT 'long_story', c_custkey, c_mktsegment FROM customer) GROUP BY 1")
 def q123_index_documents(spark, sf):
     docs = table(spark, sf, "documents").select(F.lit("news").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    lines = table(spark, sf, "lineitem").select(F.lit("filing_chunk").alias("kind"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("body"))
+    lines = table(spark, sf, "orders").select(F.lit("filing_chunk").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("body"))
     parts = table(spark, sf, "part").select(F.lit("kb_chunk").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("body"))
     long = table(spark, sf, "customer").select(F.lit("long_story").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("body"))
     every = docs.unionByName(lines).unionByName(parts).unionByName(long).withColumn("revision", F.lit(1))
     out = _saved("search_index", every, every.where("kind = 'kb_chunk'").withColumn("revision", F.lit(2)))[0]
-    return out.groupBy("kind").agg(F.count("*").alias("documents"), F.countDistinct("id").alias("ids"))
+    content = ids.bigint_id(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("body", F.lit(""))))
+    return out.groupBy("kind").agg(F.count("*").alias("documents"), F.max("revision").alias("revision"), F.bit_xor(content).alias("contents"))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -172,12 +180,13 @@ def q125_migrate_filing_ids(spark, sf):
     return f.join(moved, "id").join(counts, "new_id", "left").select(F.col("new_id").alias("id"), "accession", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
-@query("SELECT 0::BIGINT AS before, 0::BIGINT AS after WHERE false UNION ALL SELECT count(*), 0 FROM customer")
+@query("SELECT c_custkey AS id, c_mktsegment AS title FROM customer WHERE c_mktsegment = 'BUILDING'")
 def q126_truncate_long_stories(spark, sf):
-    rows, path = _saved("long_stories", table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("last_updated_at")))
-    before = rows.count()
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("title"), F.lit(1).alias("last_updated_at"))
+    _, path = _saved("long_stories", rows)
     truncate(spark, path)
-    return load(spark, path).agg(F.lit(before).cast("long").alias("before"), F.count("*").alias("after"))
+    save(rows.where("title = 'BUILDING'"), path, TABLES["long_stories"])  # of what was there before nothing is left
+    return load(spark, path).select("id", "title")
 
 
 @query("SELECT DISTINCT upper(trim(c_mktsegment)) AS symbol FROM customer WHERE c_mktsegment <> 'BUILDING' UNION SELECT 'NEW'")
