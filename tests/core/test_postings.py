@@ -41,7 +41,7 @@ def test_loads_one_after_another_give_the_scores_of_all_documents(spark, monkeyp
 
 def test_regions_that_cannot_win_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(postings, "REGION", 5)
-    monkeypatch.setattr(postings, "FIRST", 2)
+    monkeypatch.setattr(postings, "FIRST", 12)
     docs = [(i, f"oil oil oil oil {'gold' if i < 3 else 'tin'}" if i < 12 else f"the market of oil and {' '.join(['words'] * 30)}") for i in range(600)]
     path = storage.scratch(spark, "index")
     postings.add(spark.createDataFrame(docs, "id long, text string"), path)
