@@ -175,5 +175,37 @@ def test_streams(spark, tmp_path):
     batch = {(r.ticker, r.start): r for r in market.bars(df).collect()}
     assert bars and all(tuple(batch[r.ticker, r.start]) == tuple(r) for r in bars)
     assert len(result(events.first_delivery(stream.unionByName(stream), "event_id", "ts"), "once")) == len(rows)
-    verdicts = {r.event_id: r.verdict for r in result(limits.limited_stream(stream, 600, 2, 9), "asks")}
-    assert verdicts == {r.event_id: r.verdict for r in limits.limited(df, 600, 2, 9).collect()}
+
+
+def test_late_and_replayed_asks_are_judged_as_in_the_batch_across_a_restart(spark, tmp_path):
+    r = random.Random(8)
+    begin = datetime(2024, 1, 1, 22)
+    asks = [(f"ip{r.randrange(4)}", begin + timedelta(seconds=r.randrange(4 * 3600), microseconds=r.randrange(10**6)), i) for i in range(300)]
+    files = [[] for _ in range(8)]
+    for a in asks:  # up to half an hour late, and some of them twice
+        n = min(6, int((a[1] - begin).total_seconds() // 1800) + r.randrange(2))
+        files[n].append(a)
+        if r.random() < 0.2:
+            files[n].append(a)
+    files[7] = [("last", begin + timedelta(days=3), 9000), ("ip0", begin, 9001)]  # moves the watermark on; what comes days late is not judged
+    schema = "ip string, ts timestamp, event_id long"
+    source, at = tmp_path / "in", str(tmp_path / "checkpoint")
+
+    def run(numbers):
+        for n in numbers:
+            spark.createDataFrame(files[n][::-1], schema).coalesce(1).write.mode("append").parquet(str(source))
+            stream = spark.readStream.schema(schema).parquet(str(source))
+            out = limits.limited_stream(stream, 600, 2, 9, late="90 minutes")
+            out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", at).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        run([0, 1, 2])
+        run([3, 4, 5, 6, 7])  # each is a new query on the same checkpoint
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = [(r.event_id, r.verdict) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    df = spark.createDataFrame(asks, schema)
+    want = {r.event_id: r.verdict for r in limits.limited(df, 600, 2, 9).collect()}
+    assert len(got) == len(dict(got)) and dict(got) == want and set(want.values()) == {"ok", "window", "daily"}

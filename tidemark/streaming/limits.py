@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidemark import config
 
@@ -49,22 +50,55 @@ def limited(asks: DataFrame, window_s: int = config.ASK_WINDOW_SECONDS, most: in
     return ordered.mapInPandas(judge, f"ip {dict(asks.dtypes)['ip']}, event_id {dict(asks.dtypes)['event_id']}, verdict string")
 
 
-def limited_stream(asks: DataFrame, window_s: int = config.ASK_WINDOW_SECONDS, most: int = config.ASK_WINDOW_MAX, daily: int = config.ASK_DAILY_MAX) -> DataFrame:
-    """As `limited` on a stream (ip, ts timestamp, event_id): the state of a key is dropped after a day without asks."""
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, day, used = (list(state.get[0]), *state.get[1:]) if state.exists else ([], -1, 0)
-        rows = pd.concat(list(batches)).assign(us=lambda x: x["ts"].astype("int64") // (1 if str(x["ts"].dtype).startswith("datetime64[us") else 1000)).sort_values(["us", "event_id"])
-        verdicts, recent, day, used = decide(rows["us"].tolist(), recent, day, used, window_s, most, daily)
-        state.update((recent, day, used))
-        state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame({"ip": key[0], "event_id": rows["event_id"].to_numpy(), "verdict": verdicts})
-
+class _Judge(StatefulProcessor):
+    """Asks of one key wait until the watermark has passed them; then they are judged in event order."""
+
+    def __init__(self, window_s: int, most: int, daily: int) -> None:
+        self.rule = window_s, most, daily
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "event_id long, us long", "n int")  # asks not judged yet, each once
+        self.judged = handle.getValueState("judged", "recent array<bigint>, day bigint, used bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        for frame in rows:
+            micros = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            for event, us in zip(frame["event_id"].tolist(), micros.tolist(), strict=True):
+                self.waiting.updateValue((event, us), (1,))
+                self.handle.registerTimer(us // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        reached = timerValues.getCurrentWatermarkInMs()
+        asks = sorted((us, event) for event, us in self.waiting.keys())
+        ready = [x for x in asks if x[0] < reached * 1000]
+        recent, day, used = self.judged.get() if self.judged.exists() else ([], -1, 0)
+        if ready:
+            verdicts, recent, day, used = decide([us for us, _ in ready], list(recent), day, used, *self.rule)
+            self.judged.update((recent, day, used))
+            for us, event in ready:
+                self.waiting.removeKey((event, us))
+            self.handle.registerTimer((day + 2) * _DAY // 1000)
+            yield pd.DataFrame({"ip": key[0], "event_id": [e for _, e in ready], "verdict": verdicts})
+        elif not asks and day >= 0 and reached >= (day + 2) * _DAY // 1000:
+            self.judged.clear()  # nothing that was accepted up to that day counts any more
+
+    def close(self) -> None:
+        pass
+
+
+def limited_stream(asks: DataFrame, window_s: int = config.ASK_WINDOW_SECONDS, most: int = config.ASK_WINDOW_MAX, daily: int = config.ASK_DAILY_MAX, late: str = "10 minutes") -> DataFrame:
+    """As `limited` on a stream (ip, ts timestamp, event_id long), for asks that come in any order and again.
+
+    An ask is judged once the watermark has passed it, after all that came before it in time, so the verdicts are those of
+    the batch over the same rows; an ask that is later than `late` is not judged, and one that comes again within that counts
+    once. The state of a key goes when a day has passed without asks. Windows of up to a day are remembered.
+    """
+    asks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = dict(asks.dtypes)
-    return asks.groupBy("ip").applyInPandasWithState(judge, f"ip {kinds['ip']}, event_id {kinds['event_id']}, verdict string", "recent array<long>, day long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    judged = asks.withWatermark("ts", late).groupBy("ip")
+    return judged.transformWithStateInPandas(_Judge(window_s, most, daily), f"ip {kinds['ip']}, event_id bigint, verdict string", "Append", "EventTime")
 
 
 def daily_quota(asks: DataFrame, daily: int = config.ASK_DAILY_MAX) -> DataFrame:
