@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def import_all() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from tidemark.plans import briefs, reads, retrieval, sourcing, storylines, writes  # noqa: F401
+    from tidemark.plans import briefs, reads, retrieval, sourcing, stored, storylines, writes  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def _recorded(spark, sf, source, path, *fields):
     rows = articles(spark, sf).withColumn("iso", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("day", F.date_format("published_at", "yyyy-MM-dd"))
     item = F.struct(*(F.expr(e).alias(c) for c, e in fields))
     bodies = rows.groupBy("ticker", "day").agg(F.to_json(F.struct(F.collect_list(item).alias(path))).alias("body"))
-    return bodies.select(F.lit(source).alias("source"), F.col("ticker").alias("symbol"), "body")
+    return bodies.select(F.lit(source).alias("source"), F.col("ticker").alias("symbol"), F.to_date("day").alias("day"), "body")
 
 
 def _collected(payloads, source, **how):
