@@ -38,6 +38,30 @@ def test_as_of_and_nearest_over_days(spark):
         assert found[i] == (first[(g, at_of[near[i]])] if near[i] is not None else None)
 
 
+def test_one_day_of_one_group_is_cut_into_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    moment = lambda: DAY + datetime.timedelta(seconds=rng.randrange(20))
+    left = [(i, "a", moment()) for i in range(400)] + [(i, "a", DAY) for i in range(400, 800)] + [(i, "b", moment()) for i in range(800, 820)]
+    right = [(i, "a", moment()) for i in range(30)]
+    ls, rs = spark.createDataFrame(left, "id int, g string, t timestamp_ntz"), spark.createDataFrame(right, "key int, g string, at timestamp_ntz")
+    whole = sorted(map(tuple, tables.as_of(ls, rs, "g", "t", "at", "key", "r_").collect()))
+    monkeypatch.setattr(tables, "RANGE", 40)
+    assert sorted(map(tuple, tables.as_of(ls, rs, "g", "t", "at", "key", "r_").collect())) == whole
+    for i, g, t, at, key in whole:
+        known = [(x, k) for k, h, x in right if h == g and x <= t]
+        assert (at, key) == (max(known) if known else (None, None))
+    spans = ls.selectExpr("g", "t", "id", "id % 7 = 0 AS hit").select("g", "t", "id", F.when(F.col("hit"), F.col("id")).alias("v"))
+    few = {r.id: r["__found"] for r in tables.carried(spans, "g", "t", ["id"], "v").collect()}
+    monkeypatch.setattr(tables, "RANGE", 1 << 30)
+    assert few == {r.id: r["__found"] for r in tables.carried(spans, "g", "t", ["id"], "v").collect()}
+    assert {r.id: r["__found"] for r in tables.carried(spans, "g", "t", ["id"], "v", back=True).collect()} == _backwards(spans, monkeypatch)
+
+
+def _backwards(spans, monkeypatch):
+    monkeypatch.setattr(tables, "RANGE", 25)
+    return {r.id: r["__found"] for r in tables.carried(spans, "g", "t", ["id"], "v", back=True).collect()}
+
+
 def test_rows_between(spark):
     rng = random.Random(5)
     left = [(i, rng.choice("ab"), t, None if t is None else t + datetime.timedelta(days=3)) for i, t in enumerate(times(rng, 100))]

@@ -37,23 +37,33 @@ def primary_and_cross(df: DataFrame, group: str, primary: str, score: str, k_pri
     return top_per(df, [group], [F.col(score).desc(), F.col(key)], F.when(F.col(group) == primary, k_primary).otherwise(k_other), rank="rank", most=max(k_primary, k_other))
 
 
+#: Rows of a group and day that are sorted together, on average.
+RANGE = 1 << 16
+
+
 def carried(both: DataFrame, by: str, at: str, order: list[str], value: str, back: bool = False) -> DataFrame:
     """both with __found: the last `value` (not null) of the group `by` up to each row, in (at, *order); backwards in time on demand.
 
-    Rows are sorted within a group and day only; the last value of each day (map-side) is carried on over the days of the
-    group and joined back. So one large group is spread over its days.
+    Rows are sorted within a range only: a group and day, cut where about every RANGE-th row stands in the order (rows that
+    are equal in it are cut by a hash). The last value of each range (map-side) is carried on over the ranges of the group
+    and joined back. So one large group is spread over its days, and one large day over its ranges.
     """
     day = F.coalesce(F.unix_date(F.to_date(at)), F.lit(-(1 << 30)))
-    rows = both.withColumn("__day", day)
-    way = [F.col(at).desc() if back else F.col(at).asc_nulls_first(), *(F.col(c).desc() if back else F.col(c) for c in order)]
-    within = Window.partitionBy(by, "__day").orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
-    edge = F.struct(at, *order, value)
-    ends = rows.groupBy(by, "__day").agg((F.min if back else F.max)(F.when(F.col(value).isNotNull(), edge)).alias("__e"))
-    days = Window.partitionBy(by).orderBy(F.col("__day").desc() if back else F.col("__day")).rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select(F.col(by).alias("__b"), F.col("__day").alias("__d"), F.last(F.col(f"__e.{value}"), ignorenulls=True).over(days).alias("__carry"))
+    plain = [c for c, kind in both.dtypes if "map<" not in kind]
+    rows = both.withColumn("__day", day).withColumn("__salt", F.xxhash64(*plain))
+    key = F.struct(F.col(at).alias("at"), *order, "__salt")
+    cuts = rows.where(F.pmod("__salt", F.lit(RANGE)) == 0).groupBy(F.col(by).alias("__cb"), F.col("__day").alias("__cd")).agg(F.sort_array(F.collect_list(key)).alias("__cuts"))
+    rows = rows.join(cuts, F.col(by).eqNullSafe(F.col("__cb")) & (F.col("__day") == F.col("__cd")), "left")
+    rows = rows.withColumn("__slot", F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c <= key)))).drop("__cuts", "__cb", "__cd")
+    way = [F.col(at).desc() if back else F.col(at).asc_nulls_first(), *(F.col(c).desc() if back else F.col(c) for c in [*order, "__salt"])]
+    within = Window.partitionBy(by, "__day", "__slot").orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.struct(at, *order, "__salt", value)
+    ends = rows.groupBy(by, "__day", "__slot").agg((F.min if back else F.max)(F.when(F.col(value).isNotNull(), edge)).alias("__e"))
+    ranges = Window.partitionBy(by).orderBy(*(F.col(c).desc() if back else F.col(c) for c in ("__day", "__slot"))).rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col(by).alias("__b"), F.col("__day").alias("__d"), F.col("__slot").alias("__s"), F.last(F.col(f"__e.{value}"), ignorenulls=True).over(ranges).alias("__carry"))
     seen = rows.withColumn("__in", F.last(value, ignorenulls=True).over(within))
-    joined = seen.join(before, F.col(by).eqNullSafe(F.col("__b")) & (F.col("__day") == F.col("__d")), "left")
-    return joined.withColumn("__found", F.coalesce("__in", "__carry")).drop("__in", "__carry", "__b", "__d", "__day")
+    joined = seen.join(before, F.col(by).eqNullSafe(F.col("__b")) & (F.col("__day") == F.col("__d")) & (F.col("__slot") == F.col("__s")), "left")
+    return joined.withColumn("__found", F.coalesce("__in", "__carry")).drop("__in", "__carry", "__b", "__d", "__s", "__day", "__slot", "__salt")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, right_key: str, prefix: str) -> DataFrame:

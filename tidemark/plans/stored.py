@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import answers
-from tidemark.functions.text import both
 from tidemark.inputs import ARTICLES, DAILY, TICKS, VECTORS, articles, table, ticks, vectors
-from tidemark.operators import graph, market, postings, vectorindex
+from tidemark.operators import growing, market, postings, vectorindex
 from tidemark.operators import vectors as vec
 from tidemark.plans.base import query
 from tidemark.plans.registry import BM25, COSINE
@@ -213,3 +213,19 @@ def _grouper(prompt: str) -> str:
 def q210_groups_of_model(spark, sf):
     rows = articles(spark, sf).select("ticker", "id", F.lower(F.coalesce("title", F.lit(""))).alias("title"))
     return answers.proposed_groups(rows, _grouper, scratch(spark, "answers"), part=1 << 20)
+
+
+# Components
+
+
+@query("SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS cluster FROM orders")
+def q211_growing_components(spark, sf):
+    """Orders of a customer, linked one to the next, in three loads of which each brings every third order."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    last = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("id"))
+    edges = o.withColumn("a", last).where("a IS NOT NULL").select("a", F.col("id").alias("b"))
+    load_of = lambda c: F.col(c) % 3
+    path = scratch(spark, "components")
+    for n in range(3):
+        growing.grow(o.where(load_of("id") == n).select("id"), edges.where(F.greatest(load_of("a"), load_of("b")) == n), path)
+    return growing.labels(spark, path)
