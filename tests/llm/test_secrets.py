@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import zstandard
@@ -95,3 +96,40 @@ def test_query_over_odd_rows(spark):
 def test_identifiers_are_counted_over_all_rows(spark):
     docs = spark.createDataFrame([("user_name = loadFile(x)",), ("user_name plain words",), (None,)], "text string")
     assert [tuple(r) for r in secrets.identifiers(docs).collect()] == [("user_name", 2), ("loadFile", 1)]
+
+
+def test_spans_that_are_taken():
+    r = random.Random(1)
+    for _ in range(300):
+        spans = [(a, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(r.randrange(8)))]
+        taken = secrets.Taken(spans)
+        for a in range(60):
+            b = a + r.randrange(1, 6)
+            assert taken.meets(a, b) == any(s < b and a < e for s, e in spans)
+        for s, e in [(100, 103), (90, 95), (95, 100)]:
+            assert not taken.meets(s, e)
+            taken.add(s, e)
+            assert taken.meets(s, e)
+
+
+def test_planted_secrets_are_found_and_names_are_not(spark):
+    r = random.Random(2)
+    sign = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    fresh = lambda n, of=sign: "".join(r.choice(of) for _ in range(n))
+    names = [f"{word()}_{word()}_{word()}_id" for _ in range(120)]
+    forms = ["Authorization: Bearer {}", "the credential for this host is {} until May", "login with {} only", 'private_key -> "{}"', "{} is my new pwd", "access-key ({})", "passphrase\n  {}", "secret handed over, then {}"]
+    shapes = [lambda: fresh(32), lambda: fresh(20), lambda: fresh(40, sign + "+/") + "=", lambda: fresh(24, "ABCDEF0123456789"), lambda: f"{fresh(12)}-{fresh(12)}", lambda: "sk_live_" + fresh(24)]
+    docs, planted = [], set()
+    for d in range(600):
+        around = [" ".join(r.choice((word(), r.choice(names))) for _ in range(r.randrange(20, 60))) for _ in range(2)]
+        value = r.choice(shapes)() if d % 2 else r.choice(names)  # a name of the corpus is nothing new
+        text = f"{around[0]} {r.choice(forms).format(value)} {around[1]}"
+        docs.append((d, text))
+        if d % 2:
+            planted.add((d, text.index(value), text.index(value) + len(value)))
+    found = {(row.doc_id, s.start, s.end) for row in secrets.find_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in row.spans}
+    hit = {(d, a, b) for d, a, b in planted if any(e == d and s < b and a < f for e, s, f in found)}
+    wrong = {d for d, _, _ in found if d % 2 == 0}
+    assert len(hit) >= 0.9 * len(planted), (len(hit), len(planted))
+    assert len(wrong) <= 0.02 * 300, len(wrong)

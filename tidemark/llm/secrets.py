@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -17,12 +18,15 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_SENSITIVE = re.compile(r"(?ai:passw|passphrase|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|authorization|bearer|login)")
+_WORDS = "passw|passphrase|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|authorization|bearer|login"
+_SENSITIVE = re.compile(f"(?ai:{_WORDS})")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _PART = [bool(re.match("[A-Za-z0-9+/_=-]", chr(c))) for c in range(128)]
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer", "login")
 #: Identifiers that prime the compressor: snake_case and camelCase names.
 IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[A-Za-z]++(?:_[A-Za-z0-9]++)++|[a-z]++(?:[A-Z][a-z0-9]*+)++)"
+#: What stands around a sensitive word; no identifier is taken from there, else a secret that is copied would prime itself.
+AROUND = rf"(?i)(?:[A-Za-z0-9+/_=-]{{16,}}+[\s\S]{{0,64}}?)?(?:{_WORDS})[\s\S]{{0,64}}[A-Za-z0-9+/_=-]*+"
 #: The most frequent identifiers of the whole corpus make the dictionary, so many at most.
 MAX_IDENTIFIERS = 2000
 
@@ -43,8 +47,9 @@ class Novelty:
 
 
 def identifiers(docs: DataFrame, most: int = MAX_IDENTIFIERS) -> DataFrame:
-    """The most frequent identifiers (name, n) over all documents, counted with map-side sums; ties by name."""
-    names = docs.where(F.col("text").rlike("[A-Za-z]_[A-Za-z0-9]|[a-z][A-Z]")).select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("name"))
+    """The most frequent identifiers (name, n) over all documents, counted with map-side sums; ties by name. What stands
+    around sensitive words doesn't count."""
+    names = docs.where(F.col("text").rlike("[A-Za-z]_[A-Za-z0-9]|[a-z][A-Z]")).select(F.explode(F.regexp_extract_all(F.regexp_replace("text", AROUND, " "), F.lit(IDENTIFIER), F.lit(0))).alias("name"))
     return names.where(F.length("name") <= 64).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most)
 
 
@@ -85,24 +90,48 @@ def candidates(text: str, word: tuple[int, int], reach: int) -> Iterator[tuple[i
     yield from (m.span() for m in _CANDIDATE.finditer(text, low, start))
 
 
+class Taken:
+    """Spans without overlaps, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_right(self.ends, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def novel_spans(text: str, base: list[tuple[int, str, int]], compressor: zstandard.ZstdCompressor, rule: Novelty) -> list[tuple[int, str, int]]:
     """Candidates near a sensitive word, outside base spans, that the dictionary and the text around do not explain."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
-    seen, out = set(), []
+    seen, out, given, found = set(), [], Taken([(s, e) for s, _, e in base]), Taken([])
     for word in _SENSITIVE.finditer(text):
         for start, end in candidates(text, word.span(), rule.reach):
-            if (start, end) in seen or any(s < end and start < e for s, _, e in base):
+            if (start, end) in seen or given.meets(start, end):
                 continue
             seen.add((start, end))
             token = text[start:end]
-            if _classes(token) < rule.min_classes or any(s < end and start < e for s, _, e in out):
+            if _classes(token) < rule.min_classes or found.meets(start, end):
                 continue
             around = text[max(0, start - rule.context) : start] + text[end : end + rule.context]
             cost = marginal_bytes(around.encode(), token.encode(), compressor)
             if cost >= rule.min_bytes and cost >= rule.min_share * len(token):
                 out.append((start, "novel", end))
+                found.add(start, end)
     return out
 
 
@@ -119,6 +148,8 @@ def find_spans(docs: DataFrame, rule: Novelty | None = None, max_identifiers: in
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(primer) >= 8 else None
+        if data:
+            data.precompute_compress(level=9)  # read once, not for each candidate
         compressor = zstandard.ZstdCompressor(level=9, dict_data=data, write_content_size=False)
         for batch in batches:
             found = []
