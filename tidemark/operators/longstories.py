@@ -60,7 +60,7 @@ def merge_or_create(asked: DataFrame, long: DataFrame, history: DataFrame, thres
     'merge' with the most similar long story of the ticker that is above the threshold; else 'create' if the ticker's
     history spans enough ISO weeks; else 'none'.
     """
-    near = vec.best_above(long, F.broadcast(vec.as_queries(asked, "ticker")), threshold).select(F.col("query_id").alias("story_id"), F.col("id").alias("long_story_id"))
+    near = vec.best_above(long, vec.as_queries(asked, "ticker"), threshold).select(F.col("query_id").alias("story_id"), F.col("id").alias("long_story_id"))
     spans = history.groupBy("ticker").agg((F.countDistinct(iso_week(F.col("published_at"))) >= weeks).alias("enough"))
     out = asked.select(F.col("id").alias("story_id"), "ticker").join(near, "story_id", "left").join(spans, "ticker", "left")
     return out.withColumn("action", F.when(F.col("long_story_id").isNotNull(), "merge").when(F.col("enough"), "create").otherwise("none"))

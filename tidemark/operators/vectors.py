@@ -109,6 +109,25 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, itself: bool = False, s
     return scored.join(least, "query_id").where(F.col("sim") >= F.col("__least") - slack).drop("__least")
 
 
+def nearest_scored(rows: DataFrame, queries: DataFrame, k: int, weight: float, digits: int = 6) -> DataFrame:
+    """query_id, id, score of the k best rows (id, u, bonus) of each query, itself left out, by weight * similarity + bonus."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        scores, ids = np.round(weight * _sims(a, b) + a["bonus"].to_numpy()[:, None], digits), a["id"].to_numpy()
+        found = []
+        for j, q in enumerate(b["query_id"].to_numpy()):
+            at = np.flatnonzero(ids != q)
+            order = at[np.lexsort((ids[at], -scores[at, j]))[:k]]
+            found.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": scores[order, j]}))
+        return pd.concat(found)
+
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(rows.dtypes)["id"]}
+    x = rows.select("id", "u", "bonus", F.size("u").alias("__size")).where("u IS NOT NULL AND bonus IS NOT NULL")
+    y = queries.select("query_id", "q", F.size("q").alias("__size")).where("q IS NOT NULL")
+    scored = in_blocks(x, y, ["__size"], best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+
 def retrieve(rows: DataFrame, queries: DataFrame, k: int, per_day: int) -> DataFrame:
     """Rows of a query's ticker by similarity, at most per_day of one ticker and day, then the best k."""
     scored = against(rows, queries, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id")))

@@ -272,7 +272,7 @@ COSINE = """unitv AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_pr
 
 
 def _queries_of(rows):
-    return F.broadcast(vec.as_queries(rows.where("id % 50 = 0"), "ticker"))
+    return vec.as_queries(rows.where("id % 50 = 0"), "ticker")
 
 
 @query("SELECT query_id, id, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM sims) WHERE rank <= 10", VECTORS, COSINE)
@@ -484,12 +484,11 @@ def q46_looks_like_table(spark, sf):
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 5""", VECTORS, COSINE, FILINGS)
 def q47_filing_hybrid_score(spark, sf):
     rows = vec.with_unit(vectors(spark, sf))
-    sims = vec.against(rows, _queries_of(rows), F.col("id") != F.col("query_id")).select("query_id", "id", "sim")
-    both = sims.join(filings(spark, sf).select("id", "form_type", "filed_date"), "id", "left")
+    both = rows.select("id", "u").join(filings(spark, sf).select("id", "form_type", "filed_date"), "id", "left")
     both = both.withColumn("r", F.coalesce(finance.filing_recency(F.col("filed_date"), F.lit("1999-01-01").cast("date")), F.lit(0.5)))
     a, b, c = config.FILING_WEIGHTS
-    both = both.withColumn("score", F.round(a * F.col("sim") + b * F.col("r") + c * finance.filing_priority(F.col("form_type"), F.col("r")), 6))
-    return tables.top_per(both, ["query_id"], [F.col("score").desc(), F.col("id")], 5).select("query_id", "id", "score")
+    scored = both.withColumn("bonus", b * F.col("r") + c * finance.filing_priority(F.col("form_type"), F.col("r")))
+    return vec.nearest_scored(scored, _queries_of(rows), 5, a).select("query_id", "id", "score")
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT IN (1, 3, 5)")

@@ -65,7 +65,7 @@ COS = """unitv AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_produ
 @query("SELECT query_id, id, sim FROM sims WHERE ticker = query_ticker QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) = 1 AND sim >= 0.22::DOUBLE", VECTORS, COS)
 def q185_similar_long_story(spark, sf):
     rows = vec.with_unit(vectors(spark, sf))
-    top = vec.retrieve(rows, F.broadcast(vec.as_queries(rows.where("id % 50 = 0"), "ticker")), 1, 1)
+    top = vec.retrieve(rows, vec.as_queries(rows.where("id % 50 = 0"), "ticker"), 1, 1)
     return top.where("sim >= 0.22").select("query_id", "id", "sim")
 
 
@@ -80,7 +80,7 @@ def q186_chunks_of_dimension(spark, sf):
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 5""", VECTORS, COS)
 def q187_retrieve_recent(spark, sf):
     rows = vec.with_unit(vectors(spark, sf))
-    return vec.retrieve_recent(rows, F.broadcast(vec.as_queries(rows.where("id % 50 = 0"), "ticker")), 5, 2, ~F.col("anchor")).select("query_id", "id", "sim")
+    return vec.retrieve_recent(rows, vec.as_queries(rows.where("id % 50 = 0"), "ticker"), 5, 2, ~F.col("anchor")).select("query_id", "id", "sim")
 
 
 @query("SELECT id, least(CASE WHEN contains(low, lower(ticker)) OR true THEN 0.4::DOUBLE ELSE 0 END + least((contains(low, 'rate')::INT + contains(low, 'fed')::INT + contains(low, 'the')::INT) * 0.1::DOUBLE, 0.4::DOUBLE), 1) >= 0.5::DOUBLE AS relevant FROM (SELECT *, lower(title || ' ' || summary) AS low FROM articles)", ARTICLES)

@@ -9,12 +9,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import answers
-from tidemark.inputs import ARTICLES, DAILY, TICKS, VECTORS, articles, table, ticks, vectors
-from tidemark.operators import growing, market, postings, vectorindex
+from tidemark.inputs import ARTICLES, BRIEFS, DAILY, TICKS, VECTORS, articles, briefs, table, ticks, vectors
+from tidemark.operators import growing, longstories, market, postings, search, stories, vectorindex
 from tidemark.operators import vectors as vec
 from tidemark.plans.base import query
 from tidemark.plans.registry import BM25, COSINE
 from tidemark.plans.sourcing import _RANGE, _at, _recorded
+from tidemark.providers import letter_embedding
 from tidemark.sources import feeds, recorded
 from tidemark.storage import scratch
 
@@ -229,3 +230,42 @@ def q211_growing_components(spark, sf):
     for n in range(3):
         growing.grow(o.where(load_of("id") == n).select("id"), edges.where(F.greatest(load_of("a"), load_of("b")) == n), path)
     return growing.labels(spark, path)
+
+
+# Excerpts of a knowledge base
+
+
+_LETTERS = "list_transform(['e', 't', 'a', 'o', 'i', 'n', 's', 'r'], lambda c: (length({0}) - length(replace({0}, c, '')))::DOUBLE)"
+_UNIT = "CASE WHEN list_dot_product(l, l) = 0 THEN l ELSE list_transform(l, lambda x: x / sqrt(list_dot_product(l, l))) END"
+KB = f"""kb AS (SELECT id, text, {_UNIT} AS u FROM (SELECT p_partkey AS id, p_name AS text, {_LETTERS.format("lower(p_name)")} AS l FROM part)),
+  near AS (SELECT query_id, kb.id, round(list_dot_product(a.u, kb.u), 5) AS sim FROM (SELECT *, {_UNIT} AS u FROM (SELECT *, {_LETTERS.format("lower(query_text)")} AS l FROM asked)) a, kb WHERE a.vector)"""
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+KB_WORDS = f"""kt AS (SELECT id, {_TOKENS.format("text")} AS ws FROM kb), ks AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM kt),
+  ktf AS (SELECT id, len(ws) AS dl, w, count(*) AS tf FROM (SELECT id, ws, unnest(ws) AS w FROM kt) GROUP BY ALL), kdf AS (SELECT w, count(*) AS df FROM ktf GROUP BY w),
+  kq AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("query_text")}) AS w FROM asked WHERE NOT vector),
+  byword AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * dl / a))), 4) AS score FROM ktf JOIN kdf USING (w) JOIN kq USING (w), ks GROUP BY 1, 2)"""
+
+
+def _knowledge(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return rows.withColumn("u", letter_embedding(F.col("text")))
+
+
+@query("SELECT query_id, id, 'vector' AS way, (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id))::INT AS rank FROM near QUALIFY rank <= 4 UNION ALL SELECT query_id, id, 'keywords', (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM byword QUALIFY rank <= 4",
+       "asked AS (SELECT item_id AS query_id, text AS query_text, item_id % 3 > 0 AS vector FROM benchmark WHERE trim(text) <> '' UNION ALL SELECT n_nationkey + 100000, p_name, false FROM nation JOIN part ON p_partkey = n_nationkey)", KB, KB_WORDS)
+def q212_excerpts(spark, sf):
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query_text"), (F.col("item_id") % 3 > 0).alias("vector"))
+    named = table(spark, sf, "nation").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("n_nationkey"))
+    asked = asked.unionByName(named.select((F.col("n_nationkey") + 100000).cast("long").alias("query_id"), F.col("p_name").alias("query_text"), F.lit(False).alias("vector")))
+    asked = asked.withColumn("q", F.when(F.col("vector"), letter_embedding(F.col("query_text"))))
+    return search.excerpts(asked, _knowledge(spark, sf), 8, 4)
+
+
+@query("SELECT topic, string_agg(text, ' | ' ORDER BY sim DESC, id) AS excerpts FROM (SELECT query_id AS topic, kb.id, kb.text, sim FROM near JOIN kb USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, kb.id) <= 3) GROUP BY 1", BRIEFS,
+       "asked AS (SELECT topic AS query_id, substr(string_agg(title || ' ' || summary, ' ' ORDER BY revision), 1, 200) AS query_text, true AS vector FROM (SELECT * FROM brief QUALIFY row_number() OVER (PARTITION BY topic ORDER BY revision) <= 15) GROUP BY topic)", KB)
+def q213_briefs_with_excerpts(spark, sf):
+    asked = longstories.query_text(stories.latest_briefs(briefs(spark, sf)), "topic", "revision", 15, 200).select(F.col("topic").alias("query_id"), F.col("text").alias("query_text"))
+    kb = _knowledge(spark, sf)
+    found = search.excerpts(asked.withColumn("q", letter_embedding(F.col("query_text"))), kb, 6, 3).join(kb.select("id", "text"), "id")
+    lists = found.groupBy(F.col("query_id").alias("topic")).agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("x"))
+    return lists.select("topic", F.array_join(F.transform("x", lambda r: r["text"]), " | ").alias("excerpts"))
