@@ -190,7 +190,7 @@ def q105_first_of_id(spark, sf):
     return tables.first_of_id(articles(spark, sf).withColumn("key", F.col("id") % 400), "key", "ord").select("id")
 
 
-@query(f"SELECT day::DATE::VARCHAR AS day FROM generate_series(TIMESTAMP '2024-12-20', TIMESTAMP '2025-01-31', INTERVAL 1 DAY) d(day) WHERE isodow(day) < 6 AND day::DATE::VARCHAR NOT IN ({', '.join(f"'{d}'" for d in config.MARKET_HOLIDAYS)})")
+@query(f"SELECT DISTINCT day::DATE::VARCHAR AS day FROM (SELECT o_orderdate::DATE + INTERVAL 30 YEAR AS day FROM orders) WHERE isodow(day) < 6 AND day::DATE::VARCHAR NOT IN ({', '.join(f"'{d}'" for d in config.MARKET_HOLIDAYS)})")
 def q106_trading_days(spark, sf):
-    days = F.sequence(F.lit("2024-12-20").cast("date"), F.lit("2025-01-31").cast("date"))
-    return spark.range(1).select(F.explode(F.filter(days, lambda d: dates.is_business_day(d))).alias("day")).select(F.col("day").cast("string").alias("day"))
+    days = table(spark, sf, "orders").select(F.add_months(F.to_date("o_orderdate"), 360).alias("day")).distinct()
+    return days.where(dates.is_business_day(F.col("day"))).select(F.col("day").cast("string").alias("day"))

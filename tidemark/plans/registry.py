@@ -105,9 +105,10 @@ def q07_newer_filing_semi(spark, sf):
     return tables.has_between(left, f.where("form_type = '10-K'"), "ticker", "filed_date", "until", "filed_date").select("id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def q08_orphans_anti(spark, sf):
-    return tables.without(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
+    had = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tables.without(table(spark, sf, "orders"), had, ["o_orderkey"]).select("o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200) ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
@@ -601,9 +602,9 @@ def q62_month_gate(spark, sf):
     return stories.spread_enough(table(spark, sf, "orders").select(F.col("o_custkey").alias("story_id"), "o_orderdate"), "o_orderdate", 4, 3)
 
 
-@query("SELECT user_id AS id FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(DISTINCT isoyear(ts) * 100 + week(ts)) <= 1")
+@query("SELECT event_id // 8 AS id FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(DISTINCT isoyear(ts) * 100 + week(ts)) <= 1")
 def q63_one_week_stories(spark, sf):
-    links = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("story_id"), "ts")
+    links = table(spark, sf, "events").where("event_type = 'purchase'").select(F.floor(F.col("event_id") / 8).alias("story_id"), "ts")
     return stories.within_one_week(links.select(F.col("story_id").alias("id")).distinct(), links, "ts")
 
 
