@@ -91,3 +91,13 @@ def test_stories_gate_format_and_groups(spark):
     titles = spark.createDataFrame([("A", 5, "x"), ("A", 3, "X"), ("A", 4, "y"), ("B", 9, "x")], "ticker string, id long, title string")
     model = lambda p: "[[5, 3, 99], [4]]" if "Repeats of A" in p else "nothing"
     assert [(r.id, r.kept) for r in answers.proposed_groups(titles, model, storage.scratch(spark, "a")).collect()] == [(5, 3)]
+
+
+def test_filters_by_kind(spark, counted):
+    make, calls = counted
+    rows = news(spark, [(1, "A", "good", "x"), (2, "A", "bad", "fed rate"), (3, "A", "GOOD ", "y"), (4, "A", "good fed", "z")])
+    ids = lambda f: sorted(r.id for r in f(rows).collect())
+    assert ids(answers.filter_of("keyword", ["fed", "rate"], least=0.5)) == [2, 4] == ids(answers.filter_of("model", ["fed", "rate"], least=0.5))
+    assert ids(answers.filter_of("model", ["fed"], make())) == [1, 4] and calls()
+    with pytest.raises(ValueError, match="kind"):
+        answers.filter_of("other", [])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import both, keyword_count
-from tidemark.storage import Spec, exists, load, save, written
+from tidemark.storage import Spec, exists, load, save, scratch, written
 
 #: Prompts and what else the batch has in common (a ticker, say) to answers; None where there is none.
 Provider = Callable[[str, list[str]], list[str | None]]
@@ -109,6 +109,17 @@ def filtered(rows: DataFrame, provider: Provider, path: str, words: Iterable[str
     return marked.join(first, ["ticker", "__title", "id"], "left_semi").drop("__title")
 
 
+def filter_of(kind: str, words: Iterable[str], provider: Provider | None = None, path: str | None = None, least: float = 0.3) -> Callable[[DataFrame], DataFrame]:
+    """A filter of rows (id, ticker, title, summary) by its kind: 'keyword', or 'model', which without a provider is by
+    keyword, too."""
+    if kind not in ("keyword", "model"):
+        raise ValueError(f"no filter of kind {kind}")
+    if kind == "model" and provider:
+        return lambda rows: filtered(rows, provider, path or scratch(rows.sparkSession, "answers"), words, least)
+    score = F.lit(0.4) + F.least(keyword_count(both(F.col("title"), F.col("summary")), words) * 0.1, F.lit(0.4))
+    return lambda rows: rows.where(score >= least)
+
+
 def stories(clusters: DataFrame, model: Callable[[str], str | None], path: str) -> DataFrame:
     """clusters (cluster, ticker, day, articles: array of (id, title, summary), the anchor first) with title and summary of
     the story a model tells of each; clusters that it omits or doesn't answer for are left out."""

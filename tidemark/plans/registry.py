@@ -356,9 +356,12 @@ def q33_hybrid(spark, sf):
     return tables.top_per(out, ["query_id"], [F.col("score").desc(), F.col("id")], 10)
 
 
-@query("""SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (
+RRF = """SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, id) AS rank FROM kw QUALIFY rank <= 20 UNION ALL
-  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM vsim QUALIFY rank <= 20) GROUP BY 1, 2""", BM25, VECTORS, HYBRID)
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM vsim QUALIFY rank <= 20) GROUP BY 1, 2"""
+
+
+@query(RRF, BM25, VECTORS, HYBRID)
 def q34_rrf(spark, sf):
     key = F.struct("query_id", "id").alias("k")
     kw = tables.top_per(_keyword(spark, sf).withColumn("score", F.round("score", 4)), ["query_id"], [F.col("score").desc(), F.col("id")], 20, rank="rank").select(key, "rank")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark import answers
 from tidemark.inputs import ARTICLES, BRIEFS, DAILY, TICKS, VECTORS, articles, briefs, table, ticks, vectors
-from tidemark.operators import growing, longstories, market, postings, search, stories, vectorindex
+from tidemark.operators import growing, longstories, market, postings, search, stories, tables, vectorindex
 from tidemark.operators import vectors as vec
 from tidemark.plans.base import query
-from tidemark.plans.registry import BM25, COSINE
+from tidemark.plans.registry import BM25, COSINE, HYBRID, RRF
 from tidemark.plans.sourcing import _RANGE, _at, _recorded
 from tidemark.providers import letter_embedding
 from tidemark.sources import feeds, recorded
@@ -155,6 +155,19 @@ def q204_vector_index(spark, sf):
     return vectorindex.search(spark, index, vec.as_queries(rows.where("id % 50 = 0")), 10, probes=-(-2 * len(index.centroids) // 3))
 
 
+@query(RRF, BM25, VECTORS, HYBRID)
+def q214_stored_hybrid(spark, sf):
+    """Ranks of a keyword index and of a vector index, merged."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    words_side = tables.top_per(postings.search(spark, _indexed(spark, sf), asked, 20), ["query_id"], [F.col("score").desc(), F.col("id")], 20, rank="rank")
+    rows, index = _vector_index(spark, sf)
+    named = vec.as_queries(rows.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi"))
+    vector_side = vectorindex.search(spark, index, named, 20, probes=1, exact=True, itself=True)
+    key = F.struct("query_id", "id").alias("k")
+    fused = tables.fused({"words": words_side.select(key, "rank"), "vectors": vector_side.select(key, "rank")}, "k")
+    return fused.select("k.query_id", "k.id", F.round("score", 6).alias("score"))
+
+
 # Answers of models; stand-ins answer by rule
 
 
