@@ -5,7 +5,8 @@ equal minimizers, so all comparisons stay within the texts of one minimizer. Nei
 kept as one segment. Segments of the same bytes go into an index once, with the number of their copies; all segments of
 one minimizer are indexed together: the run-compressed Burrows-Wheeler transform with suffixes and match lengths sampled
 at the ends of its runs, from which the matching statistics of all positions are read in text order (Gagie, Navarro and
-Prezza, 2020). Hashes only route; every repeat is read from an index.
+Prezza, 2020). Whole segments that are equal are told by 128 bits of hash, and enter the index as counts; what repeats
+within different segments is read from the index.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ class RunLengthIndex:
 
     @staticmethod
     def _sorted(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix array, and the ranks of all suffixes by their first 1, 2, 4, ... symbols."""
+        """Suffix array, and the ranks of all suffixes by their first 1, 2, 4, ... symbols; only ties are sorted again."""
         n, width, key, levels = len(text), 1, text.astype(np.uint64) + U(1), [(1, text.astype(np.int32))]
         if n > 4 and int(text.max()) + 1 < 1 << 16:  # four symbols at once
             for bits in (U(16), U(32)):
@@ -96,18 +97,25 @@ class RunLengthIndex:
                 key, width = (key << bits) | ahead, 2 * width
                 if width == 2:
                     levels.append((2, key.astype(np.uint32).view(np.int32)))
+        order, rank = np.argsort(key), np.empty(n, np.int64)
+        key, still = key[order], np.arange(n)  # places in the order of suffixes that are not alone in their rank
         while True:
-            order = np.argsort(key)
-            step = np.zeros(n, np.int64)
-            step[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
+            head = np.ones(len(still), bool)
+            head[1:] = key[1:] != key[:-1]
+            rank[order[still]] = np.maximum.accumulate(np.where(head, still, 0))
             if width > 1:
                 levels.append((width, rank.astype(np.int32)))
-            if width >= depth or not n or rank[order[-1]] == n - 1:
+            alone = head.copy()
+            alone[:-1] &= head[1:]
+            still = still[~alone]
+            if width >= depth or not len(still):
                 return order, levels
-            key = rank.astype(np.uint64) << U(32)
-            key[: n - width] |= (rank[width:] + 1).astype(np.uint64)
+            suffix = order[still]
+            key, ahead = rank[suffix].astype(np.uint64) << U(32), suffix + width
+            inside = ahead < n
+            key[inside] |= (rank[ahead[inside]] + 1).astype(np.uint64)
+            by = np.argsort(key)
+            order[still], key = suffix[by], key[by]
             width *= 2
 
     @staticmethod
