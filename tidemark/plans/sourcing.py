@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FINANCE_WORDS
 from tidemark.functions import dates
-from tidemark.inputs import ARTICLES, DAILY, FILINGS, MACRO, TICKS, articles, filings, macro_articles, table, ticks
+from tidemark.inputs import ARTICLES, DAILY, MACRO, TICKS, articles, filings, macro_articles, table, ticks
 from tidemark.operators import market, stories, tables
 from tidemark.plans.base import query
 from tidemark.sources import feeds, news
