@@ -86,3 +86,21 @@ def test_index_of_few_rows(spark, tmp_path):
     index = vectorindex.build(rows.where("id < 3"), str(tmp_path / "index"))
     got = vectorindex.search(spark, index, spark.createDataFrame([(1, [1.0, 0.0]), (9, [0.0, 1.0]), (8, [1.0])], "query_id long, q array<double>"), 3, probes=5)
     assert [(r.query_id, r.id) for r in got.collect()] == [(9, 1)]
+
+
+@pytest.mark.parametrize(("blobs", "threshold", "part"), [(0, 0.6, 40), (0, 0.97, 3), (30, 0.95, 4), (3, -0.5, 40)])
+def test_linked_rows_equal_components_of_all_pairs(spark, monkeypatch, blobs, threshold, part):
+    x = unit_rows(420, 5, 3, blobs)
+    blocks = ["hot" if i % 5 else "small" for i in range(420)]
+    group = list(range(420))
+    for _ in range(420):
+        before = list(group)
+        for a, b in plain_pairs(x, threshold, blocks):
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    rows = table(spark, x, blocks)
+    assert {r.id: r.cluster for r in vectors.linked(rows, threshold, "ticker", part=part).collect()} == dict(enumerate(group))
+    monkeypatch.setattr(vectors, "similar_pairs", None)  # no pair is written for clusters
+    found = vectors.clusters(rows.selectExpr("*", "false AS anchor"), 0.9, threshold, "ticker")
+    assert {r.id: r.cluster for r in found.collect()} == dict(enumerate(group))
