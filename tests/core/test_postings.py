@@ -64,3 +64,29 @@ def test_a_load_that_dies_is_not_seen(spark, monkeypatch):
     assert postings.documents(spark, path).count() == 20
     assert postings.add(spark.createDataFrame(corpus(40, 2), "id long, text string"), path) == 20
     assert postings.documents(spark, path).count() == 40
+
+
+def test_hybrid_scores_only_what_can_be_among_the_best(spark, monkeypatch):
+    monkeypatch.setattr(search, "hybrid", lambda keyword, vector, weight, f=search.hybrid: seen.append(keyword.count()) or f(keyword, vector, weight))
+    seen, rows = [], corpus(500, 4)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    queries = spark.createDataFrame([(i, f"rare{i} rare{i + 7} rate bank") for i in range(4)], "query_id long, query_text string")
+    r = random.Random(5)
+    u = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in ((i, [r.gauss(0, 1) for _ in range(6)]) for i, _ in rows if i % 3)}
+    vectors = spark.createDataFrame(list(u.items()), "id long, u array<double>")
+    named = spark.createDataFrame([(q, u[q + 10 if (q + 10) % 3 else q + 11]) for q in range(3)], "query_id long, q array<double>")
+    keyword = search.bm25(docs, queries)
+    got = top_per(search.best_hybrid(keyword, vectors, named, 5).withColumn("score", F.round("score", 4)), ["query_id"], [F.col("score").desc(), F.col("id")], 5).collect()
+    words, q = {(x.query_id, x.id): x.score for x in keyword.collect()}, {x.query_id: x.q for x in named.collect()}
+    sims = {(k, i): round(sum(a * b for a, b in zip(q[k], v, strict=True)), 5) for k in q for i, v in u.items()}
+    every = [(k, i, round(words.get((k, i), 0) + 0.5 * sims.get((k, i), 0), 4)) for k, i in words.keys() | sims.keys()]
+    want = {x for k in range(4) for x in sorted((e for e in every if e[0] == k), key=lambda e: (-e[2], e[1]))[:5]}
+    assert {(x.query_id, x.id, x.score) for x in got} == want and len(got) == 20
+    assert seen[0] < len(words) / 4
+
+
+def test_keyword_scores_shuffle_texts_only(spark):
+    docs = spark.createDataFrame(corpus(50, 6), "id long, text string")
+    queries = spark.createDataFrame([(1, "the bank")], "query_id long, query_text string")
+    plan = search.bm25(docs, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and "hashpartitioning(query_id#" not in plan and "SortMergeJoin" not in plan
