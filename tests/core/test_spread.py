@@ -143,3 +143,59 @@ def test_story_of_odd_answers(spark):
     got = [r.s for r in df.select(longstories.story_of(F.col("raw")).alias("s")).collect()]
     assert (got[0].title, got[0].session_label, got[0].prob_move_ge_1pct, got[0].topics, got[0].is_filing_related) == ("t", "MIXED", None, ["a"], True)
     assert all((s.title, s.session_label, s.direction_bias, s.topics, s.risk_confidence) == ("", "UNKNOWN", "NEUTRAL", [], 0.0) for s in got[1:])
+
+
+def test_bounds_of_titles_leave_few_pairs_and_lose_none():
+    rng = random.Random(21)
+    parts = ["the ", "of ", "ing ", *("".join(rng.choice("etaoinshr ") for _ in range(rng.randrange(2, 4))) for _ in range(60))]
+    titles = ["".join(rng.choice(parts) for _ in range(60))[:120] for _ in range(300)]
+    titles += [t[:40] + t[44:] + "zebu" for t in titles[:40]] + ["", "a", "of " * 40, "of " * 39 + "or ", "ñandú 日本語 " * 9]
+    found = {(int(a), int(b)) for i, j in search._similar(titles, titles, 0.85) for a, b in zip(i, j, strict=True)}
+    assert len(found) < 0.02 * len(titles) ** 2
+    near = [(a, b) for a in range(len(titles)) for b in [*range(max(0, a - 2), min(len(titles), a + 3)), *([a - 300] if a >= 300 else [])]]
+    assert all((a, b) in found for a, b in near if difflib.SequenceMatcher(None, titles[a], titles[b]).ratio() >= 0.85)
+    texts = search._Texts(titles)
+    i, j = (np.array([p[k] for p in near]) for k in (0, 1))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            above, row = row, [0]
+            for k, d in enumerate(b):
+                row.append(above[k] + 1 if c == d else max(row[k], above[k + 1]))
+        return row[-1]
+
+    some = rng.sample(range(len(near)), 60) + list(range(len(near) - 20, len(near)))
+    got = search._common(texts, texts, i, j)
+    assert all(got[k] == lcs(titles[i[k]], titles[j[k]]) for k in some)
+
+
+def test_copies_of_titles_are_not_compared_and_groups_stay(spark, monkeypatch):
+    monkeypatch.setattr(search, "TITLE_BLOCK", 30)
+    rng = random.Random(22)
+    base = ["the fed raises rates again today", "the fed raises rates again tody!", "the fad raised rates again tody!", "gold falls as dollar gains", "gold fell as the dollar gains"]
+    rows = [(i, rng.choice(["en", "de", None]), rng.choice([*base, None, "", base[0].upper()]), rng.choice(["s1", "s2", "s3"])) for i in range(300)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    kept = set()
+    for lang in ("en", "de", None):
+        groups: list[list] = []
+        for r in (r for r in rows if r[1] == lang):
+            fit = [g for g in groups if r[2] is not None and any(x[2] is not None and ratio(r[2].lower(), x[2].lower()) >= 0.85 for x in g)]
+            (fit[0] if fit else groups.append([]) or groups[-1]).append(r)
+        kept |= {min(g, key=lambda r: ({"s1": 1, "s2": 2}.get(r[3], 999), r[0]))[0] for g in groups}
+    seen = []
+    whole = search._title_pairs
+    monkeypatch.setattr(search, "_title_pairs", lambda rows, t: seen.append(rows.count()) or whole(rows, t))
+    df = spark.createDataFrame(rows, "ord long, language string, title string, source string")
+    priority = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, priority int")
+    assert {r.ord for r in search.cross_source_similar(df, priority).collect()} == kept and seen[0] <= 18
+
+    full = [(*r[:3], rng.choice([None, "", "rates rise", "rates rose", "a dollar"]), rng.randrange(4)) for r in rows]
+    first: list = []
+    for r in sorted(full, key=lambda r: (-r[4], r[0])):
+        t, s = ((x or "").lower().replace("!", "") for x in r[2:4])
+        alike = lambda x, t=t, s=s: t and x[0] and (0.7 * ratio(t, x[0]) + 0.3 * ratio(s, x[1]) if s and x[1] else ratio(t, x[0])) >= 0.85
+        if not any(alike(x) for x in first):
+            first.append((t, s, r[0]))
+    df = spark.createDataFrame(full, "ord long, language string, title string, summary string, relevance int")
+    assert {r.ord for r in search.keep_relevant_articles(df).collect()} == {x[2] for x in first} and seen[1] <= 6
