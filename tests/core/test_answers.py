@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -101,3 +102,25 @@ def test_filters_by_kind(spark, counted):
     assert ids(answers.filter_of("model", ["fed"], make())) == [1, 4] and calls()
     with pytest.raises(ValueError, match="kind"):
         answers.filter_of("other", [])
+
+
+def test_groups_of_a_model_are_looked_up_by_joins(spark):
+    """Every group went through all that its prompt had shown."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["A", "B", None]), i, f"t{rng.randrange(40)}") for i in range(200)]
+    groups = {}
+    for t, i, title in rows:
+        groups.setdefault((t, title), []).append(i)
+
+    def model(prompt):
+        told = {}
+        for line in prompt.split("\n")[1:]:
+            number, _, title = line.partition("\t")
+            told.setdefault(title, []).append(int(number))
+        return json.dumps([[*g, 1000, g[0]] for g in told.values()])
+
+    df = spark.createDataFrame(rows, "ticker string, id long, title string").where("ticker IS NOT NULL OR id % 2 = 0")
+    got = answers.proposed_groups(df, model, storage.scratch(spark, "a"), part=1000)
+    assert "array_intersect" not in got._jdf.queryExecution().toString()
+    held = {k: [i for i in g if k[0] or i % 2 == 0] for k, g in groups.items()}
+    assert {(r.id, r.kept) for r in got.collect()} == {(i, min(g)) for k, g in held.items() if k[0] for i in g if i != min(g)}

@@ -151,8 +151,15 @@ def proposed_groups(rows: DataFrame, model: Callable[[str], str | None], path: s
     from pyspark.sql import Window
 
     order = F.row_number().over(Window.partitionBy("ticker").orderBy(F.lower("title"), "id")) - 1
-    shown = rows.withColumn("__part", F.floor(order / part)).groupBy("ticker", "__part").agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("a"))
+    dealt = written(rows.select("ticker", "id", "title").withColumn("__part", F.floor(order / part)), "shown")
+    shown = dealt.groupBy("ticker", "__part").agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("a"))
     prompt = F.concat(F.lit("Repeats of "), F.col("ticker"), F.lit("\n"), F.array_join(F.transform("a", lambda x: F.concat_ws("\t", x["id"].cast("string"), x["title"])), "\n"))
-    said = answered(shown, prompt, each(model), path)
-    groups = said.select("a", F.explode(F.from_json("answer", "array<array<bigint>>")).alias("g")).select(F.array_sort(F.array_intersect(F.array_distinct("g"), F.transform("a", lambda x: x["id"].cast("bigint")))).alias("g"))
-    return groups.where(F.size("g") > 1).select(F.element_at("g", 1).alias("kept"), F.explode("g").alias("id")).where("id <> kept").groupBy("id").agg(F.min("kept").alias("kept"))
+    said = answered(shown.select("ticker", "__part", prompt.alias("shown")), F.col("shown"), each(model), path).drop("shown")
+    # an id is looked up by a join, so that no group goes through all that was shown
+    named = said.select("ticker", "__part", F.posexplode(F.from_json("answer", "array<array<bigint>>")).alias("group", "g")).select("ticker", "__part", "group", F.explode("g").alias("id")).distinct()
+    side = dealt.select(F.col("ticker").alias("__t"), F.col("__part").alias("__p"), F.col("id").cast("bigint").alias("__id")).distinct()
+    known = named.join(side, F.col("ticker").eqNullSafe(F.col("__t")) & (F.col("__part") == F.col("__p")) & (F.col("id") == F.col("__id")), "left_semi")
+    group = ["ticker", "__part", "group"]
+    first = known.groupBy(*group).agg(F.min("id").alias("kept"))
+    same = F.struct(*group).alias("k")  # a struct of nulls equals itself
+    return known.select(same, "id").join(first.select(same, "kept"), "k").where("id <> kept").groupBy("id").agg(F.min("kept").alias("kept"))
