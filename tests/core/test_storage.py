@@ -123,3 +123,24 @@ def test_delete_and_truncate(spark):
 def test_every_table_has_a_key_and_an_order(name):
     spec = storage.TABLES[name]
     assert spec.keys and spec.order and spec.part_rows > 0
+
+
+def test_large_parts_are_written_by_several_tasks_from_one_run_of_the_rows(spark):
+    """A part was one task's work, and the rows were made three times."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        path = storage.scratch(spark, "t")
+        made = spark.range(0, 20000, 1, 8).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(0).alias("n"), F.sha2(F.col("id").cast("string"), 512).alias("note"))
+        storage.save(made.mapInPandas(count, made.schema), path, Spec(("k",), "n"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert ran.value == 20000 and storage.load(spark, path).select("k").distinct().count() == 20000
+    assert len(storage.version(spark, path).parts) == 1 and len(files(spark, path)) > 1

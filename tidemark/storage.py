@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from tidemark.operators.tables import insert_ignore, upsert
 
 PART = "part_of_key"
+#: Last bits of hashes by which a write counts its rows.
+ENDS = 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -192,10 +194,10 @@ def _holding(at: Version, values: set[int]) -> list[Part]:
 
 
 def _put(spark: SparkSession, path: str, at: Version, gone: list[Part], rows: DataFrame, keys: list[str], bits: int) -> None:
-    """The next version: rows in the place of some parts."""
+    """The next version: rows in the place of some parts. Large parts are written by several tasks, a file each."""
     folder = f"data/{uuid.uuid4().hex}"
     dealt = rows.withColumn(PART, _bits_of(keys, bits))
-    dealt.repartition(F.col(PART)).write.partitionBy(PART).parquet(f"{path}/{folder}")
+    dealt.hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(f"{path}/{folder}")
     sizes = spark.read.schema(T.StructType([*rows.schema, T.StructField(PART, T.LongType())])).parquet(f"{path}/{folder}").groupBy(PART).count().collect()  # a row for each part
     old = {id(p) for p in gone}
     kept = [p for p in at.parts if id(p) not in old]
@@ -210,12 +212,14 @@ def save(rows: DataFrame, path: str, spec: Spec, attempts: int = 4) -> None:
     The columns are those of the rows; a column that the table has and the rows lack stays, with nulls for the new ones.
     """
     spark, keys = rows.sparkSession, list(spec.keys)
-    new = rows.dropna(subset=keys)
+    new = written(rows.dropna(subset=keys), "new")  # what the rows are made of is run once
+    ends = {r["end"]: r["count"] for r in new.groupBy(_bits_of(keys, ENDS).alias("end")).count().collect()}  # 2 ** ENDS rows at most
     for attempt in range(attempts):
         at = version(spark, path)
-        n = new.count() + sum(p.rows for p in at.parts)
+        n = sum(ends.values()) + sum(p.rows for p in at.parts)
         bits = max(at.bits, (max(0, n - 1) // spec.part_rows).bit_length())
-        hit = {r[PART] for r in new.select(_bits_of(keys, bits).alias(PART)).distinct().collect()}  # numbers of parts
+        few = {end & (1 << bits) - 1 for end in ends}
+        hit = few if bits <= ENDS else {r[PART] for r in new.select(_bits_of(keys, bits).alias(PART)).distinct().collect()}  # numbers of parts
         touched = _holding(at, hit)
         old = _read(spark, path, at, touched) if at.number else spark.createDataFrame([], new.schema)
         lacking = [c for c in old.columns if c not in new.columns]
