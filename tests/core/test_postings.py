@@ -90,3 +90,21 @@ def test_keyword_scores_shuffle_texts_only(spark):
     queries = spark.createDataFrame([(1, "the bank")], "query_id long, query_text string")
     plan = search.bm25(docs, queries)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id#" in plan and "hashpartitioning(query_id#" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_load_shuffles_no_words(spark, monkeypatch):
+    """Each occurrence of a word was shuffled; now a word of a region is, once."""
+    seen = []
+    real = postings._by_word
+    monkeypatch.setattr(postings, "_by_word", lambda batches: real(b.slice(k, 3) for b in batches for k in range(0, b.num_rows, 3)))  # regions go on in later batches
+    monkeypatch.setattr(postings, "REGION", 4)
+    explode = postings.F.explode
+    monkeypatch.setattr(postings.F, "explode", lambda c: seen.append(c) or explode(c))
+    docs = spark.createDataFrame([(f"d{i}", " ".join(["the"] * (i % 5) + [f"w{i % 7}", "End"])) for i in range(40)] + [("e", ""), ("n", None)], "id string, text string")
+    path = storage.scratch(spark, "p")
+    assert postings.add(docs, path) == 42 and not seen
+    rows = postings.postings(spark, path).collect()
+    got = sorted((r.w, i.id, i.tf, i.len) for r in rows for i in r["items"])
+    want = [(w, f"d{i}", n, i % 5 + 2) for i in range(40) for w, n in (("the", i % 5), (f"w{i % 7}", 1), ("end", 1)) if n]
+    assert got == sorted(want) and all(r.n == len(r["items"]) and r.max_tf == max(i.tf for i in r["items"]) and r.min_len == min(i.len for i in r["items"]) for r in rows)
+    assert len({r.region for r in rows}) >= 10

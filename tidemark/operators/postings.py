@@ -1,8 +1,8 @@
 """Keyword search over stored postings: words by region of documents, bounds of scores, and updates by new documents only.
 
 An index is a folder of segments and a log (tidemark.storage); a load adds one segment of the documents that the index
-doesn't have yet, and is visible once its version is put into place. Documents of a segment are dealt to regions of about
-REGION by a hash. A posting row holds the documents of a region that have a word, beside their number, the largest count
+doesn't have yet, and is visible once its version is put into place. A region is REGION documents of a segment that stand
+together. A posting row holds the documents of a region that have a word, beside their number, the largest count
 of the word and the smallest length: from these follows, for any statistics of the whole index, a bound of what the word
 can add to a score in that region. A search scores the regions with the highest bounds first, and then only those whose
 bound reaches what the k-th best document has by then.
@@ -12,7 +12,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,29 @@ def _bucket():
     return F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
 
 
+def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents (id, ws, region, len), region after region; one that goes on in a later batch has a word twice."""
+    for batch in batches:
+        regions = batch.column("region").to_pylist()
+        begins = [k for k, r in enumerate(regions) if not k or r != regions[k - 1]]
+        for a, b in zip(begins, [*begins[1:], len(regions)], strict=True):
+            part = batch.slice(a, b - a)
+            lens = part.column("len").to_numpy()
+            word = pc.dictionary_encode(part.column("ws").flatten())
+            if not len(word):
+                continue
+            key, tf = np.unique(word.indices.to_numpy().astype(np.int64) * (b - a) + np.repeat(np.arange(b - a), lens), return_counts=True)
+            which, doc = np.divmod(key, b - a)
+            at = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            ends = np.append(at, len(key))
+            item = pa.StructArray.from_arrays([part.column("id").take(pa.array(doc)), pa.array(tf, pa.int64()), pa.array(lens[doc], pa.int32())], ["id", "tf", "len"])
+            columns = {
+                "w": word.dictionary.take(pa.array(which[at])), "region": pa.array([regions[a]] * len(at)), "n": pa.array(np.diff(ends), pa.int64()), "max_tf": pa.array(np.maximum.reduceat(tf, at), pa.int64()),
+                "min_len": pa.array(np.minimum.reduceat(lens[doc], at), pa.int32()), "items": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+
 def add(docs: DataFrame, path: str, attempts: int = 4) -> int:
     """Adds the documents (id, text) that the index at path doesn't have; returns how many. Texts already there are not read.
 
@@ -42,19 +69,17 @@ def add(docs: DataFrame, path: str, attempts: int = 4) -> int:
         fresh = docs.where("id IS NOT NULL")
         if at.parts:
             fresh = fresh.join(documents(spark, path).select("id"), "id", "left_anti")
-        fresh = cut(fresh.groupBy("id").agg(F.min("text").alias("text")))
+        name = uuid.uuid4().hex
+        region = F.concat(F.lit(name[:12] + "-"), F.floor(F.monotonically_increasing_id() / REGION).cast("string"))  # of rows that stand together
+        fresh = cut(fresh.groupBy("id").agg(F.min("text").alias("text")).withColumn("region", region))
         n = fresh.count()
         if not n:
             return 0
-        name = uuid.uuid4().hex
-        region = F.concat(F.lit(name[:12] + "-"), F.pmod(F.xxhash64("id"), F.lit(-(-n // REGION))).cast("string"))
-        made = fresh.select("id", words(F.coalesce("text", F.lit(""))).alias("ws"), region.alias("region")).withColumn("len", F.size("ws"))
+        made = fresh.select("id", words(F.coalesce("text", F.lit(""))).alias("ws"), "region").withColumn("len", F.size("ws"))
         made.select("id", "len", "region").write.parquet(f"{path}/{name}/documents")
-        # dealt by word and region, both groupings happen in place; a region holds about REGION documents, so no group is large
-        each = made.select("id", "len", "region", F.explode("ws").alias("w")).repartition("w", "region")
-        counted = each.groupBy("w", "region", "id", "len").agg(F.count("*").alias("tf"))
-        rows = counted.groupBy("w", "region").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("id", "tf", "len")).alias("items"))
-        rows.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "w").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
+        # words are counted where their region stands, so that only finished postings are shuffled
+        rows = made.mapInArrow(_by_word, _POSTINGS.format(id=docs.schema["id"].dataType.simpleString()).removesuffix(", bucket int"))
+        rows.withColumn("bucket", _bucket()).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "w").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
         try:
             kind = docs.schema["id"].dataType.simpleString()
             commit(spark, path, Version(at.number + 1, ["id"], json.dumps(kind), 0, [*at.parts, Part(0, len(at.parts), name, n)]))
@@ -92,9 +117,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float
     stats = documents(spark, path).agg(F.count("*").alias("docs"), F.avg("len").alias("avg")).first()
     total, average = stats["docs"], stats["avg"] or 1.0
     part = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(average)))
-    stored = postings(spark, path)
-    asked = terms.select("w", "bucket").distinct()
-    heads = cut(stored.select("w", "bucket", "region", "n", "max_tf", "min_len").join(asked, ["w", "bucket"], "left_semi"))
+    # words of queries (a stated set) are sent to all tasks, so that no posting of another word is shuffled
+    stored = postings(spark, path).join(F.broadcast(terms.select("w", "bucket").distinct()), ["w", "bucket"], "left_semi")
+    heads = cut(stored.select("w", "bucket", "region", "n", "max_tf", "min_len"))
     df = heads.groupBy("w").agg(F.sum("n").alias("df"))
     idf = df.select("w", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = terms.join(idf, "w")
