@@ -73,3 +73,16 @@ def test_direction(spark):
     got = spark.range(1).select(name, score).first()
     assert got[0] == "buy" and abs(got[1] - (0.15 - 0.03) / 0.4) < 1e-12
     assert spark.range(1).select(finance.direction({"technical": F.lit(None).cast("double")})[0]).first()[0] == "hold"
+
+
+def test_long_pages_and_feeds_go_to_python_few_at_a_time(spark):
+    """Pages and feeds of 10,000 rows were held at once."""
+    from tidemark.operators.chunks import html_text
+    from tidemark.sources.feeds import xml_entries
+
+    feed = "<rss><channel><item><title>t</title><link>u</link></item></channel></rss>"
+    df = spark.createDataFrame([("<p>a</p><p>b</p>", feed), (None, None), ("", "<no")], "page string, body string")
+    out = df.select(html_text(F.col("page")).alias("t"), xml_entries(F.col("body")).alias("e"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" in plan
+    assert [(r.t, r.e and [(x.title, x.url, x.author) for x in r.e]) for r in out.collect()] == [("a\n\nb", [("t", "u", None)]), (None, None), ("", None)]

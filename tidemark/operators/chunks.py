@@ -135,7 +135,7 @@ def page_text(page: str) -> str:
 
 def html_text(page: Column) -> Column:
     """Visible text of a web page; null stays null."""
-    return F.pandas_udf(lambda s: s.map(lambda p: None if p is None else page_text(p)), "string")(page)
+    return F.udf(lambda p: None if p is None else page_text(p), "string", useArrow=False)(page)  # few rows at once, as a page may be long
 
 
 def unescaped(text: Column) -> Column:

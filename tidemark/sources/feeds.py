@@ -66,7 +66,7 @@ def _xml_entries(body: str | None) -> list[dict] | None:
 
 def xml_entries(body: Column) -> Column:
     """Entries of an RSS or Atom feed."""
-    return F.pandas_udf(lambda s: pd.Series([_xml_entries(b) for b in s], dtype=object), ENTRY)(body)
+    return F.udf(_xml_entries, ENTRY, useArrow=False)(body)  # few rows at once, as a feed may be long
 
 
 def feed_news(feeds: DataFrame, now: Column, max_age_days: int = 7) -> DataFrame:
