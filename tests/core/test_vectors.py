@@ -1,7 +1,10 @@
+import datetime
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import vectorindex, vectors
+from tidemark.operators import tables, vectorindex, vectors
 
 
 def unit_rows(n, size, seed, blobs=0, spread=0.15):
@@ -104,3 +107,27 @@ def test_linked_rows_equal_components_of_all_pairs(spark, monkeypatch, blobs, th
     monkeypatch.setattr(vectors, "similar_pairs", None)  # no pair is written for clusters
     found = vectors.clusters(rows.selectExpr("*", "false AS anchor"), 0.9, threshold, "ticker")
     assert {r.id: r.cluster for r in found.collect()} == dict(enumerate(group))
+
+
+def test_retrieval_of_one_group_in_parts(spark, monkeypatch):
+    """All queries of one ticker met all its rows in one task, a row for each pair; odd vectors keep their places."""
+    rng = np.random.default_rng(8)
+    day = datetime.datetime(2024, 1, 1)
+    odd = {3: None, 4: [1.0, None], 5: [1.0, 0.0, 0.0], 6: [0.0, 0.0], 50: [float("nan"), 1.0]}
+    data = [(i, "A" if i % 9 else "B", day + datetime.timedelta(hours=int(rng.integers(0, 24 * 6))) if i % 11 else None, odd.get(i, rng.normal(size=2).tolist())) for i in range(1, 160)]
+    df = vectors.with_unit(spark.createDataFrame(data, "id long, ticker string, published_at timestamp_ntz, v array<double>"))
+    asked = vectors.as_queries(df.where("id % 10 = 0"), "ticker")
+    monkeypatch.setattr(vectors._best_of_group, "__defaults__", (None, None, 16))
+    pairs = df.join(asked, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id"))).withColumn("sim", F.round(vectors.dot(F.col("u"), F.col("q")), 5)).withColumn("day", F.to_date("published_at"))
+    best = [F.col("sim").desc(), F.col("id")]
+    said = lambda d: sorted((r.query_id, r.id, str(r.sim), r["rank"]) for r in d.collect())
+    for k, per_day in ((4, 1), (9, 2), (200, 3)):
+        got = vectors.retrieve(df, asked, k, per_day)
+        assert "zip_with(u" not in got._jdf.queryExecution().toString()
+        assert said(got) == said(tables.top_per(tables.capped(pairs, ["query_id", "ticker", "day"], "sim", per_day), ["query_id"], best, k, rank="rank"))
+    for least in (0.9, 0.999, 2.0):
+        above = tables.top_per(pairs.where(F.col("sim") > least), ["query_id"], best, 1)
+        assert {(r.query_id, r.id, str(r.sim)) for r in vectors.best_above(df, asked, least).collect()} == {(r.query_id, r.id, str(r.sim)) for r in above.collect()}
+    newest = tables.top_per(pairs.withColumn("ok", F.col("id") % 3 > 0), ["query_id"], [F.col("published_at").desc(), F.col("id")], 15).where("ok")
+    want = tables.top_per(tables.capped(newest, ["query_id", "day"], "sim", 2), ["query_id"], best, 5, rank="rank")
+    assert said(vectors.retrieve_recent(df, asked, 5, 2, F.col("id") % 3 > 0)) == said(want)

@@ -44,11 +44,6 @@ def with_unit(df: DataFrame, v: str = "v") -> DataFrame:
     return df.withColumn("u", unit(F.col(v)))
 
 
-def against(rows: DataFrame, queries: DataFrame, on: Column) -> DataFrame:
-    """Rows with each query (a stated set: id as query_id, u as q) that `on` allows, and sim. u are unit vectors."""
-    return rows.join(queries, on).withColumn("sim", F.round(dot(F.col("u"), F.col("q")), 5))
-
-
 def as_queries(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("id").alias("query_id"), F.col("u").alias("q"), *(F.col(c).alias(f"query_{c}") for c in extra))
 
@@ -128,16 +123,55 @@ def nearest_scored(rows: DataFrame, queries: DataFrame, k: int, weight: float, d
     return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
+def _best_of_group(rows: DataFrame, queries: DataFrame, k: int, per_day: int | None = None, least: float | None = None, part: int = 2 * PART) -> DataFrame:
+    """query_id, id, ticker, day, sim: of each part of a query's ticker the k best rows, itself left out, and at most per_day of
+    a day; with `least` only those above it.
+
+    So few rows a part go on, not a row for each pair; what is among the best of all is among those of its part. Vectors that
+    can't be compared (null, with nulls, of another length) have no similarity and come last; NaN counts as the largest.
+    """
+    whole = lambda v: F.when(~F.exists(v, lambda x: x.isNull()), F.col(v)).alias(v)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("id", ignore_index=True)
+        ids, days = a["id"].to_numpy(), a["day"].to_numpy()
+        sims, known = np.full((len(a), len(b)), np.nan), np.zeros((len(a), len(b)), bool)
+        sizes = [np.array([-1 if v is None else len(v) for v in vs]) for vs in (a["u"], b["q"])]
+        for n in np.intersect1d(*sizes):
+            if n >= 0:
+                i, j = (np.flatnonzero(s == n) for s in sizes)
+                sims[np.ix_(i, j)], known[np.ix_(i, j)] = _sims(a.iloc[i], b.iloc[j]) + 0.0, True
+        # 0: the largest (NaN), 1: a number, 2: none
+        kind = np.where(known, np.where(np.isnan(sims), 0, 1), 2)
+        found = []
+        for j, q in enumerate(b["query_id"].to_numpy()):
+            at = np.flatnonzero((ids != q) & (least is None or (kind[:, j] == 0) | (sims[:, j] > least)))
+            at = at[np.lexsort((-sims[at, j], kind[at, j]))]  # stable, so equal ones stay by id
+            if per_day is not None:
+                by_day = np.argsort(days[at], kind="stable")
+                sorted_days = days[at][by_day]
+                place = np.arange(len(at)) - np.searchsorted(sorted_days, sorted_days)
+                at = at[np.sort(by_day[place < per_day])]
+            found.append((np.full(len(at[:k]), j), at[:k]))
+        j, i = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"query_id": b["query_id"].to_numpy()[j], "id": ids[i], "ticker": a["ticker"].to_numpy()[i], "day": days[i], "sim": sims[i, j], "kind": kind[i, j]})
+
+    x = rows.where("ticker IS NOT NULL AND id IS NOT NULL").select("id", "ticker", F.coalesce(F.unix_date(F.to_date("published_at")), F.lit(-(1 << 31))).alias("day"), whole("u"))
+    y = queries.where("query_ticker IS NOT NULL AND query_id IS NOT NULL").select("query_id", F.col("query_ticker").alias("ticker"), whole("q"))
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(rows.dtypes)["id"], "ticker": dict(rows.dtypes)["ticker"]}
+    scored = in_blocks(x, y, ["ticker"], best, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", day int, sim double, kind int", part)
+    return scored.withColumn("sim", F.when(F.col("kind") == 0, F.lit(float("nan"))).when(F.col("kind") == 1, F.col("sim"))).drop("kind")
+
+
 def retrieve(rows: DataFrame, queries: DataFrame, k: int, per_day: int) -> DataFrame:
     """Rows of a query's ticker by similarity, at most per_day of one ticker and day, then the best k."""
-    scored = against(rows, queries, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id")))
-    slim = scored.withColumn("day", F.to_date("published_at")).select("query_id", "id", "ticker", "day", "sim")
-    return top_per(capped(slim, ["query_id", "ticker", "day"], "sim", per_day), ["query_id"], [F.col("sim").desc(), F.col("id")], k, rank="rank")
+    scored = _best_of_group(rows, queries, k, per_day)
+    return top_per(capped(scored, ["query_id", "ticker", "day"], "sim", per_day), ["query_id"], [F.col("sim").desc(), F.col("id")], k, rank="rank").withColumn("day", F.when(F.col("day") > -(1 << 31), F.date_from_unix_date("day")))
 
 
 def best_above(rows: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """The most similar row of a query's ticker, if it is above the threshold."""
-    scored = against(rows, queries, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id"))).where(F.col("sim") > threshold)
+    scored = _best_of_group(rows, queries, 1, least=threshold)
     return top_per(scored.select("query_id", "id", "sim"), ["query_id"], [F.col("sim").desc(), F.col("id")], 1)
 
 
@@ -335,7 +369,8 @@ def of_dimension(rows: DataFrame, n: int) -> DataFrame:
 
 def retrieve_recent(rows: DataFrame, queries: DataFrame, k: int, per_day: int, allowed: Column) -> DataFrame:
     """Of a query's ticker the 3 * k newest rows, then those that are allowed, at most per_day of a day, then the best k."""
-    mine = rows.join(queries, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id"))).withColumn("__ok", allowed)
+    newest = top_per(rows, ["ticker"], [F.col("published_at").desc(), F.col("id")], 3 * k + 1)  # one may be the query itself
+    mine = newest.join(queries, (F.col("ticker") == F.col("query_ticker")) & (F.col("id") != F.col("query_id"))).withColumn("__ok", allowed)
     slim = mine.withColumn("sim", F.round(dot(F.col("u"), F.col("q")), 5)).select("query_id", "id", "published_at", F.to_date("published_at").alias("day"), "sim", "__ok")
     recent = top_per(slim, ["query_id"], [F.col("published_at").desc(), F.col("id")], 3 * k).where("__ok")
     return top_per(capped(recent, ["query_id", "day"], "sim", per_day), ["query_id"], [F.col("sim").desc(), F.col("id")], k, rank="rank")
