@@ -68,6 +68,19 @@ def test_keywords_and_topics(spark):
     assert one(spark, text.strip_links(F.col("a")), a="see [this  page](http://x.y) … now") == "see this page now"
 
 
+def test_topics_are_scored_once_before_a_filter(spark):
+    """A filter on the score was pushed into the reading, with the lower-casing of the text for each word."""
+    rows = spark.createDataFrame([(1, "nothing here"), (2, "Tariff by executive order, TRUMP"), (3, None), (4, "gold, oil and the dollar")], "id int, a string")
+    low = F.lower("a")
+    named = finance.with_topic(rows, low)
+    topic, score = finance.route(low)
+    assert {(r.id, r.topic, r.relevance_score) for r in named.collect()} == {tuple(r) for r in rows.select("id", topic, score).collect()}
+    kept = named.where("relevance_score >= 50")
+    assert {r.id for r in kept.collect()} == {2, 4} and named.columns == ["id", "a", "relevance_score", "topic"]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("debt ceiling") == 1
+
+
 def test_direction(spark):
     name, score = finance.direction({"technical": F.lit(0.5), "news_sentiment": F.lit(0.0), "macro": F.lit(-0.3)})
     got = spark.range(1).select(name, score).first()

@@ -38,13 +38,13 @@ def category(low: Column, patterns: Mapping[str, Iterable[str]] = config.CATEGOR
     return _first_best({k: keyword_count(low, v) for k, v in patterns.items()}, default)[0]
 
 
+def _score(hits: Column) -> Column:
+    return F.when(hits == 0, 25).otherwise(F.least(F.lit(100), 50 + hits * 10))
+
+
 def topic_scores(low: Column, topics: Mapping[str, Iterable[str]] = config.TOPICS) -> dict[str, Column]:
     """25 without a match, else 50 and 10 for each matching word, 100 at most."""
-    out = {}
-    for k, words in topics.items():
-        hits = keyword_count(low, words)
-        out[k] = F.when(hits == 0, 25).otherwise(F.least(F.lit(100), 50 + hits * 10))
-    return out
+    return {k: _score(keyword_count(low, words)) for k, words in topics.items()}
 
 
 def route(low: Column, topics: Mapping[str, Iterable[str]] = config.TOPICS) -> tuple[Column, Column]:
@@ -53,8 +53,13 @@ def route(low: Column, topics: Mapping[str, Iterable[str]] = config.TOPICS) -> t
 
 
 def with_topic(df: DataFrame, low: Column, topics: Mapping[str, Iterable[str]] = config.TOPICS) -> DataFrame:
-    """df with topic and relevance_score as `route` gives them; scores are computed once, in a projection of their own."""
-    scored = df.withColumn("__low", low).withColumn("__scores", F.array(*topic_scores(F.col("__low"), topics).values()))
+    """df with topic and relevance_score as `route` gives them.
+
+    Words are looked for once: scores come from a generator of one row, which no filter on them is pushed through; through
+    a projection Spark would push it, with the lower-casing of the text for each word.
+    """
+    hits = F.array(*(keyword_count(F.col("__low"), words) for words in topics.values()))
+    scored = df.withColumn("__low", low).withColumn("__scores", F.explode(F.array(F.transform(hits, _score))))
     named = scored.withColumn("relevance_score", F.array_max("__scores"))
     place = F.array_position("__scores", F.col("relevance_score"))
     return named.withColumn("topic", F.element_at(F.array(*map(F.lit, topics)), place.cast("int"))).drop("__low", "__scores")
