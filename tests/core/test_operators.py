@@ -32,6 +32,29 @@ def test_pointer_chains(spark):
     assert {(r.id, r.kept) for r in graph.resolved(df).collect()} == {(1, 4), (2, 4), (3, 4), (9, 8)}
 
 
+def test_ends_of_chains_are_not_looked_up_together(spark, monkeypatch):
+    """Once they were at their end, all pointers met in one more lookup of it, in one task."""
+    plain, met = graph._looked_up, []
+
+    def looked_up(rows, ahead, how):
+        met.append(rows.groupBy("kept").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(rows, ahead, how)
+
+    monkeypatch.setattr(graph, "_looked_up", looked_up)
+    halves = spark.range(1, 4096).selectExpr("id", "id div 2 AS kept")
+    assert {tuple(r) for r in graph.resolved(halves).collect()} == {(i, 0) for i in range(1, 4096)} and max(met) <= 256
+    monkeypatch.setattr(graph, "HOT", 3)  # what many point to is sent to them
+    rng = random.Random(6)
+    to = {i: rng.choice([0, 1, 2, i // 3, 500 + i]) for i in range(3, 300)} | {1: 0, 2: 700}
+    want = {}
+    for i in to:
+        at = to[i]
+        while at in to:
+            at = to[at]
+        want[i] = at
+    assert {r.id: r.kept for r in graph.resolved(spark.createDataFrame(list(to.items()), "id long, kept long")).collect()} == want
+
+
 def test_as_of_and_between_with_nulls(spark):
     d = lambda n: date(2024, 1, n)
     left = spark.createDataFrame([(1, "A", d(5)), (2, "A", d(1)), (3, "B", d(5)), (4, None, d(5)), (5, "A", None)], "k long, by string, at date")
