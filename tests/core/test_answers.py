@@ -124,3 +124,22 @@ def test_groups_of_a_model_are_looked_up_by_joins(spark):
     assert "array_intersect" not in got._jdf.queryExecution().toString()
     held = {k: [i for i in g if k[0] or i % 2 == 0] for k, g in groups.items()}
     assert {(r.id, r.kept) for r in got.collect()} == {(i, min(g)) for k, g in held.items() if k[0] for i in g if i != min(g)}
+
+
+def test_prompts_are_strings_only_for_their_call():
+    """A call for each ten rows went on as a frame of its own, and a common group was cut where a record batch ended."""
+    import pyarrow as pa
+
+    calls = []
+
+    def provider(common, prompts):
+        calls.append((common, list(prompts)))
+        if "p7" in prompts:
+            raise TimeoutError
+        return [None if p == "p3" else p.upper() for p in prompts]
+
+    rows = [(f"k{i}", "A" if i < 25 else "B", f"p{i}") for i in range(60)]
+    made = [pa.RecordBatch.from_pylist([dict(zip(("prompt_key", "shared", "prompt"), r, strict=True)) for r in rows[at:end]]) for at, end in ((0, 17), (17, 60))]
+    out = list(answers.asked_of(provider, made, 10))
+    assert [(c, len(p)) for c, p in calls] == [("A", 10), ("A", 10), ("A", 5), ("B", 10), ("B", 10), ("B", 10), ("B", 5)] and [x for _, p in calls for x in p] == [p for _, _, p in rows]
+    assert len(out) == 3 and {(r["prompt_key"], r["answer"]) for b in out for r in b.to_pylist()} == {(k, p.upper()) for k, _, p in rows[10:]}

@@ -144,3 +144,13 @@ def test_large_parts_are_written_by_several_tasks_from_one_run_of_the_rows(spark
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert ran.value == 20000 and storage.load(spark, path).select("k").distinct().count() == 20000
     assert len(storage.version(spark, path).parts) == 1 and len(files(spark, path)) > 1
+
+
+def test_distinct_rows_are_not_sorted_and_none_leave_the_table(spark):
+    path = storage.scratch(spark, "distinct")
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    first, spec = frame([(1, "a"), (2, "b"), (None, "c")]), storage.Spec(("k",), "v")
+    assert storage.save(first, path, spec, distinct=True) == 2
+    assert storage.save(frame([]), path, spec, distinct=True) == 0 and storage.versions(spark, path) == [1]
+    assert storage.save(frame([(2, "z"), (3, "y")]), path, spec, distinct=True) == 2
+    assert sorted(tuple(r) for r in storage.load(spark, path).collect()) == [(1, "a"), (2, "z"), (3, "y")]

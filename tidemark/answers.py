@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +21,45 @@ from tidemark.storage import Spec, exists, load, save, scratch, written
 #: Prompts and what else the batch has in common (a ticker, say) to answers; None where there is none.
 Provider = Callable[[str, list[str]], list[str | None]]
 TABLE = Spec(("prompt_key",), "answer", replace=False)
+ANSWERS = "prompt_key string, answer string"
 #: Prompts of a call, and calls under way at once.
 BATCH, CALLS = 10, 15
 
 
+def asked_of(provider: Provider, batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """prompt_key and answer of rows (prompt_key, shared, prompt), asked for in batches of up to `size` that stand together
+    and have `shared` in common, also where they lie in two record batches.
+
+    Only the prompts of one call are strings of Python at once; of a record batch all answers go on together.
+    """
+    kept: list[tuple[str, str]] = []
+    common = ""
+
+    def call() -> Iterator[tuple[str, str]]:
+        try:
+            got = provider(common, [prompt for _, prompt in kept])
+        except Exception:  # noqa: BLE001 - a provider may fail in any way; its rows fall back
+            return
+        if len(got) == len(kept):
+            yield from ((key, x) for (key, _), x in zip(kept, got, strict=True) if x is not None)
+
+    def rows(found: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["prompt_key", "answer"])
+
+    for held in batches:
+        found: list[tuple[str, str]] = []
+        for at in range(0, held.num_rows, size):
+            for row in zip(*(c.to_pylist() for c in held.slice(at, size).columns), strict=True):
+                if kept and (len(kept) == size or row[1] != common):
+                    found += call()
+                    kept = []
+                common = row[1]
+                kept.append((row[0], row[2]))
+        yield rows(found)
+    if kept:
+        yield rows(list(call()))
+
+
 def answered(rows: DataFrame, prompt: Column, provider: Provider, path: str, shared: Column | None = None, batch: int = BATCH, calls: int = CALLS) -> DataFrame:
     """rows with answer: that of their prompt, null where the prompt is null or the provider gave none.
 
@@ -38,22 +73,9 @@ def answered(rows: DataFrame, prompt: Column, provider: Provider, path: str, sha
     if exists(spark, path):
         asked = asked.join(load(spark, path).select("prompt_key"), "prompt_key", "left_anti")
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for common, part in frame.groupby("shared", sort=False):
-                for at in range(0, len(part), batch):
-                    some = part.iloc[at : at + batch]
-                    try:
-                        got = provider(common, some["prompt"].tolist())
-                    except Exception:  # noqa: BLE001 - a provider may fail in any way; its rows fall back
-                        continue
-                    if len(got) == len(some):
-                        yield pd.DataFrame({"prompt_key": some["prompt_key"], "answer": got}).dropna()
-
     dealt = asked.repartition(calls, "prompt_key") if shared is None else asked.repartition(calls).sortWithinPartitions("shared")
-    new = written(dealt.mapInPandas(ask, "prompt_key string, answer string"), "answers")  # each batch is asked in one place
-    if not exists(spark, path) or not new.isEmpty():
-        save(new, path, TABLE)
+    new = dealt.select("prompt_key", "shared", "prompt").mapInArrow(lambda batches: asked_of(provider, batches, batch), ANSWERS)
+    save(new, path, TABLE, distinct=True)  # it runs them once, so that each batch is asked in one place
     known = load(spark, path).select(F.col("prompt_key").alias("__key"), "answer")
     return keyed.join(known, "__key", "left").drop("__key", "__prompt", "__shared")
 

@@ -96,15 +96,15 @@ def without(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "left_anti")
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """existing and the new rows of unknown keys; of new rows with one key the first in `order`."""
-    first = top_per(new, keys, [F.col(order)], 1)
+def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """existing and the new rows of unknown keys; of new rows with one key the first in `order` (without one there are none)."""
+    first = new if order is None else top_per(new, keys, [F.col(order)], 1)
     return existing.unionByName(first.join(existing.select(*keys).distinct(), keys, "left_anti"))
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """existing with the new rows in place of those of their keys; of new rows with one key the last in `order`."""
-    last = top_per(new, keys, [F.col(order).desc()], 1)
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """existing with the new rows in place of those of their keys; of new rows with one key the last in `order` (without one there are none)."""
+    last = new if order is None else top_per(new, keys, [F.col(order).desc()], 1)
     return existing.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 

@@ -205,17 +205,20 @@ def _put(spark: SparkSession, path: str, at: Version, gone: list[Part], rows: Da
     commit(spark, path, Version(at.number + 1, list(keys), rows.schema.json(), bits, kept + new))
 
 
-def save(rows: DataFrame, path: str, spec: Spec, attempts: int = 4) -> None:
-    """Rows into the table at path. Of rows with one key the first in the table's order goes in where later ones are
+def save(rows: DataFrame, path: str, spec: Spec, attempts: int = 4, distinct: bool = False) -> int:
+    """Rows into the table at path, and how many there were. Of rows with one key the first in the table's order goes in where later ones are
     ignored, else the last; rows with a null in the key are left out. Only parts with such keys are read and written.
 
     The columns are those of the rows; a column that the table has and the rows lack stays, with nulls for the new ones.
+    `distinct` rows, of which no two have one key, are not sorted by it; none at all leave a table as it is.
     """
     spark, keys = rows.sparkSession, list(spec.keys)
     new = written(rows.dropna(subset=keys), "new")  # what the rows are made of is run once
     ends = {r["end"]: r["count"] for r in new.groupBy(_bits_of(keys, ENDS).alias("end")).count().collect()}  # 2 ** ENDS rows at most
     for attempt in range(attempts):
         at = version(spark, path)
+        if distinct and at.number and not ends:
+            return 0
         n = sum(ends.values()) + sum(p.rows for p in at.parts)
         bits = max(at.bits, (max(0, n - 1) // spec.part_rows).bit_length())
         few = {end & (1 << bits) - 1 for end in ends}
@@ -225,12 +228,17 @@ def save(rows: DataFrame, path: str, spec: Spec, attempts: int = 4) -> None:
         lacking = [c for c in old.columns if c not in new.columns]
         given = new.select("*", *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in lacking))
         old = old.select(*(F.col(c) if c in old.columns else F.lit(None).cast(given.schema[c].dataType).alias(c) for c in given.columns))
-        merged = (upsert if spec.replace else insert_ignore)(old, given, keys, spec.order)
+        if distinct and not touched:
+            merged = given
+        else:
+            merged = (upsert if spec.replace else insert_ignore)(old, given, keys, None if distinct else spec.order)
         try:
-            return _put(spark, path, at, touched, merged, keys, bits)
+            _put(spark, path, at, touched, merged, keys, bits)
+            return sum(ends.values())
         except Conflict:
             if attempt == attempts - 1:
                 raise
+    return 0
 
 
 def delete(spark: SparkSession, path: str, gone: DataFrame, keys: Sequence[str], attempts: int = 4) -> None:
