@@ -28,19 +28,14 @@ def grow(nodes: DataFrame, edges: DataFrame, path: str, report: dict | None = No
     new = nodes.where("id IS NOT NULL").select("id").distinct()
     if exists(spark, path):
         new = new.join(labels(spark, path).select("id"), "id", "left_anti")
-    new = cut(new.withColumn("cluster", F.col("id")))
-    added = new.count()
-    if added or not exists(spark, path):
-        save(new, path, TABLE)
+    added = save(new.withColumn("cluster", F.col("id")), path, TABLE, distinct=True)
     known = labels(spark, path)
     side = lambda x: known.select(F.col("id").alias(x), F.col("cluster").alias(f"c{x}"))
     met = cut(edges.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     moved = 0
     if not met.isEmpty():
         ends = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
-        renamed = components(ends, met).where("id <> cluster").select(F.col("id").alias("old"), F.col("cluster").alias("new"))
-        members = cut(known.join(renamed, F.col("cluster") == F.col("old")).select("id", F.col("new").alias("cluster")))
-        moved = members.count()
-        save(members, path, TABLE)
+        renamed = components(ends, met, closed=True).where("id <> cluster").select(F.col("id").alias("old"), F.col("cluster").alias("new"))
+        moved = save(known.join(renamed, F.col("cluster") == F.col("old")).select("id", F.col("new").alias("cluster")), path, TABLE, distinct=True)
     if report is not None:
         report |= {"added": added, "moved": moved}

@@ -17,7 +17,7 @@ from tidemark.plans.registry import BM25, COSINE, HYBRID, RRF
 from tidemark.plans.sourcing import _RANGE, _at, _recorded
 from tidemark.providers import letter_embedding
 from tidemark.sources import feeds, recorded
-from tidemark.storage import scratch
+from tidemark.storage import scratch, written
 
 _NOW = "2024-02-01 00:00:00"
 _FROM, _UNTIL = datetime(2024, 1, 5), datetime(2024, 1, 20)
@@ -237,7 +237,7 @@ def q211_growing_components(spark, sf):
     """Orders of a customer, linked one to the next, in three loads of which each brings every third order."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
     last = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("id"))
-    edges = o.withColumn("a", last).where("a IS NOT NULL").select("a", F.col("id").alias("b"))
+    edges = written(o.withColumn("a", last).where("a IS NOT NULL").select("a", F.col("id").alias("b")), "edges")  # read for each load
     load_of = lambda c: F.col(c) % 3
     path = scratch(spark, "components")
     for n in range(3):
