@@ -68,6 +68,26 @@ def test_query_at_full_length(spark):
     assert repeats.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_planted_passages(spark):
+    """Shared passages of over 50 words go where they have 400 bytes; shorter ones and clean texts stay, whatever their size."""
+    rng = random.Random(13)
+    word = lambda least, most: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(least, most)))
+    prose = lambda n, least=2, most=9: " ".join(word(least, most) for _ in range(n))
+    rows = []  # text, passage, whether it goes
+    for k in range(20):
+        passage = prose(60, 7, 9) if k % 2 else prose(55, 2, 6)
+        rows += [(f"{prose(30 + k)} {passage} {prose(20 + 9 * i)}", passage, bool(k % 2)) for i in range(2 + k % 3)]
+    rows += [(prose(51 + 10 * i), None, False) for i in range(30)]
+    assert all(len(p.split()) > 50 and (len(p.encode()) >= 400) == goes and abs(len(p.encode()) - 400) > 8 for _, p, goes in rows if p)
+    docs = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = repeats.digest(repeats.drop_repeats(docs)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute([r[0] for r in rows], 400)
+    for (text, passage, goes), r in zip(rows, got, strict=True):
+        assert r.n_bytes == len(text.encode())  # of the input: it doesn't tell what was removed
+        assert ((r.n_removed > 0), r.n_spans) == (goes, int(goes))
+        assert passage not in r.kept_text if goes else r.kept_text == text
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_matching_statistics(seed):
     rng = random.Random(seed)
