@@ -108,3 +108,17 @@ def test_a_load_shuffles_no_words(spark, monkeypatch):
     want = [(w, f"d{i}", n, i % 5 + 2) for i in range(40) for w, n in (("the", i % 5), (f"w{i % 7}", 1), ("end", 1)) if n]
     assert got == sorted(want) and all(r.n == len(r["items"]) and r.max_tf == max(i.tf for i in r["items"]) and r.min_len == min(i.len for i in r["items"]) for r in rows)
     assert len({r.region for r in rows}) >= 10
+
+
+def test_loads_deal_no_postings_and_leave_no_texts(spark):
+    from tidemark.storage import scratch, shared_dir
+
+    rows = [(i, f"word{i % 7} and {'gold ' * (i % 3)}rate{i}") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (5, "a first text"), (None, "none")], "id long, text string")
+    path = scratch(spark, "postings")
+    assert postings.add(docs.where("id < 200"), path) == 200 and postings.add(docs, path) == 200
+    assert postings.documents(spark, path).where("id = 5").first()["len"] == 3  # "a first text" is before "word5 ..."
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
+    left = [s.getPath() for s in fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs_path)]
+    kept = [spark.read.parquet(p.toString()).columns for p in left if p.getName().startswith(("cut-", "texts-"))]
+    assert not any("text" in c and "region" in c for c in kept)
