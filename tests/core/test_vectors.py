@@ -131,3 +131,17 @@ def test_retrieval_of_one_group_in_parts(spark, monkeypatch):
     newest = tables.top_per(pairs.withColumn("ok", F.col("id") % 3 > 0), ["query_id"], [F.col("published_at").desc(), F.col("id")], 15).where("ok")
     want = tables.top_per(tables.capped(newest, ["query_id", "day"], "sim", 2), ["query_id"], best, 5, rank="rank")
     assert said(vectors.retrieve_recent(df, asked, 5, 2, F.col("id") % 3 > 0)) == said(want)
+
+
+def test_cells_of_rows_that_no_bounds_part(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "DISTANCES", 1 << 10)  # so many angles are held at once, whatever the block's rows
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist(), "b", 400) for i, v in enumerate(x)], "id long, u array<double>, block string, n long")
+    placed = vectors._cells(rows, 1.2, 16).collect()
+    assert sorted(r.id for r in placed if r.home) == list(range(400))
+    assert len({(r.id, r.cell) for r in placed}) == len(placed) > 800 and all(list(x[r.id]) == r.u for r in placed)
+    got = {(r.a, r.b) for r in vectors.similar_pairs(rows.select("id", "u"), 0.35, part=16).collect()}
+    sims = np.round(x @ x.T, 5)
+    assert got == {(a, b) for a in range(400) for b in range(a + 1, 400) if sims[a, b] >= 0.35}
